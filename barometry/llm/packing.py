@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .tokens import END_ID, Encoder, crc32_of, slices
+from .tokens import END_ID, Encoder, crc32_of
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
@@ -160,9 +160,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str
         encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts = batch.column(1)
-            for a, b in slices(texts):
-                ids, offsets = encoder(texts[a:b], end_id)
+            for a, b, ids, offsets in encoder(batch.column(1), end_id):
                 size = np.diff(offsets)
                 n = -(-size // capacity)
                 row = np.repeat(np.arange(b - a), n)

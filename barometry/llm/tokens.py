@@ -14,6 +14,7 @@ without the ids, and skip all else.
 import os
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,54 +26,104 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textblocks import take_ranges
 
-CACHE_WORDS = 400_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 END_ID = 1
+#: Bytes of text whose chunks are encoded together, and whose ids are gathered at once.
+CODED_BYTES, GATHERED_BYTES = 24 << 20, 2 << 20
+
+
+#: Chunks of letters that lower-case and compose to themselves, and then maybe signs: the tokenizer sees one or two words in them. The apostrophe is left out, as it starts words of its own.
+_SIGNS = r"[!-&(-/:-@\[-`{-~]+$"
+_PLAIN = rf"^[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:-@\[-`{{-~]+)?$"
+_TOGETHER = 2000
+
+
+class Ids(NamedTuple):
+    """Ids of distinct strings, one string's after another's: string k has flat[start[k]:start[k] + size[k]]."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of up to CACHE_WORDS chunks."""
+    """Encodes batches of texts.
+
+    A plain chunk is a word of letters, whose case the tokenizer drops, and maybe signs. The
+    distinct words, and the distinct runs of signs, are encoded many at a time, joined by
+    spaces: the token that ends a word is marked as such in the vocabulary, so the ids can be
+    told apart again. All other chunks are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def chunk_ids(self, chunks: list[str]) -> list[np.ndarray]:
-        missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known = {}
-            missing = chunks
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, np.uint32)
-        return [self.known[c] for c in chunks]
-
-    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (null: empty), end_id after each, and the offsets of the texts in them."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = pc.dictionary_encode(split.flatten())
-        ids = self.chunk_ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        starts = np.cumsum(sizes) - sizes
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, some: pa.Array) -> Ids:
+        """Ids of strings that the tokenizer takes as one word each; equal ones are encoded once."""
+        coded = pc.dictionary_encode(some)
+        n = len(coded.dictionary)
+        groups = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, n, _TOGETHER), n), pa.int32()), coded.dictionary)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in self.encode(pc.binary_join(groups, " ").to_pylist()))])
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) != n:
+            raise ValueError("the tokenizer does not mark the ends of words as expected")
+        start = np.append(0, end[:-1])[:n]
         index = coded.indices.to_numpy()
-        length = sizes[index]
-        body = flat[take_ranges(starts[index], length)]
-        ends = np.cumsum(length)
-        chunk_at = np.asarray(split.offsets) - split.offsets[0].as_py()
-        last = np.concatenate([[0], ends])[chunk_at]
-        offsets = last + np.arange(len(last))
-        out = np.full(int(offsets[-1]), end_id, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = body
-        return out, offsets
-
-
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+        return Ids(ids, start[index], (end - start)[index])
+
+    def chunks(self, chunks: pa.Array) -> Ids:
+        """Ids of distinct chunks of any kind."""
+        plain = pc.match_substring_regex(chunks, _PLAIN).to_numpy(zero_copy_only=False)
+        some = chunks.filter(pa.array(plain))
+        word = self.words(pc.utf8_lower(pc.replace_substring_regex(some, _SIGNS, "")))
+        tail = pc.replace_substring_regex(some, "^[^!-&(-/:-@\\[-`{-~]+", "")
+        signed = pc.greater(pc.binary_length(tail), 0).to_numpy(zero_copy_only=False)
+        sign = self.words(tail.filter(pa.array(signed)))
+        rest = self.encode(chunks.filter(pa.array(~plain)).to_pylist())
+        flat = np.concatenate([word.flat, sign.flat, np.array([i for x in rest for i in x], np.uint32)])
+        # Each chunk is at most two pieces: its word (or all of it), then its signs.
+        n = len(chunks)
+        start, size = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        start[plain, 0], size[plain, 0] = word.start, word.size
+        at = np.flatnonzero(plain)[signed]
+        start[at, 1], size[at, 1] = len(word.flat) + sign.start, sign.size
+        own = np.array([len(x) for x in rest], np.int64)
+        start[~plain, 0], size[~plain, 0] = len(word.flat) + len(sign.flat) + np.cumsum(own) - own, own
+        both = size.sum(1)
+        return Ids(flat[take_ranges(start.ravel(), size.ravel())], np.cumsum(both) - both, both)
+
+    def __call__(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For some rows [a, b) after another: their ids (null: empty), end_id after each text, and the texts' offsets in them."""
+        for lo, hi in slices(texts, CODED_BYTES):
+            split = pc.ascii_split_whitespace(texts[lo:hi].fill_null(""))
+            coded = pc.dictionary_encode(split.flatten())
+            known = self.chunks(coded.dictionary)
+            chunk_at = np.asarray(split.offsets) - split.offsets[0].as_py()
+            del split
+            index = coded.indices.to_numpy()
+            for a, b in slices(texts[lo:hi], GATHERED_BYTES):
+                own = index[chunk_at[a] : chunk_at[b]]
+                length = known.size[own]
+                ends = np.concatenate([[0], np.cumsum(length)])[chunk_at[a : b + 1] - chunk_at[a]]
+                offsets = ends + np.arange(b - a + 1)
+                out = np.full(int(offsets[-1]), end_id, np.uint32)
+                keep = np.ones(len(out), bool)
+                keep[offsets[1:] - 1] = False
+                out[keep] = known.flat[take_ranges(known.start[own], length)]
+                yield lo + a, lo + b, out, offsets
+
+
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes of text."""
     sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -92,9 +143,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1)
-            for a, b in slices(texts):
-                ids, offsets = encoder(texts[a:b], end_id)
+            for a, b, ids, offsets in encoder(batch.column(1), end_id):
                 size = np.diff(offsets)
                 rows = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.full(b - a, part, np.int64)), pa.array(at + offsets[:-1]), pa.array(size), rows], names=[id_col, "part", "local_start", "n_tokens", "token_ids"])
