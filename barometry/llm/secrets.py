@@ -28,7 +28,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     text = F.coalesce(F.col(text_col), F.lit(""))
     owner = F.col(owner_col) if isinstance(owner_col, str) else owner_col
     repo = owner if repo_col is None else F.col(repo_col) if isinstance(repo_col, str) else repo_col
-    base = F.concat(*(F.filter(found(F.col("t"), p, kind, rank, group), lambda s, n=least: F.length(s.value) >= n) for rank, (kind, p, group, least) in enumerate(BASE)))
+    long_enough = lambda spans, least: F.filter(spans, lambda s: F.length(s.value) >= least)
+    base = F.concat(*(long_enough(found(F.col("t"), p, kind, rank, group), least) for rank, (kind, p, group, least) in enumerate(BASE)))
     opaque = F.filter(found(F.col("t"), _OPAQUE, "opaque", len(BASE)), lambda s: s.value.rlike("[0-9][^0-9]*[0-9][^0-9]*[0-9][^0-9]*[0-9]") & s.value.rlike("[A-Za-z]"))
     rows = docs.select(F.col(id_col).alias("id"), owner.cast("string").alias("owner"), repo.cast("string").alias("repo"), text.alias("t"))
     rows = rows.select("id", F.xxhash64("t").alias("version"), "owner", "repo", F.array_sort(base).alias("base"), opaque.alias("opaque"))
