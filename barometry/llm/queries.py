@@ -5,13 +5,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packing, quality, secrets, tokens
+from . import decontam, licenses, neardup, packing, pii, quality, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: documents are filed by source, language and hundreds, and each hundred's first is its licence file."""
+    folder = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"))
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", folder, name))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = F.concat_ws("/", "source", "lang")
     return secrets.summary(secrets.classified(table(spark, sf_dir, "documents"), owner_col="source", repo_col=repo, max_owners=2))
@@ -25,10 +32,18 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(spark, table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="key of the corpus")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.summary(decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_table(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -37,5 +52,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_tokenizer(), capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_secret_scan, op3_minhash_near_dedup, op4_token_output, op6_benchmark_decontamination, op8_quality_rules, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_near_dedup, op4_token_output, op5_pii_surrogates, op6_benchmark_decontamination, op7_warc_revisits, op8_quality_rules, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -52,7 +52,8 @@ def test_expectation_maximisation_finds_accuracies():
         truth.setdefault(v, [0, 0])[good] += 1
     post = quality.fitted(patterns, wrong=0.1, passed=0.0)
     right = sum(truth[v][post[v] >= 0.5] for v in patterns)
-    assert right > 0.97 * 20000
+    # Compared with the best that any decision by pattern can do.
+    assert right >= 0.995 * sum(map(max, truth.values()))
 
 
 def test_secret_spans(spark, rows):
