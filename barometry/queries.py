@@ -263,3 +263,22 @@ register("trades_conditioned", trades_conditioned, f"with {oracle.features()}, {
 
 # Streams, run until their source is used up.
 register("stream_bars", lambda s, d: monitor.replayed_bars(s, d), f"with {oracle.BARS} select symbol, ts, open, high, low, close, volume from bars")
+
+
+def stream_sessions(s: SparkSession, d: str) -> DataFrame:
+    bars = bridge.bars(s, d)
+    return monitor.replayed_sessions(s, bars, windows(s, bars, "ny"))
+
+
+register("stream_sessions", stream_sessions, f"with {oracle.assigned('ny')} select symbol, session_key, trade_date, count(*) as bar_count, max(high) as high, min(low) as low, sum(volume) as volume from inside group by symbol, session_key, trade_date")
+_WATCHES = [Preset("green-rate", catalog.close_green()), Preset("gap-fill", catalog.gap_fill()), Preset("prev-range", catalog.touch_prev("high"))]
+_DEVELOPING = 1706184000000  # 2024-01-25 12:00 UTC
+
+
+def stream_alerts(s: SparkSession, d: str) -> DataFrame:
+    bars = bridge.bars(s, d)
+    found = monitor.replayed_alerts(s, bars, windows(s, bars, "utc"), with_events(s, d), _WATCHES, _DEVELOPING, 0.45, 5)
+    return found.select("id", "watch_id", "symbol", "trade_date", "snapshot.n", "snapshot.k")
+
+
+register("stream_alerts", stream_alerts, oracle.hits(_WATCHES, span="trade_date < date '2024-01-25'") + "select symbol || '|2024-01-25|' || substr(sha256(qid || '|0.45|None'), 1, 12) as id, qid as watch_id, symbol, date '2024-01-25' as trade_date, n, k from (select qid, symbol, count(*) as n, cast(sum(case when success then 1 else 0 end) as bigint) as k from hits group by qid, symbol) where n >= 5 and floor(k / n * 1e4 + 0.5) / 1e4 >= 0.45")

@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.calendars import assign
+from ..plans.envelope import sweep
 from ..sources import bridge
 
 
@@ -39,3 +41,101 @@ def replayed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     live.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/bars")
+
+
+def replayed_sessions(spark: SparkSession, bars: DataFrame, windows: DataFrame) -> DataFrame:
+    """bars as files, streamed against the calendar: each session's bar count, extremes and volume so far."""
+    place = shared_folder(spark, "stream")
+    bars.write.parquet(f"{place}/bars")
+    windows.write.parquet(f"{place}/windows")
+    live = spark.readStream.schema(bars.schema).parquet(f"{place}/bars")
+    inside = assign(live, spark.read.parquet(f"{place}/windows"))
+    made = inside.groupBy("symbol", "session_key", "trade_date").agg(F.count("*").alias("bar_count"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/sessions")
+
+    made.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/sessions")
+
+
+def replayed_alerts(spark: SparkSession, bars: DataFrame, windows: DataFrame, rows: DataFrame, presets, now_ms: int, least: float, n_least: int) -> DataFrame:
+    """The alerts that the bars' stream fires at now, each watch being one of presets without a condition.
+
+    Each batch asks the history before the developing session of the symbols that it touches.
+    """
+    place = shared_folder(spark, "stream")
+    bars.write.parquet(f"{place}/bars")
+    rows.write.parquet(f"{place}/features")
+    developing(windows, now_ms).write.parquet(f"{place}/developing")
+    live = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/bars")
+
+    def evaluate(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        now = spark.read.parquet(f"{place}/developing").join(batch.select("symbol").distinct(), "symbol", "left_semi")
+        past = spark.read.parquet(f"{place}/features").join(now.select("symbol", "session_key", F.col("trade_date").alias("today")), ["symbol", "session_key"]).filter("trade_date < today")
+        asked = sweep(past, presets, refuse=n_least).withColumnRenamed("qid", "watch_id").withColumn("fits", F.lit(True))
+        states = phases(now, asked)
+        return states, alerts(states, least, None, n_least)
+
+    watch_bars(live, evaluate, f"{place}/state", f"{place}/ledger", f"{place}/board").awaitTermination()
+    return spark.read.parquet(f"{place}/ledger")
+
+
+def phases(developing: DataFrame, watches: DataFrame) -> DataFrame:
+    """For each watch (watch_id, symbol, fits: the condition's value on the developing row): resolved without a developing session, active where it holds or there is none, else forming."""
+    rows = watches.join(developing.select("symbol", "trade_date", F.lit(True).alias("live")), "symbol", "left")
+    return rows.withColumn("phase", F.when(F.col("live").isNull(), "resolved").when(F.coalesce("fits", F.lit(False)), "active").otherwise("forming")).drop("live")
+
+
+def developing(windows: DataFrame, now_ms: int) -> DataFrame:
+    """The sessions that now lies in."""
+    return windows.filter((F.col("start_ts") <= now_ms) & (F.col("end_ts") > now_ms))
+
+
+def alerts(states: DataFrame, least: float | None = None, most: float | None = None, n_least: int = 30) -> DataFrame:
+    """Alerts of active watches whose estimate crosses a threshold on enough sessions.
+
+    states: watch_id, symbol, trade_date, phase, n, k, estimate, ci_low, ci_high. The id names
+    watch, threshold and date, so a watch fires once a day however often it is evaluated.
+    """
+    crossed = F.lit(False)
+    if least is not None:
+        crossed = crossed | (F.col("estimate") >= least)
+    if most is not None:
+        crossed = crossed | (F.col("estimate") <= most)
+    rows = states.filter((F.col("phase") == "active") & F.col("estimate").isNotNull() & (F.col("n") >= n_least) & crossed)
+    digest = F.substring(F.sha2(F.concat_ws("|", "watch_id", F.lit(str(least)), F.lit(str(most))), 256), 1, 12)
+    text = F.format_string("%s %s %s: %.4f [%.4f, %.4f], N=%d. Past frequency, not advice.", "symbol", F.col("trade_date").cast("string"), "watch_id", "estimate", "ci_low", "ci_high", "n")
+    return rows.select(F.concat_ws("|", "symbol", F.col("trade_date").cast("string"), digest).alias("id"), "symbol", "trade_date", "watch_id", F.struct("n", "k", "estimate", "ci_low", "ci_high").alias("snapshot"), text.alias("text"))
+
+
+def fire(found: DataFrame, ledger: str) -> None:
+    """Append the alerts that the ledger doesn't have; safe to repeat for the same batch."""
+    spark = found.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    new = found.dropDuplicates(["id"])
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        new = new.join(spark.read.parquet(ledger).select("id"), "id", "left_anti")
+    new.write.mode("append").parquet(ledger)
+
+
+def replay(spark: SparkSession, ledger: str, alert_id: str | None = None, n: int = 50) -> DataFrame:
+    """The newest alerts, or one by its id, as they were stored."""
+    rows = spark.read.parquet(ledger)
+    return rows.filter(F.col("id") == alert_id) if alert_id else rows.orderBy(F.desc("trade_date"), "id").limit(n)
+
+
+def watch_bars(bars: DataFrame, evaluate, state: str, ledger: str, board: str):
+    """Start a stream of bars: each batch's touched (symbol) series go to evaluate(batch), whose states are published to board and whose alerts to ledger.
+
+    evaluate recomputes the developing session from stored rows and the batch, never by merging
+    partial features; it returns (states, alerts).
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        states, found = evaluate(batch)
+        states.withColumn("batch", F.lit(n)).withColumn("enabled", F.lit(True)).write.mode("overwrite").parquet(board)
+        fire(found, ledger)
+
+    return bars.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
+
