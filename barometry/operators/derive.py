@@ -1,18 +1,22 @@
 """One wide feature row per symbol, session key and trade date."""
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MINUTE_MS, gap_bucket, minutes_since, percent, rounded
 
 KEYS = ["symbol", "session_key", "trade_date"]
-SERIES = Window.partitionBy("symbol", "session_key").orderBy("trade_date")
 OR_WINDOWS = (15, 30, 60)
 IB_WINDOW = 60
 MAX_ZONES = 60
 
 
+def in_series() -> WindowSpec:
+    """A series' sessions in order; built when asked for, as windows need a session of Spark's."""
+    return Window.partitionBy("symbol", "session_key").orderBy("trade_date")
+
+
 def session_stats(assigned: DataFrame, windows: tuple[int, ...] = OR_WINDOWS) -> DataFrame:
     """Aggregates of each session's bars, with each opening range's levels, breaks and extremes.
 
@@ -49,7 +53,7 @@ def opening_ranges(stats: DataFrame, windows: tuple[int, ...] = OR_WINDOWS, ib:
 
 
 def _lag(name: str) -> Column:
-    return F.lag(name).over(SERIES)
+    return F.lag(name).over(in_series())
 
 
 def cross_session(stats: DataFrame, bar_ms: int) -> DataFrame:
@@ -59,7 +63,7 @@ def cross_session(stats: DataFrame, bar_ms: int) -> DataFrame:
     for name in ("open", "high", "low", "close", "contract_last"):
         out = out.withColumn(f"p_{name}", _lag(name))
     first, last = F.col("contract_first"), F.col("contract_last")
-    out = out.withColumn("has_prev", F.row_number().over(SERIES) > 1)
+    out = out.withColumn("has_prev", F.row_number().over(in_series()) > 1)
     roll = F.col("has_prev") & (F.coalesce(first != F.col("p_contract_last"), F.lit(False)) | F.coalesce(first != last, F.lit(False)))
     out = out.withColumn("is_roll_day", roll).withColumn("use_prev", F.col("has_prev") & ~F.col("is_roll_day"))
     for name in ("close", "high", "low"):
@@ -76,16 +80,16 @@ def cross_session(stats: DataFrame, bar_ms: int) -> DataFrame:
     out = out.withColumns({"bull_engulf": F.when(use, (p_close < po) & F.col("green") & (o <= p_close) & (c >= po)), "bear_engulf": F.when(use, (p_close > po) & (c <= o) & (o >= p_close) & (c <= po)), "prev_day_green": p_close > po})
     true_range = F.when(pc.isNotNull(), F.greatest(F.col("range_abs"), F.abs(h - pc), F.abs(low - pc))).otherwise(F.col("range_abs"))
     out = out.withColumn("tr", true_range)
-    before = lambda n: SERIES.rowsBetween(-n, -1)
+    before = lambda n: in_series().rowsBetween(-n, -1)
     full = lambda x, n, f: F.when(F.count(x).over(before(n)) == n, f(x).over(before(n)))
-    out = out.withColumns({"atr": full("tr", 14, F.avg), "avg20": full("volume", 20, F.avg), "low3": full("range_abs", 3, F.min), "low6": full("range_abs", 6, F.min), "idx": F.row_number().over(SERIES)})
+    out = out.withColumns({"atr": full("tr", 14, F.avg), "avg20": full("volume", 20, F.avg), "low3": full("range_abs", 3, F.min), "low6": full("range_abs", 6, F.min), "idx": F.row_number().over(in_series())})
     out = out.withColumns({"nr4": plain(F.col("range_abs") < F.col("low3")), "nr7": plain(F.col("range_abs") < F.col("low6")), "atr14_pct": rounded(percent(F.col("atr"), pc), 6), "range_vs_atr": rounded(F.try_divide(F.col("range_abs"), F.col("atr")), 6), "vol_vs_avg20": rounded(F.try_divide(F.col("volume"), F.col("avg20")), 6)})
-    upto = SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_series().rowsBetween(Window.unboundedPreceding, 0)
     run = lambda cond: F.col("idx") - F.coalesce(F.max(F.when(~cond, F.col("idx"))).over(upto), F.lit(0))
     out = out.withColumns({"green_run": run(c > o), "red_run": run(c < o)})
     out = out.withColumns({"prev_green_streak": F.coalesce(_lag("green_run"), F.lit(0)), "prev_red_streak": F.coalesce(_lag("red_run"), F.lit(0))})
     out = out.withColumns({f"prev_{x}": F.when(use, _lag(x)) for x in ("inside_day", "nr7", "doji")})
-    out = out.withColumns({f"next_{x}": F.lead(x).over(SERIES) for x in ("green", "ret_oc_pct", "range_pct", "range_vs_atr")})
+    out = out.withColumns({f"next_{x}": F.lead(x).over(in_series()) for x in ("green", "ret_oc_pct", "range_pct", "range_vs_atr")})
     date = F.col("trade_date")
     out = out.withColumns({"session_id": F.concat_ws("|", "symbol", "session_key", date.cast("string")), "dow": F.date_format(date, "E"), "month": F.month(date), "year": F.year(date), "high_time_min": minutes_since(F.col("high_ts"), F.col("start_ts")), "low_time_min": minutes_since(F.col("low_ts"), F.col("start_ts")), "high_before_low": F.col("high_ts") < F.col("low_ts")})
     return out.drop("p_open", "p_high", "p_low", "p_close", "p_contract_last", "has_prev", "use_prev", "gap_raw", "tr", "atr", "avg20", "low3", "low6", "green_run", "red_run")
