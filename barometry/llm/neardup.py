@@ -9,7 +9,9 @@ are verified and joined, between members that are still of different components.
 bucket's pairs are all listed, and none that could join two components is left out. The
 joint likelihood of two sketches estimates the similarity and drops hopeless candidates
 (further below the threshold than the estimate can err); every link is then confirmed on
-the full sets.
+the full sets. Between components, an odd sketch (the parity of the shingles in each of many
+hash groups) comes first: groups that differ in parity each hold a shingle of one set only, so
+their number is a lower bound of the difference, and no pair that could be a link is lost.
 """
 
 import hashlib
@@ -26,6 +28,8 @@ from .components import components
 from .textblocks import SPACED, blocks, mix, word_hashes, words
 
 REGISTERS, BAND = 192, 6
+#: 64-bit words of the odd sketch.
+ODD_WORDS = 32
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Standard errors of the estimate below the threshold at which a candidate is given up.
 SLACK = 6.0
@@ -52,6 +56,15 @@ def shingle_sets(hashes: np.ndarray, first: np.ndarray, size: int) -> list[np.nd
     return out
 
 
+def odd_sketch(sets: list[np.ndarray], words: int = ODD_WORDS) -> np.ndarray:
+    """The parity of each set's elements in each of 64 * words hash groups, as words (a row per set)."""
+    size = np.array([len(s) for s in sets])
+    groups = 64 * words
+    at = (np.concatenate([*sets, np.zeros(0, _U)]) % _U(groups)).astype(np.int64) + np.repeat(np.arange(len(sets)), size) * groups
+    odd = np.bincount(at, minlength=len(sets) * groups) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(sets), words)
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -108,16 +121,16 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarra
 
 
 def sketches(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", registers: int = REGISTERS) -> DataFrame:
-    """id, n_shingles, digest (of the whole set) and registers (little-endian uint16) per document."""
+    """id, n_shingles, digest (of the whole set), registers (little-endian uint16) and odd sketch per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _sets(batch.column(1), size):
                 rows = sketch(sets, registers).astype("<u2")
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "n_shingles", "digest", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(list(odd_sketch(sets)), pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "registers", "odd"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, registers binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, registers binary, odd array<long>")
 
 
 def _estimated(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -176,7 +189,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rows = scratch.cut(sketches(docs, size, id_col, text_col), "sketches", compression="none")
     full = rows.filter("n_shingles > 0")
     classes = scratch.cut(full.groupBy("digest").agg(F.min("id").alias("representative")), "classes")
-    heads = scratch.cut(full.join(classes.select(F.col("representative").alias("id")), "id", "left_semi").select("id", "n_shingles", "registers"), "heads", compression="none")
+    heads = scratch.cut(full.join(classes.select(F.col("representative").alias("id")), "id", "left_semi").select("id", "n_shingles", "registers", "odd"), "heads", compression="none")
 
     keys = F.array(*(F.xxhash64(F.expr(f"substring(registers, {2 * BAND * k + 1}, {2 * BAND})"), F.lit(k)) for k in range(REGISTERS // BAND)))
     members = heads.select("id", F.explode(keys).alias("bucket"))
@@ -189,9 +202,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     sized = buckets.join(heads.select("id", "n_shingles"), "id").join(joined, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
     split = sized.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    apart = scratch.cut(sized.join(split, "bucket", "left_semi"), "apart")
-    left, right = (apart.select("bucket", F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("component").alias(f"c_{k}")) for k in "ab")
-    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    apart = scratch.cut(sized.join(split, "bucket", "left_semi").join(heads.select("id", "odd"), "id"), "apart", compression="none")
+    left, right = (apart.select("bucket", F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("component").alias(f"c_{k}"), F.col("odd").alias(f"o_{k}")) for k in "ab")
+    # percent * union <= 100 * intersection bounds the difference by the sizes.
+    differ = sum((F.bit_count(F.col("o_a")[k].bitwiseXOR(F.col("o_b")[k])) for k in range(ODD_WORDS)), F.lit(0))
+    close = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     pairs = left.join(right, (left.bucket == right.bucket) & (F.col("c_a") < F.col("c_b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verified(scratch.cut(_estimated(pairs.join(tried, ["a", "b"], "left_anti"), heads, percent), "likely"), docs, percent, size, id_col, text_col)
     joined = scratch.cut(components(links.union(more)), "components")

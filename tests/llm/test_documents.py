@@ -120,6 +120,19 @@ def test_likelihood_estimates():
     assert (neardup.sketch([np.union1d(a, b)], 1920)[0] == np.maximum(ra, rb)).all()
 
 
+def test_odd_sketch_bounds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    for cut in (0, 1, 7, 60, 200):
+        a, b = pool[cut:], pool[: len(pool) - cut]
+        x, y = neardup.odd_sketch([a, b])
+        differ = sum(int(v & (2**64 - 1)).bit_count() for v in (x ^ y).tolist())
+        assert differ <= 2 * cut and (cut < 60 or differ > cut)
+    assert (neardup.odd_sketch([np.zeros(0, np.uint64)]) == 0).all()
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(7, 7)]
