@@ -28,7 +28,7 @@ from .textblocks import blocks, mix
 
 LENGTH = 400
 #: Bytes that decide on a boundary, and bytes between boundaries on average.
-GRAM, CHUNK = 16, 96
+GRAM, CHUNK = 16, 48
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
