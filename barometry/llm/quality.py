@@ -78,48 +78,79 @@ def votes(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return rows.withColumn("v", F.array(*map(one, rules)))
 
 
-#: How rules vote on good (1) and on bad (-1) documents, before any is seen.
+#: How rules vote on good (1) and on bad (-1) documents, before any is seen; how the broken rule votes on junk that breaks one.
 BELIEF = {1: {-1: 0.002, 0: 0.05, 1: 0.948}, -1: {-1: 0.3, 0: 0.1, 1: 0.6}}
+KIND = {-1: 0.9, 0: 0.03, 1: 0.07}
 WRONG, PASSED = 0.002, 0.6
 
 
-def _held(p: dict[int, float], side: int, wrong: float, passed: float) -> dict[int, float]:
-    """p within the known bounds; the other votes keep their shares."""
-    vote, value = (-1, min(p[-1], wrong)) if side == 1 else (1, max(p[1], passed))
-    rest = 1 - p[vote]
-    return {x: value if x == vote else (1 - value) * (p[x] / rest if rest else 0.5) for x in p}
+def _smooth(counts: dict[int, float], belief: dict[int, float], extra: float) -> dict[int, float]:
+    """The votes' shares, with extra documents that vote as believed."""
+    total = sum(counts.values()) + extra
+    return {x: (counts[x] + extra * belief[x]) / total for x in counts}
+
+
+def _right(p: dict[int, float], wrong: float) -> dict[int, float]:
+    """p with at most wrong bad votes; the other votes keep their shares."""
+    bad = min(p[-1], wrong)
+    return {x: bad if x == -1 else (1 - bad) * p[x] / (p[0] + p[1]) for x in p}
+
+
+def _broken(p: dict[int, float], good: dict[int, float], least: float, most: float) -> dict[int, float]:
+    """p with bad votes within bounds, such that neither an abstention nor a good vote speaks for junk, and the latter no more than the former."""
+    bad = max(good[-1], least, min(p[-1], most))
+    none = max(min((1 - bad) * p[0] / (p[0] + p[1]), good[0]), (1 - bad) * good[0] / (good[0] + good[1]))
+    return {-1: bad, 0: none, 1: 1 - bad - none}
 
 
 def fitted(patterns: dict[tuple[int, ...], int], steps: int = 200, strength: float = 0.02, wrong: float = WRONG, passed: float = PASSED) -> dict[tuple[int, ...], float]:
     """Each vote pattern's posterior of being good, by expectation-maximisation from counts.
 
-    BELIEF is the start, and its counts ``strength`` times the documents are added in each
-    step. Kinds of junk break one rule each and pass the others, so estimates are held to what
-    is known of all rules: a bad vote is wrong on at most ``wrong`` of the good documents, and bad
-    documents pass a rule at ``passed`` at least.
+    Documents are good, junk that may break every rule, or one of as many kinds of junk as
+    there are rules, which break that rule and pass the others as good documents do: one class
+    of junk alone must take in good documents to explain that most junk passes most rules.
+    BELIEF and KIND are the start, and their counts ``strength`` times the documents are added
+    in each step. A bad vote is wrong on at most ``wrong`` of the good documents. ``passed`` is
+    the share of junk held to break one rule only before any is seen, and the least share at
+    which other junk is not caught by a rule; at 0 there are no kinds. In every class of junk a
+    better vote never makes a document worse, whatever the counts.
     """
     if not patterns:
         return {}
-    width = len(next(iter(patterns)))
+    rules = range(len(next(iter(patterns))))
     total = sum(patterns.values())
-    prior = 0.85
-    table = {side: [dict(BELIEF[side]) for _ in range(width)] for side in (1, -1)}
+    extra = strength * total
+    # Classes: good, broad junk, one kind of junk for each rule.
+    start = [0.85, 0.15 * (1 - passed), *(0.15 * passed / len(rules) for _ in rules)]
+    share = start
+    rest = 1 - BELIEF[1][-1]
+    good = [{-1: wrong} | {x: BELIEF[1][x] * (1 - wrong) / rest for x in (0, 1)} for _ in rules]
+    broad = [_broken(BELIEF[-1], g, BELIEF[-1][-1], 1 - passed) for g in good]
+    kinds = [_broken(KIND, g, KIND[-1], 1) for g in good]
     post: dict[tuple[int, ...], float] = {}
     for _ in range(steps):
-        for v in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(table[1][k][x] / table[-1][k][x]) for k, x in enumerate(v))
-            post[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-        good = sum(n * post[v] for v, n in patterns.items())
-        new_prior = min(0.999, max(0.001, (good + 1) / (total + 2)))
-        for side in (1, -1):
-            mass = good if side == 1 else total - good
-            extra = strength * total
-            for k in range(width):
-                table[side][k] = {x: (sum(n * (post[v] if side == 1 else 1 - post[v]) for v, n in patterns.items() if v[k] == x) + extra * BELIEF[side][x]) / (mass + extra) for x in (-1, 0, 1)}
-                table[side][k] = _held(table[side][k], side, wrong, passed)
-        if abs(new_prior - prior) < 1e-9:
+        mass = [0.0] * len(share)
+        seen = [[dict.fromkeys((-1, 0, 1), 0.0) for _ in rules] for _ in range(3)]
+        for v, n in patterns.items():
+            # Odds of each class against good at equal shares: a kind differs in its own rule only.
+            odds = [1.0, math.prod(broad[k][x] / good[k][x] for k, x in enumerate(v)), *(kinds[k][x] / good[k][x] for k, x in enumerate(v))]
+            weight = [p * x for p, x in zip(share, odds, strict=True)]
+            whole = sum(weight)
+            post[v] = weight[0] / whole
+            part = [n * x / whole for x in weight]
+            mass = [a + x for a, x in zip(mass, part, strict=True)]
+            for k, x in enumerate(v):
+                seen[0][k][x] += max(0.0, n - part[1] - part[2 + k])
+                seen[1][k][x] += part[1]
+                seen[2][k][x] += part[2 + k]
+        good = [_right(_smooth(c, BELIEF[1], extra), wrong) for c in seen[0]]
+        broad = [_broken(_smooth(c, BELIEF[-1], extra), g, BELIEF[-1][-1], 1 - passed) for c, g in zip(seen[1], good, strict=True)]
+        kinds = [_broken(_smooth(c, KIND, extra), g, KIND[-1], 1) for c, g in zip(seen[2], good, strict=True)]
+        new = [(m + extra * b) / (total + extra) for m, b in zip(mass, start, strict=True)]
+        done = max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-9
+        share = new
+        if done:
             break
-        prior = new_prior
     return post
 
 

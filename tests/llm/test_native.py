@@ -56,6 +56,30 @@ def test_expectation_maximisation_finds_accuracies():
     assert right >= 0.995 * sum(map(max, truth.values()))
 
 
+def junk_patterns(kinds, abstain, n=100000):
+    """Counts of votes: kinds[k] of the documents break rule k alone; 'length' and 'lines' abstain on abstain of those they pass."""
+    out = {}
+    for k, share in [*enumerate(kinds), (None, 1 - sum(kinds))]:
+        for a in (0, 1):
+            for b in (0, 1):
+                v = tuple(-1 if i == k else {0: a, 4: b}.get(i, 1) for i in range(7))
+                part = share * (1 if k == 0 else abstain if a == 0 else 1 - abstain) * (1 if k == 4 else abstain if b == 0 else 1 - abstain)
+                # A pattern of a broken rule has no second version.
+                if round(n * part) and not (k == 0 and a) and not (k == 4 and b):
+                    out[v] = out.get(v, 0) + round(n * part)
+    return out
+
+
+@pytest.mark.parametrize("abstain", [0.02, 0.1, 0.5])
+def test_quality_holds_at_any_share_of_junk(abstain):
+    worlds = [[share / 7] * 7 for share in (0.01, 0.05, 0.14, 0.21, 0.35, 0.5)]
+    worlds += [[share / 7 + (0.33 if i == hot else 0) for i in range(7)] for hot in range(7) for share in (0.0, 0.01, 0.05, 0.14)]
+    for kinds in worlds:
+        post = quality.fitted(junk_patterns(kinds, abstain))
+        assert all((q >= 0.5) == (-1 not in v) for v, q in post.items()), kinds
+        assert all(post[a] >= post[b] - 1e-12 for a in post for b in post if all(x >= y for x, y in zip(a, b, strict=True))), kinds
+
+
 def test_secret_spans(spark, rows):
     got = {r.doc_id: r for r in secrets.summary(secrets.classified(make(spark, rows))).collect()}
     for d, t in rows:
