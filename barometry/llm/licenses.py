@@ -1,7 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Units of a file are its lines and, for short files, the whole text. Each unit's terms are
-weighed by the corpus-wide inverse document frequency and compared with the templates'.
+Units of a file are its lines, windows of up to WINDOW_LINES neighbouring lines and, for short
+files, the whole text. Each unit's terms are weighed by the corpus-wide inverse document
+frequency and compared with the templates'.
 A licence file (by its name) gives its licence to its directory; a file without a header of
 its own inherits from its nearest ancestor directory that has one.
 """
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Texts that name each licence; fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -30,7 +33,9 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Words of a short file or of a window of lines, at most; longer ones are no licence header.
 SHORT_FILE_WORDS = 400
+WINDOW_LINES = 4
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 _NOT_TERM = "[^a-z0-9.+-]+"
 
@@ -41,12 +46,10 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.split(F.trim(clean), " +"), "")
 
 
-def frequencies(files: DataFrame, terms: list[str], id_col: str, text_col: str) -> tuple[int, dict[str, int]]:
-    """The number of files, and of files that hold each of the templates' terms (a bounded list)."""
-    held = files.select(F.array_intersect(_terms(F.coalesce(F.col(text_col), F.lit(""))), F.array(*map(F.lit, terms))).alias("t"))
-    rows = held.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
-    counts = {r.term: r.n for r in rows}
-    return counts.pop("", 0), counts
+def frequencies(files: DataFrame, terms: list[str], text_col: str) -> DataFrame:
+    """(term, n): the number of files that hold each of terms, and each other term that two files hold at least; the empty term stands for all files."""
+    held = files.select(F.explode(F.concat(F.array_distinct(_terms(F.coalesce(F.col(text_col), F.lit("")))), F.array(F.lit("")))).alias("term"))
+    return scratch.cut(held.groupBy("term").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("term").isin("", *terms)), "frequencies")
 
 
 def template_weights(spark, idf: dict[str, float], templates) -> DataFrame:
@@ -77,7 +80,7 @@ def anchors(weights: list[tuple[str, int, str, float]], least: float) -> list[st
 def scan(files: DataFrame, path: Column | str = "path", id_col: str = "doc_id", text_col: str = "text", least: float = 0.7, templates: tuple[tuple[str, str], ...] = TEMPLATES, licence_file: str = LICENCE_FILE) -> DataFrame:
     """Per file: id, path, license (null: none known), score (cosine to the nearest template, if own), origin (header, inherited or null) and inherited_from (a directory).
 
-    Terms outside the templates weigh as if no file held them but one. Ties go to the
+    Every term weighs by the number of files that hold it. Ties go to the
     template listed first. Null texts are empty; a null path has no ancestors; rows of equal
     id count as one file (with the best of their scores).
     """
@@ -86,21 +89,26 @@ def scan(files: DataFrame, path: Column | str = "path", id_col: str = "doc_id",
     rows = files.select(F.col(id_col).alias("id"), where.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = spark.createDataFrame([(t,) for _, t in templates], "text string").select(_terms(F.col("text")).alias("w")).collect()
     terms = sorted({t for r in words for t in r.w})
-    total, held = frequencies(rows, terms, "id", "text")
+    counts = frequencies(rows, terms, "text")
+    # Of the templates' terms, a bounded list, and the number of files.
+    held = {r.term: r.n for r in counts.filter(F.col("term").isin("", *terms)).collect()}
+    total = held.pop("", 0)
     weigh = lambda n: math.log((1 + total) / (1 + n)) + 1
     idf = {t: weigh(held.get(t, 0)) for t in terms}
     weights = template_weights(spark, idf, templates)
     first = anchors([tuple(r) for r in weights.collect()], least)
 
     has_anchor = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, first)))
-    some = rows.filter(has_anchor(_terms(F.col("text")))).withColumn("all", _terms(F.col("text")))
-    units = F.concat(F.transform(F.split("text", "\n"), _terms), F.when(F.size("all") <= SHORT_FILE_WORDS, F.array("all")).otherwise(F.array().cast("array<array<string>>")))
+    some = rows.filter(has_anchor(_terms(F.col("text")))).select("id", F.filter(F.transform(F.split("text", "\n"), _terms), lambda w: F.size(w) > 0).alias("lines"))
+    short = lambda w: F.size(w) <= SHORT_FILE_WORDS
+    window = lambda n: F.when(F.size("lines") >= n, F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("lines") - n + 1)), lambda i: F.flatten(F.slice("lines", i, n))), short)).otherwise(F.array().cast("array<array<string>>"))
+    units = F.concat(F.col("lines"), *(window(n) for n in range(2, WINDOW_LINES + 1)), F.filter(F.array(F.flatten("lines")), short))
     unit = some.select("id", F.posexplode(F.filter(units, has_anchor)).alias("unit", "w"))
     counted = unit.select("id", "unit", F.explode("w").alias("term")).groupBy("id", "unit", "term").agg(F.count("*").alias("tf"))
-    # Both tables are as large as the templates, whatever the corpus.
-    idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    weighed = counted.join(F.broadcast(idfs), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weigh(1)))).drop("idf", "tf")
+    idfs = counts.select("term", (F.log((1 + total) / (1 + F.col("n"))) + 1).alias("idf"))
+    weighed = counted.join(idfs, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weigh(1)))).drop("idf", "tf")
     norms = weighed.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    # As large as the templates, whatever the corpus.
     dots = weighed.join(F.broadcast(weights), "term").groupBy("id", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     best = dots.join(norms, ["id", "unit"]).withColumn("score", F.col("dot") / F.col("norm")).filter(F.col("score") >= least - 1e-12).groupBy("id").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("template")).alias("k"), "license")).alias("b"))
     own = rows.select("id", "path").join(best.select("id", "b.license", "b.score"), "id", "left")

@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths: documents are filed by source, language and hundreds, and each hundred's first is its licence file."""
-    folder = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"))
-    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(table(spark, sf_dir, "documents"), F.concat_ws("/", folder, name))
+    """The table has no paths: documents are filed by source, language and hundreds; of each ten one is a licence file of its hundred, one of its language and one of its source."""
+    folders = [F.expr("cast(doc_id div 100 as string)"), F.col("lang"), F.col("source")]
+    number, ten = F.col("doc_id").cast("string"), F.col("doc_id") % 10
+    licence = F.concat(F.lit("LICENSE-"), number)
+    at = lambda k, name: F.concat_ws("/", *reversed(folders[k:]), name)
+    path = F.when(ten == 0, at(0, licence)).when(ten == 1, at(1, licence)).when(ten == 2, at(2, licence)).otherwise(at(0, F.concat(number, F.lit(".txt"))))
+    return licenses.scan(table(spark, sf_dir, "documents"), path)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,23 @@ def test_licences(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licence_terms_weigh_by_all_files(spark):
+    # Words that most files hold say little, also where no template has them.
+    filler = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"), F.lit("this project and its many parts are released under the table of contents").alias("text"))
+    lines = ["x" * 9] * 600
+    lines[300:300] = ["Permission is hereby granted, free of", "charge, to any person obtaining a copy of", "this software and associated documentation files"]
+    rows = [(3001, "a/one", "code\nThis project and its many parts are released under the MIT License.\n" + "more code of this project\n" * 200), (3002, "a/long", "\n".join(lines)), (3003, "a/none", "this project and its many parts are released under the table")]
+    got = {r.doc_id: r for r in licenses.scan(filler.union(spark.createDataFrame(rows, filler.schema))).filter("doc_id > 3000").collect()}
+    assert got[3001].license == got[3002].license == "MIT" and got[3003].license is None
+
+
+def test_licences_inherit_at_several_depths(spark):
+    lines = {"s/LICENSE-1": "Licensed under CC BY 4.0.", "s/en/LICENSE-2": "Released under the MIT License.", "s/en/0/LICENSE-3": "Licensed under the BSD 3-Clause License."}
+    rows = [*lines.items(), *((f"{d}/{i}.txt", "words") for d in ("s/de/4", "s/en/1", "s/en/0", "t/en/0") for i in range(5))]
+    got = {r.path: r for r in licenses.scan(spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    assert [(got[f"{d}/3.txt"].license, got[f"{d}/3.txt"].inherited_from) for d in ("s/de/4", "s/en/1", "s/en/0", "t/en/0")] == [("CC-BY-4.0", "s"), ("MIT", "s/en"), ("BSD-3-Clause", "s/en/0"), (None, None)]
+
+
 def test_licence_lines_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id for r in licenses.scan(docs, F.col("doc_id").cast("string")).filter("origin = 'header'").collect()}
