@@ -3,10 +3,12 @@
 Entities (e-mail addresses, phone and card numbers, IPv4 addresses, names after a title) are
 found by one pattern. Each distinct entity gets a replacement made from a keyed hash: letters
 become letters of the same case and script, digits digits, signs stay; card numbers keep their
-first digit and whether their check digit is right; names keep the title's gender. Equal
+first digit and whether their check digit is right; names keep the title's gender, and a name
+under titles of both counts as two persons. Letters of other scripts than _SCRIPTS become Latin. Equal
 entities get equal replacements everywhere (coreference), however they are punctuated, and
 distinct ones distinct replacements that are no entity of the corpus: replacements that
-collide are made anew with the next attempt's hash until none does.
+collide are made anew with the next attempt's hash until none does; from attempt SHAPED on they
+are longer by a sign an attempt, as their shape may have no free value left.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,8 @@ _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame)\.? "
 _TITLE = r"^(\p{L}+\.? )"
 #: Letters of each script that stand for each other; fixed values.
 _SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûü", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "0123456789")
+#: Attempts in an entity's own shape.
+SHAPED = 8
 _NAMES = {True: ("Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora"), False: ("Anton", "Bruno", "Emil", "Hugo", "Jonas", "Leon", "Martin", "Oscar")}
 
 
@@ -34,10 +38,10 @@ def _kind(value: Column) -> Column:
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, version (hash of the text) and the spans of each document that has any, each with kind, value and norm (what equal entities share)."""
+    """id, version (hash of the text) and the spans of each document that has any, each with kind, value, norm and female (what equal entities share)."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.col("t").rlike(PATTERN))
     norm = lambda v: F.when(_kind(v).isin("phone", "card"), F.regexp_replace(v, "[^0-9]", "")).when(_kind(v) == "name", F.regexp_replace(v, _TITLE, "")).when(_kind(v) == "email", F.lower(v)).otherwise(v)
-    spans = F.transform(found(F.col("t"), PATTERN, "", 0), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _kind(s.value).alias("kind"), s.value.alias("value"), norm(s.value).alias("norm")))
+    spans = F.transform(found(F.col("t"), PATTERN, "", 0), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _kind(s.value).alias("kind"), s.value.alias("value"), norm(s.value).alias("norm"), ((_kind(s.value) == "name") & s.value.rlike(_FEMALE)).alias("female")))
     return text.select("id", F.xxhash64("t").alias("version"), spans.alias("spans"))
 
 
@@ -52,7 +56,7 @@ def _like(value: Column, noise: Column) -> Column:
 
     def one(c: Column, i: Column) -> Column:
         number = F.conv(F.substring(noise, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
-        out = c
+        out = F.when(c.rlike(r"\p{Lu}"), F.substring(F.lit(_SCRIPTS[1]), number % 26 + 1, F.lit(1))).when(c.rlike(r"\p{L}"), F.substring(F.lit(_SCRIPTS[0]), number % 26 + 1, F.lit(1))).otherwise(c)
         for letters in _SCRIPTS:
             out = F.when(F.lit(letters).contains(c), F.substring(F.lit(letters), number % len(letters) + 1, F.lit(1))).otherwise(out)
         return out
@@ -68,7 +72,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """The replacement of (kind, norm) at an attempt; for phones and cards, of the digits alone."""
+    """The replacement of (kind, norm, female) at an attempt; for phones and cards, of the digits alone."""
     kind, norm, attempt, female = F.col("kind"), F.col("norm"), F.col("attempt"), F.col("female")
     noise = _noise(key, kind, norm, attempt, F.greatest(F.lit(1), F.ceil(F.length(norm) / 16).cast("int")))
     same = _like(norm, noise)
@@ -76,28 +80,30 @@ def _surrogate(key: str) -> Column:
     held = F.concat(F.substring(norm, 1, 1), F.substring(same, F.lit(2), F.length(norm)))
     digit = ((10 - _luhn(F.concat(F.substring(held, F.lit(1), F.length(held) - 1), F.lit("0")))) % 10).cast("string")
     card = F.when(_luhn(norm) == 0, F.concat(F.substring(held, F.lit(1), F.length(held) - 1), digit)).otherwise(held)
-    octet = lambda k: (F.conv(F.substring(noise, 4 * k + 1, 4), 16, 10).cast("int") % 254 + 1).cast("string")
+    octet = lambda k: (F.conv(F.substring(noise, 4 * k + 1, 4), 16, 10).cast("int") % F.when(attempt < SHAPED, 254).otherwise(999) + 1).cast("string")
     domain = F.regexp_extract(norm, r"\.[A-Za-z]+$", 0)
     email = F.concat(_like(F.substring(norm, F.lit(1), F.length(norm) - F.length(domain)), noise), domain)
     pick = lambda names: F.get(F.array(*map(F.lit, names)), F.conv(F.substring(noise, 1, 4), 16, 10).cast("int") % len(names))
     latin = norm.rlike("^[A-Za-zÀ-ÿ ]+$")
     given = F.when(female, pick(_NAMES[True])).otherwise(pick(_NAMES[False]))
     name = F.when(latin, F.concat(given, F.lit(" "), F.initcap(_like(F.lower(F.regexp_extract(norm, r"\S+$", 0)), noise)))).otherwise(same)
-    return F.when(kind == "card", card).when(kind == "phone", held).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "email", email).otherwise(name)
+    n_more = F.greatest(F.lit(0), attempt - (SHAPED - 1))
+    more = lambda sign: F.when(n_more > 0, _like(F.repeat(F.lit(sign), n_more), _noise(key, F.concat(kind, F.lit("+")), norm, attempt, F.ceil(n_more / 16).cast("int")))).otherwise("")
+    return F.when(kind == "card", F.concat(card, more("0"))).when(kind == "phone", F.concat(held, more("0"))).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "email", F.concat(more("a"), email)).otherwise(F.concat(name, more("a")))
 
 
 def surrogates(spans: DataFrame, key: str) -> DataFrame:
-    """(kind, norm) -> surrogate for every distinct entity of entities()'s rows."""
-    flat = spans.select(F.explode("spans").alias("s")).select("s.kind", "s.norm", F.when(F.col("s.kind") == "name", F.col("s.value").rlike(_FEMALE)).otherwise(False).alias("female"))
-    known = scratch.cut(flat.groupBy("kind", "norm").agg(F.max("female").alias("female")), "entities")
+    """(kind, norm, female) -> surrogate for every distinct entity of entities()'s rows."""
+    flat = spans.select(F.explode("spans").alias("s")).select("s.kind", "s.norm", "s.female")
+    known = scratch.cut(flat.distinct(), "entities")
     made = scratch.cut(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
     while True:
-        real = known.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
-        first = made.groupBy("kind", "surrogate").agg(F.min("norm").alias("first"))
-        judged = made.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").withColumn("again", (F.col("norm") != F.col("first")) | F.col("real").isNotNull())
+        real = known.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        first = made.groupBy("kind", "surrogate").agg(F.min(F.struct("norm", "female")).alias("first"))
+        judged = made.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").withColumn("again", (F.struct("norm", "female") != F.col("first")) | F.col("real").isNotNull())
         judged = scratch.cut(judged.select("kind", "norm", "female", "attempt", "surrogate", "again"), "judged")
         if not judged.filter("again").limit(1).count():
-            return judged.select("kind", "norm", "surrogate")
+            return judged.select("kind", "norm", "female", "surrogate")
         redone = judged.filter("again").select("kind", "norm", "female", (F.col("attempt") + 1).alias("attempt")).withColumn("surrogate", _surrogate(key))
         made = scratch.cut(judged.filter(~F.col("again")).select("kind", "norm", "female", "attempt", "surrogate").unionByName(redone), "surrogates")
 
@@ -105,7 +111,8 @@ def surrogates(spans: DataFrame, key: str) -> DataFrame:
 def _formatted(value: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the occurrence's own punctuation, title or capitals."""
     upto = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
-    filled = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, upto(i + 1), F.lit(1))).otherwise(c)), "")
+    # A surrogate of a later attempt may have more digits.
+    filled = F.concat(F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, upto(i + 1), F.lit(1))).otherwise(c)), ""), F.substring(surrogate, F.length(F.regexp_replace(value, "[^0-9]", "")) + 1, F.length(surrogate)))
     name = F.concat(F.regexp_extract(value, _TITLE, 1), surrogate)
     email = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
     return F.when(kind.isin("phone", "card"), filled).when(kind == "name", name).when(kind == "email", email).otherwise(surrogate)
@@ -119,7 +126,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """
     spans = scratch.cut(entities(docs, id_col, text_col).dropDuplicates(["id", "version"]), "spans")
     flat = spans.select("id", "version", F.explode("spans").alias("s")).select("id", "version", "s.*")
-    new = flat.join(surrogates(spans, key), ["kind", "norm"]).withColumn("new", _formatted(F.col("value"), F.col("kind"), F.col("surrogate")))
+    new = flat.join(surrogates(spans, key), ["kind", "norm", "female"]).withColumn("new", _formatted(F.col("value"), F.col("kind"), F.col("surrogate")))
     marks = new.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("marks"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))

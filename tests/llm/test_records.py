@@ -73,6 +73,21 @@ def test_surrogates_stay_distinct(spark):
     assert made.join(n.withColumnRenamed("norm", "surrogate"), "surrogate").count() == 0
 
 
+def test_surrogates_keep_each_gender(spark):
+    texts = ["Mr. Smith", "Mrs Smith", "Herr Smith", "Frau Иванова", "Herr Иванова"]
+    got = [r.text.split(" ") for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert [g[1] in pii._NAMES[True] for g in got[:3]] == [False, True, False] and got[0][1:] == got[2][1:]
+    assert got[3][1] != got[4][1]
+
+
+def test_surrogates_end_without_free_values(spark):
+    names = [f"Mr. {a}{b}" for a in "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ" for b in "абвгдежзиклмнопрстуфхцчшэюя"]
+    docs = spark.createDataFrame(list(enumerate([*names, "Mr. Պետրոսյան"])), "doc_id long, text string")
+    made = {r.norm: r.surrogate for r in pii.surrogates(pii.entities(docs), "k").collect()}
+    assert len(made) == len(set(made.values())) == len(names) + 1 and not set(made) & set(made.values())
+    assert re.fullmatch("[A-Z][a-z]{8}", made["Պետրոսյան"])
+
+
 def test_licences(spark):
     rows = [("a/LICENSE", "MIT\n\nReleased under the MIT License.\n"), ("a/b/x.py", "code"), ("a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\ncode the version"), ("z/q.txt", "the work is free and open to any person, under the law"), ("a/b/d/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/d/e/f.c", None), ("ab/x", ""), (None, "x"), ("LICENCE", "nothing"), ("top", "Licensed under CC BY-NC 4.0.")]
     rows += [(f"n/{i}", "the license of this version is general " * 3) for i in range(30)]
