@@ -1,7 +1,11 @@
 """Surrogates for personal data, in Spark's functions only.
 
 Entities (e-mail addresses, phone and card numbers, IPv4 addresses, names after a title) are
-found by one pattern. Each distinct entity gets a replacement made from a keyed hash: letters
+found by one pattern. Phone numbers: E.164 and other international groupings (+ or 00), North
+American (3-3-4) and, by a leading 0, European national ones, and Spanish ones in groups. Cards:
+16 digits in fours or unbroken, 15 as 4-6-5 or unbroken. Not found: names without a title, the rest of
+names with inner capitals, apostrophes or hyphens, local numbers without an area, unbroken national
+numbers without a leading 0, cards of other lengths, IPv6 and postal addresses, and identity and account numbers. Each distinct entity gets a replacement made from a keyed hash: letters
 become letters of the same case and script, digits digits, signs stay; card numbers keep their
 first digit and whether their check digit is right; names keep the title's gender, and a name
 under titles of both counts as two persons. Letters of other scripts than _SCRIPTS become Latin. Equal
@@ -20,12 +24,21 @@ from .spans import found, rewritten
 KINDS = ("email", "ip", "phone", "card", "name")
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
-_CARD = r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])"
-_NAME = r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
-PATTERN = "|".join((_EMAIL, _IP, _PHONE, _CARD, _NAME))
-_FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame)\.? "
-_TITLE = r"^(\p{L}+\.? )"
+_SEPARATED = r"(?:[ ./()-]{0,2}[0-9])"
+_PHONE = "|".join((
+    rf"\+1{_SEPARATED}{{10}}(?![0-9])",
+    rf"(?:\+|(?<![0-9A-Za-z.,+-])00)[1-9]{_SEPARATED}{{6,14}}+(?![0-9])",
+    r"(?<![0-9A-Za-z(.,+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    rf"(?<![0-9A-Za-z(.,+/-])\(?0[1-9]{_SEPARATED}{{7,11}}+(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z(.,+-])[6-9][0-9]{2}(?:(?:[ .-][0-9]{3}){2}|(?:[ .-][0-9]{2}){3})(?![0-9A-Za-z])",
+    r"(?<![0-9A-Za-z(.,+-])9[0-9] [0-9]{3} [0-9]{2} [0-9]{2}(?![0-9A-Za-z])",
+))
+_CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}(?:[0-9]{11}|[ -][0-9]{6}[ -][0-9]{5}))(?![0-9A-Za-z])"
+_TITLES = r"(?:(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Señorita|Monsieur|Madame|Mademoiselle|Dr|Dra|Prof|Mme|Mlle|Sr|Sra|Srta)\.? |M\. )+"
+_NAME = rf"(?<!\p{{L}}){_TITLES}\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+PATTERN = "|".join((_EMAIL, _IP, _CARD, _PHONE, _NAME))
+_FEMALE = r"^(?:\p{L}+\.? )*?(?:Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Dra|Mme|Mlle|Sra|Srta)\.? "
+_TITLE = f"^({_TITLES})"
 #: Letters of each script that stand for each other; fixed values.
 _SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûü", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "0123456789")
 #: Attempts in an entity's own shape.
@@ -34,7 +47,7 @@ _NAMES = {True: ("Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "No
 
 
 def _kind(value: Column) -> Column:
-    return F.when(value.contains("@"), "email").when(value.rlike(_NAME), "name").when(value.startswith("+"), "phone").when(value.rlike(r"^[0-9]+\."), "ip").otherwise("card")
+    return F.when(value.contains("@"), "email").when(value.rlike(_NAME), "name").when(value.rlike(f"^(?:{_IP})$"), "ip").when(value.rlike(f"^(?:{_CARD})$"), "card").otherwise("phone")
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

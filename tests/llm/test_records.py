@@ -73,6 +73,21 @@ def test_surrogates_stay_distinct(spark):
     assert made.join(n.withColumnRenamed("norm", "surrogate"), "surrogate").count() == 0
 
 
+def test_entities_of_each_form(spark):
+    forms = {
+        "phone": ["+14155552671", "+1 (743) 555-3824", "+33 1 23 45 67 89", "+49 30 123456", "+49 (0)30 1234567", "0034 612 345 678", "(415) 555-2671", "415-555-2671", "415.555.2671", "01 23 45 67 89", "01.23.45.67.89", "030 1234567", "(030) 1234567", "612 345 678", "612 34 56 78", "91 234 56 78"],
+        "card": ["4532 0151 1283 0366", "4532015112830366", "3782 822463 10005", "378282246310005"],
+        "name": ["Dr. Smith", "Mme Dupont", "M. Dupont", "Sr. Pérez", "Sra. Gómez", "Herr Dr. Müller", "Prof. Anna Lang"],
+        "ip": ["144.137.247.239"],
+    }
+    rows = [(kind, f) for kind, values in forms.items() for f in values]
+    docs = spark.createDataFrame([(i, f"see {f}, then") for i, (_, f) in enumerate(rows)], "doc_id long, text string")
+    got = {r.id: [(s.kind, s.value) for s in r.spans] for r in pii.entities(docs).collect()}
+    assert {rows[i]: got.get(i) for i in range(len(rows))} == {x: [x] for x in rows}
+    clean = ["on 01.02.2024 we", "in 2024 2025 2026", "at 12:30, 99.9% of 1,000,000", "pi is 3.14159265358979", "M Dupont"]
+    assert pii.entities(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")).count() == 0
+
+
 def test_surrogates_keep_each_gender(spark):
     texts = ["Mr. Smith", "Mrs Smith", "Herr Smith", "Frau Иванова", "Herr Иванова"]
     got = [r.text.split(" ") for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
