@@ -38,12 +38,14 @@ def _wall_ms(date, minute, tz):
 def session_windows(symbols: DataFrame, defs: DataFrame, holidays: DataFrame | None = None, half_days: DataFrame | None = None) -> DataFrame:
     """symbol, session_key, trade_date, start_ts, end_ts (half-open, ms) and is_half_day.
 
-    symbols: symbol, first, last. defs: a few rows. holidays: date. half_days: date and
+    symbols: symbol, first, last. defs: any number of rows. holidays: date. half_days: date and
     close_min in the session's zone. Weekends are left out unless a session is for every day;
     an overnight session starts on the day before its trade date.
     """
     days = symbols.select("symbol", F.explode(F.sequence("first", "last")).alias("trade_date"))
-    rows = days.join(F.broadcast(defs.limit(1000)), F.col("every_day") | (F.weekday("trade_date") < 5))
+    # A weekday has sessions of both kinds, a day of the weekend those of every day.
+    of_kind = F.explode(F.when(F.weekday("trade_date") < 5, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
+    rows = days.withColumn("every_day", of_kind).join(defs.withColumn("every_day", F.coalesce("every_day", F.lit(False))), "every_day")
     if holidays is not None:
         rows = rows.join(holidays.select(F.col("date").alias("trade_date")).distinct(), "trade_date", "left_anti")
     rows = rows.withColumn("start_ts", _wall_ms(F.when(F.col("overnight"), F.date_sub("trade_date", 1)).otherwise(F.col("trade_date")), F.col("start_min"), F.col("tz"))).withColumn("end_ts", _wall_ms(F.col("trade_date"), F.col("end_min"), F.col("tz")))

@@ -243,3 +243,10 @@ def test_alerts_fire_once(spark, tmp_path):
     rows = monitor.replay(spark, ledger).collect()
     assert len(rows) == 1 and rows[0].snapshot.n == 40 and rows[0].text.startswith("A 2024-01-05 w: 0.7500")
     assert monitor.replay(spark, ledger, rows[0].id).count() == 1
+
+
+def test_windows_of_many_definitions(spark):
+    defs = spark.createDataFrame([(f"k{i}", i % 600, 600 + i % 600, "UTC", False, i % 2 == 0) for i in range(1501)], calendars.DEFS)
+    symbols = spark.sql("select 's' as symbol, date'2024-03-01' as first, date'2024-03-02' as last")
+    got = calendars.session_windows(symbols, defs).groupBy("trade_date").count().orderBy("trade_date").collect()
+    assert [r["count"] for r in got] == [1501, 751]
