@@ -11,6 +11,7 @@ groups; Parquet's page indexes let a reader take a range of documents, or the co
 without the ids, and skip all else.
 """
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 from . import scratch
 from .textblocks import take_ranges
 
-ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
 END_ID = 1
-#: Bytes of text whose chunks are encoded together, and whose ids are gathered at once.
-CODED_BYTES, GATHERED_BYTES = 24 << 20, 2 << 20
+#: Bytes of text whose chunks are encoded together, and whose ids are gathered at once; distinct chunks whose ids an encoder keeps for the next texts, at most.
+CODED_BYTES, GATHERED_BYTES, KEPT = 8 << 20, 1 << 20, 1 << 19
 
 
 #: Chunks of letters that lower-case and compose to themselves, and then maybe signs: the tokenizer sees one or two words in them. The apostrophe is left out, as it starts words of its own.
@@ -47,8 +48,17 @@ class Ids(NamedTuple):
     size: np.ndarray
 
 
+def splits_at_space(tokenizer) -> bool:
+    """Whether a tokenizer composes and lower-cases text, drops white space, keeps words of letters apart from signs and marks the ends of words."""
+    told = json.loads(tokenizer.to_str())
+    steps = lambda name, many: (told[name] or {}).get(many, [told[name] or {}])
+    first = steps("pre_tokenizer", "pretokenizers")[0]
+    dropped = (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True) and first["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    return [s.get("type") for s in steps("normalizer", "normalizers")] == ["NFC", "Replace", "Lowercase"] and dropped and told["model"].get("end_of_word_suffix") == "</w>"
+
+
 class Encoder:
-    """Encodes batches of texts.
+    """Encodes batches of texts; those of tokenizers of another kind than splits_at_space() asks for, as whole texts.
 
     A plain chunk is a word of letters, whose case the tokenizer drops, and maybe signs. The
     distinct words, and the distinct runs of signs, are encoded many at a time, joined by
@@ -64,6 +74,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_chunk = splits_at_space(self.tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kept, self.ids = pa.array([], pa.string()), Ids(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,12 +117,34 @@ class Encoder:
         both = size.sum(1)
         return Ids(flat[take_ranges(start.ravel(), size.ravel())], np.cumsum(both) - both, both)
 
+    def known(self, chunks: pa.Array) -> Ids:
+        """Ids of distinct chunks; those of earlier texts are remembered, and forgotten when there are too many."""
+        if len(self.kept) > KEPT:
+            self._forget()
+        at = pc.index_in(chunks, self.kept)
+        new = chunks.filter(pc.is_null(at))
+        if len(new):
+            more, n = self.chunks(new), len(self.kept)
+            self.ids = Ids(np.concatenate([self.ids.flat, more.flat]), np.concatenate([self.ids.start, len(self.ids.flat) + more.start]), np.concatenate([self.ids.size, more.size]))
+            self.kept = pa.concat_arrays([self.kept, new])
+            index = at.to_numpy(zero_copy_only=False)
+            place = np.empty(len(chunks), np.int64)
+            is_new = np.isnan(index)
+            place[~is_new], place[is_new] = index[~is_new], n + np.arange(len(new))
+        else:
+            place = at.to_numpy()
+        return Ids(self.ids.flat, self.ids.start[place], self.ids.size[place])
+
     def __call__(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For some rows [a, b) after another: their ids (null: empty), end_id after each text, and the texts' offsets in them."""
-        for lo, hi in slices(texts, CODED_BYTES):
+        for lo, hi in slices(texts, CODED_BYTES if self.by_chunk else GATHERED_BYTES):
+            if not self.by_chunk:
+                ids = [[*x, end_id] for x in self.encode(texts[lo:hi].fill_null("").to_pylist())]
+                yield lo, hi, np.array([i for x in ids for i in x], np.uint32), np.cumsum([0, *map(len, ids)])
+                continue
             split = pc.ascii_split_whitespace(texts[lo:hi].fill_null(""))
             coded = pc.dictionary_encode(split.flatten())
-            known = self.chunks(coded.dictionary)
+            known = self.known(coded.dictionary)
             chunk_at = np.asarray(split.offsets) - split.offsets[0].as_py()
             del split
             index = coded.indices.to_numpy()
