@@ -10,7 +10,8 @@ WARN, REFUSE, RECENT = 30, 10, 250
 
 
 def wilson(n: Column, k: Column) -> tuple[Column, Column]:
-    """Bounds of the 95 % score interval of k successes in n; null without trials."""
+    """Bounds of the 95 % score interval of k successes in n; null without trials, an error if k is outside 0 to n."""
+    k = F.when((n > 0) & ((k < 0) | (k > n)), F.raise_error(F.lit("successes must be from 0 to the number of trials"))).otherwise(k)
     m, p = n.cast("double"), F.try_divide(k.cast("double"), n.cast("double"))
     below = 1.0 + Z * Z / m
     centre = p + Z * Z / (2.0 * m)

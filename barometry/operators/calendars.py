@@ -10,11 +10,11 @@ BUILT_IN = {
     "NYSE": [("rth", 570, 960, "America/New_York", False, False)],
     "CME": [("rth", 570, 960, "America/New_York", False, False), ("globex", 1080, 1020, "America/New_York", True, False)],
     "CRYPTO": [("utc", 0, 1440, "UTC", False, True), ("ny", 570, 960, "America/New_York", False, True)],
-    "FX": [("sydney", 420, 960, "Australia/Sydney", False, False), ("tokyo", 540, 1080, "Asia/Tokyo", False, False), ("london", 480, 1020, "Europe/London", False, False), ("newyork", 480, 1020, "America/New_York", False, False)],
+    "FX": [("sydney", 1260, 360, "UTC", True, False), ("tokyo", 0, 540, "UTC", False, False), ("london", 420, 960, "UTC", False, False), ("newyork", 720, 1260, "UTC", False, False)],
 }
 DEFS = "session_key string, start_min int, end_min int, tz string, overnight boolean, every_day boolean"
 #: Exchange and default session of each asset class; fixed values.
-DEFAULTS = {"stock": ("NYSE", "rth"), "future": ("CME", "rth"), "crypto": ("CRYPTO", "utc"), "fx": ("FX", "newyork")}
+DEFAULTS = {"equity": ("NYSE", "rth"), "future": ("CME", "rth"), "crypto": ("CRYPTO", "utc"), "forex": ("FX", "london")}
 
 
 def definitions(spark: SparkSession, exchange: str, overrides: list[tuple] = ()) -> DataFrame:
@@ -23,6 +23,24 @@ def definitions(spark: SparkSession, exchange: str, overrides: list[tuple] = ())
     return spark.createDataFrame(list(rows.values()), DEFS)
 
 
+def with_defaults(symbols: DataFrame) -> DataFrame:
+    """symbols (symbol, asset_class and maybe exchange and default_session) with the class's exchange and session where none is named; an unknown class has none."""
+    named = lambda k: F.col(k) if k in symbols.columns else F.lit(None).cast("string")
+    by_class = lambda i: F.coalesce(*(F.when(F.col("asset_class") == c, v[i]) for c, v in DEFAULTS.items()))
+    return symbols.withColumns({"exchange": F.coalesce(named("exchange"), by_class(0)), "default_session": F.coalesce(named("default_session"), by_class(1))})
+
+
+def symbol_definitions(symbols: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """symbol and the columns of DEFS: the sessions of each symbol's exchange, and its overrides (symbol and DEFS), which add sessions or replace those of their key."""
+    spark = symbols.sparkSession
+    built_in = spark.createDataFrame([(exchange, *d) for exchange, some in BUILT_IN.items() for d in some], f"exchange string, {DEFS}")
+    # Every built-in session has a row; symbols stay as they are dealt.
+    own = with_defaults(symbols).select("symbol", "exchange").join(F.broadcast(built_in), "exchange").drop("exchange")
+    if overrides is None:
+        return own
+    return own.join(overrides.select("symbol", "session_key"), ["symbol", "session_key"], "left_anti").unionByName(overrides)
+
+
 def spans(bars: DataFrame) -> DataFrame:
     """Per symbol, the days that its windows must cover: from 3 before its first bar to 2 after its last."""
     day = lambda x: F.date_from_unix_date(F.floor(x / DAY_MS).cast("int"))
@@ -38,14 +56,15 @@ def _wall_ms(date, minute, tz):
 def session_windows(symbols: DataFrame, defs: DataFrame, holidays: DataFrame | None = None, half_days: DataFrame | None = None) -> DataFrame:
     """symbol, session_key, trade_date, start_ts, end_ts (half-open, ms) and is_half_day.
 
-    symbols: symbol, first, last. defs: any number of rows. holidays: date. half_days: date and
+    symbols: symbol, first, last. defs: any number of rows, for all symbols or (with a column
+    symbol) for one each. holidays: date. half_days: date and
     close_min in the session's zone. Weekends are left out unless a session is for every day;
     an overnight session starts on the day before its trade date.
     """
     days = symbols.select("symbol", F.explode(F.sequence("first", "last")).alias("trade_date"))
     # A weekday has sessions of both kinds, a day of the weekend those of every day.
     of_kind = F.explode(F.when(F.weekday("trade_date") < 5, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True))))
-    rows = days.withColumn("every_day", of_kind).join(defs.withColumn("every_day", F.coalesce("every_day", F.lit(False))), "every_day")
+    rows = days.withColumn("every_day", of_kind).join(defs.withColumn("every_day", F.coalesce("every_day", F.lit(False))), ["every_day", *(["symbol"] if "symbol" in defs.columns else [])])
     if holidays is not None:
         rows = rows.join(holidays.select(F.col("date").alias("trade_date")).distinct(), "trade_date", "left_anti")
     rows = rows.withColumn("start_ts", _wall_ms(F.when(F.col("overnight"), F.date_sub("trade_date", 1)).otherwise(F.col("trade_date")), F.col("start_min"), F.col("tz"))).withColumn("end_ts", _wall_ms(F.col("trade_date"), F.col("end_min"), F.col("tz")))
@@ -58,6 +77,11 @@ def session_windows(symbols: DataFrame, defs: DataFrame, holidays: DataFrame | N
     return rows.filter("end_ts > start_ts").select("symbol", "session_key", "trade_date", "start_ts", "end_ts", "is_half_day")
 
 
+def calendar(windows: DataFrame, symbol: str, since: str, until: str) -> DataFrame:
+    """One symbol's windows with trade dates from since to until, both included."""
+    return windows.filter((F.col("symbol") == symbol) & F.col("trade_date").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+
+
 def assign(bars: DataFrame, windows: DataFrame) -> DataFrame:
     """Bars inside [start_ts, end_ts) of their symbol's windows.
 

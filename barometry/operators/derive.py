@@ -1,13 +1,14 @@
 """One wide feature row per symbol, session key and trade date."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MINUTE_MS, gap_bucket, minutes_since, percent, rounded
 
 KEYS = ["symbol", "session_key", "trade_date"]
-OR_WINDOWS = (15, 30, 60)
+OR_WINDOWS = (5, 10, 15, 30, 60)
 IB_WINDOW = 60
 MAX_ZONES = 60
 
@@ -17,39 +18,73 @@ def in_series() -> WindowSpec:
     return Window.partitionBy("symbol", "session_key").orderBy("trade_date")
 
 
-def session_stats(assigned: DataFrame, windows: tuple[int, ...] = OR_WINDOWS) -> DataFrame:
-    """Aggregates of each session's bars, with each opening range's levels, breaks and extremes.
+def _opens_after_roll(first: Column, last: Column, before: Column) -> Column:
+    """Whether the contract changed since the session before, or inside this one."""
+    return F.coalesce(first != before, F.lit(False)) | F.coalesce(first != last, F.lit(False))
 
-    Levels come from window functions over the same keys as the aggregation, so bars are
-    shuffled once.
+
+def _contract(which) -> Column:
+    return which("contract", F.when(F.col("contract").isNotNull(), F.col("ts")))
+
+
+def extremes(assigned: DataFrame) -> DataFrame:
+    """high, low, close, contract_first and contract_last of each session, from partial aggregates of its bars."""
+    return assigned.groupBy(*KEYS).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), _contract(F.min_by).alias("contract_first"), _contract(F.max_by).alias("contract_last"))
+
+
+def prior_levels(sessions: DataFrame) -> DataFrame:
+    """Of each of sessions (extremes(), or rows that have its columns) with a session before it: that one's close, high and low, unless the contract rolls between."""
+    rolled = _opens_after_roll(F.col("contract_first"), F.col("contract_last"), _lag("contract_last"))
+    before = sessions.select(*KEYS, *(F.when(~rolled, _lag(x)).alias(f"lag_{x}") for x in ("close", "high", "low")))
+    return before.filter("lag_close <> 0")
+
+
+def session_stats(assigned: DataFrame, windows: tuple[int, ...] = OR_WINDOWS, levels: DataFrame | None = None) -> DataFrame:
+    """Aggregates of each session's bars, with each opening range's levels, breaks and extremes and the first bars at the prior session's levels.
+
+    Levels come from window functions over the same keys as the aggregation and the join with
+    the prior levels (unless given, those of the bars themselves), so bars are shuffled once.
     """
+    levels = prior_levels(extremes(assigned)) if levels is None else levels
     own = Window.partitionBy(*KEYS)
-    rows = assigned.withColumn("top", F.max("high").over(own)).withColumn("bottom", F.min("low").over(own))
+    rows = assigned.join(levels, KEYS, "left").withColumns({"top": F.max("high").over(own), "bottom": F.min("low").over(own)})
     aggregates = [F.count("*").cast("int").alias("bar_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")]
-    named = F.when(F.col("contract").isNotNull(), F.col("ts"))
-    aggregates += [F.min_by("contract", named).alias("contract_first"), F.max_by("contract", named).alias("contract_last"), F.min(F.when(F.col("high") >= F.col("top"), F.col("ts"))).alias("high_ts"), F.min(F.when(F.col("low") <= F.col("bottom"), F.col("ts"))).alias("low_ts")]
+    at = lambda cond: F.min(F.when(cond, F.col("ts")))
+    high, low = F.col("high"), F.col("low")
+    aggregates += [_contract(F.min_by).alias("contract_first"), _contract(F.max_by).alias("contract_last"), at(high >= F.col("top")).alias("high_ts"), at(low <= F.col("bottom")).alias("low_ts")]
+    aggregates += [at(low <= F.col("lag_close")).alias("fill_up"), at(high >= F.col("lag_close")).alias("fill_dn"), at(high >= F.col("lag_high")).alias("touch_h"), at(low <= F.col("lag_low")).alias("touch_l")]
+    inside = {w: F.col("ts") < F.col("start_ts") + w * MINUTE_MS for w in windows}
+    rows = rows.withColumns({f"{k}{w}": f(F.when(inside[w], F.col(x))).over(own) for w in windows for k, f, x in (("h", F.max, "high"), ("l", F.min, "low"))})
     for w in windows:
-        inside = F.col("ts") < F.col("start_ts") + w * MINUTE_MS
-        rows = rows.withColumn(f"h{w}", F.max(F.when(inside, F.col("high"))).over(own)).withColumn(f"l{w}", F.min(F.when(inside, F.col("low"))).over(own))
-        after = lambda x, c: F.when(~inside & c, x)  # noqa: B023,E731
-        aggregates += [F.first(f"h{w}").alias(f"h{w}"), F.first(f"l{w}").alias(f"l{w}"), F.count(F.when(inside, 1)).alias(f"bars{w}"), F.min(after(F.col("ts"), F.col("high") > F.col(f"h{w}"))).alias(f"up{w}"), F.min(after(F.col("ts"), F.col("low") < F.col(f"l{w}"))).alias(f"dn{w}"), F.max(after(F.col("high"), F.lit(True))).alias(f"ph{w}"), F.min(after(F.col("low"), F.lit(True))).alias(f"pl{w}")]
+        after = ~inside[w]
+        aggregates += [F.first(f"h{w}").alias(f"h{w}"), F.first(f"l{w}").alias(f"l{w}"), F.count(F.when(inside[w], 1)).alias(f"bars{w}"), at(after & (high > F.col(f"h{w}"))).alias(f"up{w}"), at(after & (low < F.col(f"l{w}"))).alias(f"dn{w}"), F.max(F.when(after, high)).alias(f"ph{w}"), F.min(F.when(after, low)).alias(f"pl{w}")]
     return rows.groupBy(*KEYS, "start_ts", "end_ts", "is_half_day").agg(*aggregates)
 
 
 def opening_ranges(stats: DataFrame, windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
     """stats with or<w>_ columns and ib_break; null where the range has no bars or none follows."""
-    out = stats
+    made: dict[str, Column] = {}
     for w in windows:
         up, dn, high, low = (F.col(f"{k}{w}") for k in ("up", "dn", "h", "l"))
         valid = (F.col(f"bars{w}") > 0) & (F.col("bar_count") > F.col(f"bars{w}"))
         first = F.when(up.isNotNull() & (dn.isNull() | (up <= dn)), "up").when(dn.isNotNull(), "down").otherwise("none")
         at = F.when(first == "up", up).when(first == "down", dn)
         extent = lambda broke, past: F.when(broke.isNotNull() & (high - low > 0), rounded(F.try_divide(F.greatest(F.lit(0.0), past), high - low), 6))  # noqa: B023,E731
-        for name, value in (("high", high), ("low", low), ("range", high - low), ("first_break", first), ("break_min", minutes_since(at, F.col("start_ts"))), ("false_break", F.when(first == "up", F.col("close") < high).when(first == "down", F.col("close") > low)), ("broke_both", up.isNotNull() & dn.isNotNull()), ("ext_up_r", extent(up, F.col(f"ph{w}") - high)), ("ext_dn_r", extent(dn, low - F.col(f"pl{w}")))):
-            out = out.withColumn(f"or{w}_{name}", F.when(valid, value))
+        values = (
+            ("high", high),
+            ("low", low),
+            ("range", high - low),
+            ("first_break", first),
+            ("break_min", minutes_since(at, F.col("start_ts"))),
+            ("false_break", F.when(first == "up", F.col("close") < high).when(first == "down", F.col("close") > low)),
+            ("broke_both", up.isNotNull() & dn.isNotNull()),
+            ("ext_up_r", extent(up, F.col(f"ph{w}") - high)),
+            ("ext_dn_r", extent(dn, low - F.col(f"pl{w}"))),
+        )
+        made |= {f"or{w}_{name}": F.when(valid, value) for name, value in values}
         if w == ib:
-            out = out.withColumn("ib_break", F.when(valid, F.when(up.isNotNull() & dn.isNotNull(), "double").when(up.isNotNull(), "single_up").when(dn.isNotNull(), "single_down").otherwise("none")))
-    return out.drop(*(f"{k}{w}" for w in windows for k in ("up", "dn", "h", "l", "ph", "pl", "bars")))
+            made["ib_break"] = F.when(valid, F.when(up.isNotNull() & dn.isNotNull(), "double").when(up.isNotNull(), "single_up").when(dn.isNotNull(), "single_down").otherwise("none"))
+    return stats.withColumns(made).drop(*(f"{k}{w}" for w in windows for k in ("up", "dn", "h", "l", "ph", "pl", "bars")))
 
 
 def _lag(name: str) -> Column:
@@ -60,14 +95,11 @@ def cross_session(stats: DataFrame, bar_ms: int) -> DataFrame:
     """stats with everything that looks at earlier sessions of the same key, complete or not."""
     grace = max(2 * bar_ms, 15 * MINUTE_MS)
     out = stats.withColumn("complete", (F.col("first_ts") <= F.col("start_ts") + grace) & (F.col("last_ts") >= F.col("end_ts") - grace - bar_ms))
-    for name in ("open", "high", "low", "close", "contract_last"):
-        out = out.withColumn(f"p_{name}", _lag(name))
-    first, last = F.col("contract_first"), F.col("contract_last")
+    out = out.withColumns({f"p_{name}": _lag(name) for name in ("open", "high", "low", "close", "contract_last")})
     out = out.withColumn("has_prev", F.row_number().over(in_series()) > 1)
-    roll = F.col("has_prev") & (F.coalesce(first != F.col("p_contract_last"), F.lit(False)) | F.coalesce(first != last, F.lit(False)))
+    roll = F.col("has_prev") & _opens_after_roll(F.col("contract_first"), F.col("contract_last"), F.col("p_contract_last"))
     out = out.withColumn("is_roll_day", roll).withColumn("use_prev", F.col("has_prev") & ~F.col("is_roll_day"))
-    for name in ("close", "high", "low"):
-        out = out.withColumn(f"prev_{name}", F.when(F.col("use_prev"), F.col(f"p_{name}")))
+    out = out.withColumns({f"prev_{name}": F.when(F.col("use_prev"), F.col(f"p_{name}")) for name in ("close", "high", "low")})
     o, h, low, c, pc, ph, pl = (F.col(x) for x in ("open", "high", "low", "close", "prev_close", "prev_high", "prev_low"))
     gap = F.when(pc != 0, o - pc)
     out = out.withColumns({"range_abs": h - low, "green": c > o, "prev_mid": (ph + pl) / 2.0, "prev_range": ph - pl, "gap_abs": gap, "gap_raw": percent(gap, pc), "gap_dir": F.when(gap > 0, "up").when(gap < 0, "down").when(gap == 0, "none")})
@@ -95,12 +127,9 @@ def cross_session(stats: DataFrame, bar_ms: int) -> DataFrame:
     return out.drop("p_open", "p_high", "p_low", "p_close", "p_contract_last", "has_prev", "use_prev", "gap_raw", "tr", "atr", "avg20", "low3", "low6", "green_run", "red_run")
 
 
-def touches(assigned: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with the first bars that reach the prior session's close, high and low."""
-    levels = rows.filter("gap_dir is not null").select(*KEYS, "prev_close", "prev_high", "prev_low")
-    hit = lambda cond: F.min(F.when(cond, F.col("ts")))
-    scan = assigned.select(*KEYS, "ts", "high", "low").join(levels, KEYS).groupBy(*KEYS).agg(hit(F.col("low") <= F.col("prev_close")).alias("fill_up"), hit(F.col("high") >= F.col("prev_close")).alias("fill_dn"), hit(F.col("high") >= F.col("prev_high")).alias("touch_h"), hit(F.col("low") <= F.col("prev_low")).alias("touch_l"))
-    out = rows.join(scan, KEYS, "left")
+def touches(rows: DataFrame) -> DataFrame:
+    """rows with what their first bars at the prior session's close, high and low say."""
+    out = rows
     up = F.col("gap_dir") == "up"
     gapped, fill = F.col("gap_dir").isin("up", "down"), F.when(up, F.col("fill_up")).otherwise(F.col("fill_dn"))
     scanned = F.col("gap_dir").isNotNull()
@@ -112,10 +141,11 @@ def touches(assigned: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def gap_zones(rows: DataFrame, cap: int = MAX_ZONES) -> DataFrame:
-    """fvg_above and fvg_below per session: whether an unfilled zone between sessions i-2 and i stands above or below the open.
+    """rows with fvg_above and fvg_below: whether an unfilled zone between sessions i-2 and i stands above or below the open.
 
     A zone lives until a later session's range pierces it; of more than cap, the oldest goes.
-    One task holds one series of sessions (a few thousand short rows).
+    One task holds one series of sessions (a few thousand rows); all columns pass through it, so
+    that rows are derived once.
     """
 
     def one(series: pd.DataFrame) -> pd.DataFrame:
@@ -133,12 +163,39 @@ def gap_zones(rows: DataFrame, cap: int = MAX_ZONES) -> DataFrame:
             past.append((high, low))
         return series[KEYS].assign(fvg_above=above, fvg_below=below)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", fvg_above boolean, fvg_below boolean"
-    return rows.select(*KEYS, "open", "high", "low").groupBy("symbol", "session_key").applyInPandas(one, schema)
+    def all_columns(table: pa.Table) -> pa.Table:
+        table = table.sort_by("trade_date")
+        found = one(table.select([*KEYS, "open", "high", "low"]).to_pandas())
+        return table.append_column("fvg_above", pa.array(found["fvg_above"], pa.bool_())).append_column("fvg_below", pa.array(found["fvg_below"], pa.bool_()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.groupBy("symbol", "session_key").applyInArrow(all_columns, f"{kinds}, fvg_above boolean, fvg_below boolean")
+
+
+def own_features(assigned: DataFrame, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW, levels: DataFrame | None = None) -> DataFrame:
+    """What a session's own bars and the prior levels say; the rows that series_features() needs, and that a live store keeps."""
+    return opening_ranges(session_stats(assigned, or_windows, levels), or_windows, ib)
+
+
+def series_features(own: DataFrame, bar_ms: int) -> DataFrame:
+    """All features, from own_features() of whole series."""
+    return gap_zones(touches(cross_session(own, bar_ms)))
 
 
 def features(assigned: DataFrame, bar_ms: int, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
-    """All features of every session that has bars."""
-    rows = cross_session(opening_ranges(session_stats(assigned, or_windows), or_windows, ib), bar_ms)
-    return touches(assigned, rows).join(gap_zones(rows), KEYS)
+    """All features of every session that has bars. assigned is read twice (levels first): keep it in a table where it costs more to make than to read."""
+    return series_features(own_features(assigned, or_windows, ib), bar_ms)
+
+
+def developing_features(own: DataFrame, live: DataFrame, bar_ms: int, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
+    """Features of the sessions that live (assigned bars so far) has, as of its last bars.
+
+    own: own_features() of the sessions before; no earlier bar is read. Live sessions replace
+    rows of their key that own may have.
+    """
+    keys = live.select(*KEYS).distinct()
+    before = own.join(keys.select("symbol", "session_key", F.col("trade_date").alias("today")), ["symbol", "session_key"]).filter("trade_date < today").drop("today")
+    now = extremes(live)
+    levels = prior_levels(before.select(now.columns).unionByName(now)).join(keys, KEYS, "left_semi")
+    rows = before.unionByName(own_features(live, or_windows, ib, levels))
+    return series_features(rows, bar_ms).join(keys, KEYS, "left_semi")

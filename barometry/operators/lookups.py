@@ -36,6 +36,11 @@ def context_bars(bars: DataFrame, windows: DataFrame, bar_ms: int, n: int = 30,
     return ranked.select(*KEYS, "ts", "close", F.when(F.col("start_ts") - F.col("last") <= 2 * bar_ms, "pre-session").otherwise("prior-session").alias("label"))
 
 
+def context_labels(windows: DataFrame, context: DataFrame) -> DataFrame:
+    """Every session's label; none where it has no context bars."""
+    return windows.select(*KEYS).join(context.groupBy(*KEYS).agg(F.first("label").alias("label")), KEYS, "left").withColumn("label", F.coalesce("label", F.lit("none")))
+
+
 def levels(rows: DataFrame) -> DataFrame:
     """session_id, name, level and minute of every known price level."""
     each = [F.struct(F.lit(name).alias("name"), F.col(value).cast("double").alias("level"), F.expr(minute).cast("int").alias("minute")) for name, value, minute in LEVELS]
@@ -46,10 +51,14 @@ def coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "session_key").agg(F.count("*").alias("sessions"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
 
 
-def freshness(bars: DataFrame, now_ms: int) -> DataFrame:
-    """Each symbol's last bar: fresh up to 26 hours, aging up to 7 days, else stale."""
+def freshness(bars: DataFrame, now_ms: int, symbols: DataFrame | None = None) -> DataFrame:
+    """The last bar of each symbol (and tf, where bars have it): fresh up to 26 hours, aging up to 7 days, else stale; none for those of symbols without bars."""
+    keys = [k for k in ("symbol", "tf") if k in bars.columns]
     age = F.lit(now_ms) - F.col("last_ts")
-    return bars.groupBy("symbol").agg(F.max("ts").alias("last_ts")).withColumn("class", F.when(age <= 26 * HOUR_MS, "fresh").when(age <= 7 * 24 * HOUR_MS, "aging").otherwise("stale"))
+    last = bars.groupBy(*keys).agg(F.max("ts").alias("last_ts"))
+    if symbols is not None:
+        last = symbols.join(last, [k for k in keys if k in symbols.columns], "left")
+    return last.withColumn("class", F.when(F.col("last_ts").isNull(), "none").when(age <= 26 * HOUR_MS, "fresh").when(age <= 7 * 24 * HOUR_MS, "aging").otherwise("stale"))
 
 
 def fingerprint(bars: DataFrame, rows: DataFrame, calendar: str, version: str = "1") -> DataFrame:
@@ -58,3 +67,14 @@ def fingerprint(bars: DataFrame, rows: DataFrame, calendar: str, version: str =
     b = rows.agg(F.count("*").alias("m"), F.max("trade_date").alias("d"))
     text = F.concat_ws(":", F.col("n").cast("string"), F.col("t").cast("string"), F.col("m").cast("string"), F.col("d").cast("string"), F.lit(calendar), F.lit(version))
     return a.join(b, F.lit(True)).select(F.substring(F.sha2(text, 256), 1, 12).alias("fingerprint"))
+
+
+def provenance(stamp: DataFrame, calendar: DataFrame, version: str, asked: dict[str, str | None]) -> DataFrame:
+    """What an answer rests on: the store's fingerprint, a hash of the calendar's rows, the version, and the question itself.
+
+    The calendar's hash is a sum of row hashes, so it needs no order and no single task.
+    """
+    rows = F.to_json(F.struct(*(F.col(c).cast("string") for c in sorted(calendar.columns))))
+    digest = calendar.select(F.conv(F.substring(F.sha2(rows, 256), 1, 12), 16, 10).cast("decimal(20,0)").alias("h")).agg(F.lower(F.hex((F.coalesce(F.sum("h"), F.lit(0)) % F.lit(2**48)).cast("long"))).alias("calendar_version"))
+    echo = [F.lit(v).cast("string").alias(k) for k, v in asked.items()]
+    return stamp.join(digest, F.lit(True)).select("fingerprint", "calendar_version", F.lit(version).alias("version"), *echo)

@@ -16,12 +16,19 @@ def dated(fills: DataFrame, windows: DataFrame, mapping: DataFrame | None = None
     ends = windows.groupBy(F.col("symbol").alias("store_symbol"), F.col("end_ts").alias("at")).agg(F.min("trade_date").alias("date"))
     # Ends sort before fills of the same time: a window that ends at the fill is over.
     both = ends.withColumn("kind", F.lit(0)).unionByName(rows.filter("ts is not null and known").select("store_symbol", F.col("ts").alias("at"), F.lit(None).cast("date").alias("date"), "fill_id", F.lit(1).alias("kind")), allowMissingColumns=True)
-    ahead = Window.partitionBy("store_symbol").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("trade_date", F.first("date", ignorenulls=True).over(ahead)).filter("kind = 1").select("fill_id", "trade_date")
+    # Backwards in time, so that what comes later is a running value and no frame is read again.
+    later = Window.partitionBy("store_symbol").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("trade_date", F.last("date", ignorenulls=True).over(later)).filter("kind = 1").select("fill_id", "trade_date")
     out = rows.join(found, "fill_id", "left")
     return out.withColumn("skipped", F.when(F.col("known").isNull(), "unmapped").when(F.col("ts").isNull(), "no_time").when(F.col("trade_date").isNull(), "out_of_range")).drop("known")
 
 
+def skips(fills: DataFrame) -> DataFrame:
+    """How many of dated()'s fills are used, and how many are skipped for each reason."""
+    count = lambda name, cond: F.count(F.when(cond, 1)).alias(name)
+    return fills.agg(F.count("*").alias("fills"), count("used", F.col("skipped").isNull()), *(count(r, F.col("skipped") == r) for r in ("unmapped", "no_time", "out_of_range")))
+
+
 def realised(fills: DataFrame, multiplier: float = 1.0) -> DataFrame:
     """symbol, trade_date and pnl of each first-in-first-out match, booked on the closing fill's date.
 
@@ -34,9 +41,11 @@ def realised(fills: DataFrame, multiplier: float = 1.0) -> DataFrame:
     ranked = sides.withColumn("seq", F.row_number().over(order)).withColumn("upto", F.sum("quantity").over(Window.partitionBy("symbol", "side").orderBy("ts", "fill_id")))
     unit = F.struct("seq", "price", (F.coalesce("fee", F.lit(0.0)) / F.col("quantity")).alias("fee"), "trade_date")
     marks = ranked.groupBy("symbol", "upto").agg(F.max(F.when(F.col("side") == "buy", unit)).alias("b"), F.max(F.when(F.col("side") == "sell", unit)).alias("s"))
-    w = Window.partitionBy("symbol").orderBy("upto")
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    pieces = marks.select("symbol", (F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0))).alias("q"), F.first("b", ignorenulls=True).over(ahead).alias("b"), F.first("s", ignorenulls=True).over(ahead).alias("s")).filter("b is not null and s is not null")
+    # From the last mark back, so that the next fill of each side is a running value.
+    back = Window.partitionBy("symbol").orderBy(F.desc("upto"))
+    so_far = back.rowsBetween(Window.unboundedPreceding, 0)
+    next_of = lambda side: F.last(side, ignorenulls=True).over(so_far).alias(side)
+    pieces = marks.select("symbol", (F.col("upto") - F.coalesce(F.lead("upto").over(back), F.lit(0))).alias("q"), next_of("b"), next_of("s")).filter("b is not null and s is not null")
     net = (F.col("s.price") - F.col("b.price")) * F.col("q") * multiplier - (F.col("b.fee") + F.col("s.fee")) * F.col("q")
     return pieces.select("symbol", F.when(F.col("b.seq") > F.col("s.seq"), F.col("b.trade_date")).otherwise(F.col("s.trade_date")).alias("trade_date"), net.alias("pnl"))
 

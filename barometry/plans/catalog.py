@@ -4,16 +4,26 @@ An outcome is (eligibility, success, value). Anything that a SQL expression over
 columns can say can be a condition; these functions only name the common ones.
 """
 
+import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from ..operators.derive import IB_WINDOW
 
 
+#: Feature columns that answers are grouped by, and all others that conditions name; each is a column.
+GROUPABLE = ("dow", "month", "year", "green", "gap_dir", "gap_bucket", "gap_filled", "open_above_prev_high", "open_below_prev_low", "touched_prev_high", "touched_prev_low", "closed_above_prev_high", "closed_below_prev_low", "inside_day", "outside_day", "nr4", "nr7", "bull_engulf", "bear_engulf", "doji", "high_before_low", "prev_day_green", "prev_inside_day", "prev_nr7", "prev_doji", "is_roll_day", "is_half_day", "fvg_above", "fvg_below", "ib_break")
+NUMERIC = ("range_pct", "ret_oc_pct", "gap_pct", "abs_gap_pct", "gap_fill_min", "open_pos_prev_range", "touch_prev_high_min", "touch_prev_low_min", "high_time_min", "low_time_min", "atr14_pct", "range_vs_atr", "vol_vs_avg20", "prev_green_streak", "prev_red_streak", "next_range_pct", "next_range_vs_atr")
+
+
 class Outcome(NamedTuple):
+    """mark: what a session's answer is shown at (a level and a minute), by kind and opening-range window; none for rates without a level."""
+
     eligible: str
     success: str
     value: str = "cast(null as double)"
     unit: str = ""
+    mark: tuple[str, int] | None = None
 
 
 def _first_break(w: int, side: str) -> str:
@@ -21,16 +31,16 @@ def _first_break(w: int, side: str) -> str:
 
 
 def gap_fill() -> Outcome:
-    return Outcome("gap_dir in ('up', 'down')", "gap_filled", "cast(gap_fill_min as double)", "minutes")
+    return Outcome("gap_dir in ('up', 'down')", "gap_filled", "cast(gap_fill_min as double)", "minutes", ("gap", 0))
 
 
 def gap_hold(side: str = "any") -> Outcome:
     eligible = "gap_dir in ('up', 'down')" if side == "any" else f"gap_dir = '{side}'"
-    return Outcome(eligible, "not coalesce(gap_filled, false) and ((gap_dir = 'up' and green) or (gap_dir = 'down' and close < open))")
+    return Outcome(eligible, "not coalesce(gap_filled, false) and ((gap_dir = 'up' and green) or (gap_dir = 'down' and close < open))", mark=("gap", 0))
 
 
 def gap_reversal() -> Outcome:
-    return Outcome("gap_filled", "gap_reversed")
+    return Outcome("gap_filled", "gap_reversed", mark=("gap", 0))
 
 
 def close_green() -> Outcome:
@@ -42,35 +52,35 @@ def next_close_green() -> Outcome:
 
 
 def orb_break(w: int, side: str = "any") -> Outcome:
-    return Outcome(f"or{w}_high is not null", _first_break(w, side), f"cast(or{w}_break_min as double)", "minutes")
+    return Outcome(f"or{w}_high is not null", _first_break(w, side), f"cast(or{w}_break_min as double)", "minutes", ("or", w))
 
 
 def orb_false_break(w: int, side: str = "any") -> Outcome:
-    return Outcome(_first_break(w, side), f"or{w}_false_break")
+    return Outcome(_first_break(w, side), f"or{w}_false_break", mark=("or", w))
 
 
 def orb_target_hit(w: int, r: float, side: str = "any") -> Outcome:
     reach = f"case or{w}_first_break when 'up' then or{w}_ext_up_r when 'down' then or{w}_ext_dn_r end"
-    return Outcome(_first_break(w, side), f"({reach}) >= {r}", reach, "r")
+    return Outcome(_first_break(w, side), f"({reach}) >= {r}", reach, "r", ("or", w))
 
 
 def ib_extension(r: float, side: str = "any", w: int = IB_WINDOW) -> Outcome:
     reach = {"up": f"coalesce(or{w}_ext_up_r, 0) >= {r}", "down": f"coalesce(or{w}_ext_dn_r, 0) >= {r}"}
     if side == "any":
-        return Outcome("ib_break <> 'none'", " or ".join(reach.values()))
-    return Outcome(f"ib_break in ('single_{side}', 'double')", reach[side])
+        return Outcome("ib_break <> 'none'", " or ".join(reach.values()), mark=("or", w))
+    return Outcome(f"ib_break in ('single_{side}', 'double')", reach[side], mark=("or", w))
 
 
 def touch_prev(level: str) -> Outcome:
-    return Outcome(f"prev_{level} is not null", f"touched_prev_{level}", f"cast(touch_prev_{level}_min as double)", "minutes")
+    return Outcome(f"prev_{level} is not null", f"touched_prev_{level}", f"cast(touch_prev_{level}_min as double)", "minutes", (f"prev_{level}", 0))
 
 
 def break_hold_prev(level: str) -> Outcome:
-    return Outcome(f"touched_prev_{level}", "closed_above_prev_high" if level == "high" else "closed_below_prev_low")
+    return Outcome(f"touched_prev_{level}", "closed_above_prev_high" if level == "high" else "closed_below_prev_low", mark=(f"prev_{level}", 0))
 
 
 def extreme_before(level: str, minutes: int) -> Outcome:
-    return Outcome(f"{level}_time_min is not null", f"{level}_time_min < {minutes}", f"cast({level}_time_min as double)", "minutes")
+    return Outcome(f"{level}_time_min is not null", f"{level}_time_min < {minutes}", f"cast({level}_time_min as double)", "minutes", (level, 0))
 
 
 def hit(field: str, op: str, x: float) -> Outcome:
@@ -154,50 +164,108 @@ class Preset(NamedTuple):
     by: str = "cast(null as string)"
 
 
-PRESETS = (
-    Preset("gap-fill", gap_fill(), "abs_gap_pct >= 0.0 and abs_gap_pct <= 100.0"),
-    Preset("gap-fill-by-size", gap_fill(), by="gap_bucket"),
-    Preset("gap-fill-by-direction", gap_fill(), by="gap_dir"),
-    Preset("gap-fill-by-weekday", gap_fill(), by="dow"),
-    Preset("gap-fill-time", gap_fill()),
-    Preset("gap-reversal", gap_reversal()),
-    Preset("gap-and-go", gap_hold(), by="gap_bucket"),
-    Preset("orb", orb_break(15, "up")),
-    Preset("orb-by-direction", orb_break(15, "up"), by="dow"),
-    Preset("orb-time-to-break", orb_break(15)),
-    Preset("orb-false-break", orb_false_break(15)),
-    Preset("orb-target", orb_target_hit(15, 1)),
-    Preset("initial-balance", close_green(), by="ib_break"),
-    Preset("ib-extension", ib_extension(0.5)),
-    Preset("prev-range", touch_prev("high")),
-    Preset("prev-high-touch-by-open", touch_prev("high"), "open_pos_prev_range >= 0.5", "dow"),
-    Preset("prev-low-touch", touch_prev("low"), "open_pos_prev_range <= 0.5"),
-    Preset("prev-high-break-hold", break_hold_prev("high")),
-    Preset("prev-low-break-hold", break_hold_prev("low")),
-    Preset("inside-day", next_close_green(), "inside_day"),
-    Preset("outside-day", next_close_green(), "outside_day"),
-    Preset("doji-follow-through", next_close_green(), "doji"),
-    Preset("engulfing-bull", next_close_green(), "bull_engulf"),
-    Preset("engulfing-bear", next_close_green(), "bear_engulf"),
-    Preset("nr7-expansion", hit("range_vs_atr", "gte", 1), "prev_nr7"),
-    Preset("streak-continuation", close_green(), streak("green", 3)),
-    Preset("streak-reversion", close_green(), streak("red", 3)),
-    Preset("green-rate", close_green()),
-    Preset("day-of-week", close_green(), by="dow"),
-    Preset("month-of-year", close_green(), by="cast(month as string)"),
-    Preset("event-day-fomc", close_green(), event_day("FOMC")),
-    Preset("event-day-cpi", close_green(), event_day("CPI")),
-    Preset("event-day-nfp", close_green(), event_day("NFP")),
-    Preset("event-day-opex", close_green(), event_day("OPEX")),
-    Preset("day-before-event", close_green(), day_before_event("FOMC")),
-    Preset("day-after-event", close_green(), day_after_event("FOMC")),
-    Preset("high-time", extreme_before("high", 60)),
-    Preset("low-time", extreme_before("low", 60)),
-    Preset("range-vs-atr", hit("range_vs_atr", "gte", 1)),
-    Preset("quiet-then-wild", hit("next_range_vs_atr", "gte", 1), "nr4"),
-    Preset("fvg-below-green", close_green(), fvg_present("below")),
-    Preset("fvg-magnet", gap_fill(), fvg_present("above"), "gap_dir"),
-)
+class Param(NamedTuple):
+    """A preset's parameter: its default (none: unused unless given), the condition it adds (none: it goes to the outcome), and its values if they are few."""
+
+    default: float | str | None = None
+    where: str | None = None
+    values: tuple[str, ...] = ()
+
+
+class Kind(NamedTuple):
+    """What a preset asks; make takes the parameters that go to the outcome."""
+
+    make: Callable[..., Outcome]
+    where: str | Callable[..., str] = "true"
+    by: str = "cast(null as string)"
+    params: dict[str, Param] = {}
+
+
+_SIDES, _ANY = ("up", "down"), ("up", "down", "any")
+_GAP = {"min_gap_pct": Param(None, "abs_gap_pct >= {}"), "max_gap_pct": Param(None, "abs_gap_pct <= {}"), "dir": Param(None, "gap_dir = '{}'", _SIDES)}
+_OR = {"window": Param(15), "dir": Param("any", None, _ANY)}
+_OPEN = {"min_open_pos": Param(None, "open_pos_prev_range >= {}"), "max_open_pos": Param(None, "open_pos_prev_range <= {}")}
+_MULTIPLE = {"r": Param(1)}
+
+
+def _some(params: dict[str, Param], *names: str) -> dict[str, Param]:
+    return {k: params[k] for k in names}
+
+
+def _orb(window: float, dir: str) -> Outcome:
+    return orb_break(int(window), dir)
+
+
+#: The questions that users ask by name, with their parameters and defaults; fixed values.
+KINDS = {
+    "gap-fill": Kind(gap_fill, params=_GAP),
+    "gap-fill-by-size": Kind(gap_fill, by="gap_bucket", params=_some(_GAP, "dir")),
+    "gap-fill-by-direction": Kind(gap_fill, by="gap_dir", params=_some(_GAP, "min_gap_pct")),
+    "gap-fill-by-weekday": Kind(gap_fill, by="dow", params=_some(_GAP, "dir", "min_gap_pct")),
+    "gap-fill-time": Kind(gap_fill, params=_some(_GAP, "dir", "min_gap_pct")),
+    "gap-reversal": Kind(gap_reversal, params=_some(_GAP, "dir", "min_gap_pct")),
+    "gap-and-go": Kind(lambda dir: gap_hold(dir), by="gap_bucket", params={"dir": Param("any", None, _ANY)} | _some(_GAP, "min_gap_pct")),
+    "orb": Kind(_orb, params=_OR),
+    "orb-by-direction": Kind(_orb, by="dow", params=_OR | {"dir": Param("up", None, _SIDES)}),
+    "orb-time-to-break": Kind(_orb, params=_OR),
+    "orb-false-break": Kind(lambda window, dir: orb_false_break(int(window), dir), params=_OR),
+    "orb-target": Kind(lambda window, r, dir: orb_target_hit(int(window), r, dir), params=_OR | _MULTIPLE),
+    "initial-balance": Kind(close_green, by="ib_break"),
+    "ib-extension": Kind(lambda r, dir: ib_extension(r, dir), params=_MULTIPLE | _some(_OR, "dir")),
+    "prev-range": Kind(lambda: touch_prev("high"), params=_OPEN),
+    "prev-high-touch-by-open": Kind(lambda: touch_prev("high"), by="dow", params=_OPEN | {"min_open_pos": Param(0.5, "open_pos_prev_range >= {}")}),
+    "prev-low-touch": Kind(lambda: touch_prev("low"), params=_OPEN | {"max_open_pos": Param(0.5, "open_pos_prev_range <= {}")}),
+    "prev-high-break-hold": Kind(lambda: break_hold_prev("high")),
+    "prev-low-break-hold": Kind(lambda: break_hold_prev("low")),
+    "inside-day": Kind(next_close_green, "inside_day"),
+    "outside-day": Kind(next_close_green, "outside_day"),
+    "doji-follow-through": Kind(next_close_green, "doji"),
+    "engulfing-bull": Kind(next_close_green, "bull_engulf"),
+    "engulfing-bear": Kind(next_close_green, "bear_engulf"),
+    "nr7-expansion": Kind(lambda r: hit("range_vs_atr", "gte", r), "nr7", params=_MULTIPLE),
+    "streak-continuation": Kind(close_green, params={"n": Param(3, "prev_green_streak >= {}")}),
+    "streak-reversion": Kind(close_green, params={"n": Param(3, "prev_red_streak >= {}")}),
+    "green-rate": Kind(close_green),
+    "day-of-week": Kind(close_green, by="dow"),
+    "month-of-year": Kind(close_green, by="cast(month as string)"),
+    "event-day-fomc": Kind(close_green, event_day("FOMC")),
+    "event-day-cpi": Kind(close_green, event_day("CPI")),
+    "event-day-nfp": Kind(close_green, event_day("NFP")),
+    "event-day-opex": Kind(close_green, event_day("OPEX")),
+    "day-before-event": Kind(close_green, lambda event: day_before_event(event), params={"event": Param("OPEX")}),
+    "day-after-event": Kind(close_green, lambda event: day_after_event(event), params={"event": Param("OPEX")}),
+    "high-time": Kind(lambda within: extreme_before("high", within), params={"within": Param(60)}),
+    "low-time": Kind(lambda within: extreme_before("low", within), params={"within": Param(60)}),
+    "range-vs-atr": Kind(lambda r: hit("range_vs_atr", "gte", r), params=_MULTIPLE),
+    "quiet-then-wild": Kind(lambda r: hit("range_vs_atr", "gte", r), "nr4", params=_MULTIPLE),
+    "fvg-below-green": Kind(close_green, fvg_present("below")),
+    "fvg-magnet": Kind(gap_fill, params={"dir": Param("up", "gap_dir = '{}'", _SIDES), "side": Param("below", "fvg_{}", ("below", "above"))}),
+}
+
+
+def preset(name: str, **given: float | str) -> Preset:
+    """The question called name, with parameters given or at their defaults. Unknown names, parameters and values are errors."""
+    if name not in KINDS:
+        raise ValueError(f"no preset {name!r}; there are {', '.join(KINDS)}")
+    kind = KINDS[name]
+    for k, v in given.items():
+        if k not in kind.params:
+            raise ValueError(f"preset {name!r} has no parameter {k!r}; it has {', '.join(kind.params) or 'none'}")
+        values, default = kind.params[k].values, kind.params[k].default
+        if values and v not in values:
+            raise ValueError(f"{k} of preset {name!r} must be one of {', '.join(values)}")
+        if not values and not isinstance(default, str) and (isinstance(v, str) or not math.isfinite(v)):
+            raise ValueError(f"{k} of preset {name!r} must be a number")
+    used = {k: v for k, v in ({k: p.default for k, p in kind.params.items()} | given).items() if v is not None}
+    own = {k: v for k, v in used.items() if kind.params[k].where is None}
+    # A condition made of parameters takes them all; else they go to the outcome.
+    where = kind.where(**own) if callable(kind.where) else kind.where
+    outcome = kind.make() if callable(kind.where) else kind.make(**own)
+    parts = [f"({where})", *(f"({kind.params[k].where.format(v)})" for k, v in used.items() if kind.params[k].where)]
+    return Preset(name, outcome, " and ".join(parts), kind.by)
+
+
+PRESETS = tuple(preset(name) for name in KINDS)
 #: The reference battery of ten questions.
 BATTERY = (
     Preset("gap-fill", gap_fill()),

@@ -9,6 +9,9 @@ from ..functions.stats import RECENT, REFUSE, WARN, estimate, wilson
 from .catalog import Outcome, Preset
 
 SERIES = ["symbol", "session_key"]
+QUANTILES = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "max": 1.0}
+#: Matched sessions that one answer lists, at most.
+MOST_LISTED = 500
 
 
 def with_events(rows: DataFrame, events: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -49,13 +52,19 @@ def matched(rows: DataFrame, presets: Sequence[Preset], since: str | None = None
     return hits.withColumn("rn", F.row_number().over(own.orderBy("trade_date"))).withColumn("total", F.count("*").over(own))
 
 
-def counted(hits: DataFrame, keys: Sequence[str], warn: int = WARN, refuse: int = REFUSE, force: bool = False) -> DataFrame:
-    """n, k, estimate, its interval and the guards by keys; counts stay where the estimate is refused."""
-    out = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("success").cast("long")).alias("k"))
-    columns = estimate("n", "k")
-    if not force:
-        columns = [F.when(F.col("n") >= refuse, c).alias(name) for c, name in zip(columns, ("estimate", "ci_low", "ci_high"), strict=True)]
-    return out.select(*keys, "n", "k", *columns, (F.col("n") < warn).alias("low_sample"), (F.col("n") < refuse).alias("refused"))
+_SHOWN = ("n", "k", "estimate", "ci_low", "ci_high", "low_sample", "refused")
+
+
+def _guarded(out: DataFrame, warn: int = WARN, refuse: int = REFUSE, force: bool = False) -> DataFrame:
+    """out with the estimate of its n and k, its interval and the guards; a refused estimate is null, unless forced."""
+    shown = F.lit(True) if force else F.col("n") >= refuse
+    made = {name: F.when(shown, c) for c, name in zip(estimate("n", "k"), ("estimate", "ci_low", "ci_high"), strict=True)}
+    return out.withColumns(made | {"low_sample": F.col("n") < warn, "refused": F.col("n") < refuse})
+
+
+def counted(hits: DataFrame, keys: Sequence[str], **guards) -> DataFrame:
+    """n, k, estimate, its interval and the guards (warn, refuse, force) by keys; counts stay where the estimate is refused."""
+    return _guarded(hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("success").cast("long")).alias("k")), **guards).select(*keys, *_SHOWN)
 
 
 KEYS = ["qid", *SERIES]
@@ -83,9 +92,9 @@ def per_year(hits: DataFrame) -> DataFrame:
 
 def distribution(hits: DataFrame) -> DataFrame:
     """Count, mean and exact quantiles of the non-null values of all eligible sessions."""
-    q = F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 0.9, 1.0))))
+    q = F.percentile("value", F.array(*map(F.lit, QUANTILES.values())))
     out = hits.groupBy(*KEYS).agg(F.count("value").alias("count"), F.avg("value").alias("mean"), q.alias("q"))
-    return out.select(*KEYS, "count", "mean", *(F.col("q")[i].alias(name) for i, name in enumerate(("min", "p25", "median", "p75", "p90", "max"))))
+    return out.select(*KEYS, "count", "mean", *(F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)))
 
 
 def groups(hits: DataFrame) -> DataFrame:
@@ -94,19 +103,38 @@ def groups(hits: DataFrame) -> DataFrame:
 
 
 def latest(hits: DataFrame, n: int = 25) -> DataFrame:
-    """Each question's n newest matching sessions."""
+    """Each question's n newest matching sessions, MOST_LISTED at most."""
+    if not 0 < n <= MOST_LISTED:
+        raise ValueError(f"n must be from 1 to {MOST_LISTED}")
     return hits.filter(F.col("rn") > F.col("total") - n).select(*KEYS, "session_id", "trade_date", "success", "value")
 
 
-def envelope(rows: DataFrame, outcome: Outcome, where: str = "true", by: str = "cast(null as string)", **counts) -> DataFrame:
-    """One row per series: n, k, estimate and guards, with structs for stability, recency and distribution and arrays for years and groups."""
-    hits = matched(rows, [Preset("q", outcome, where, by)])
-    out = counted(hits, KEYS, **counts)
-    fold = lambda frame, name: frame.select(*KEYS, F.struct(*[c for c in frame.columns if c not in KEYS]).alias(name))
-    listed = lambda frame, name: fold(frame, "x").groupBy(*KEYS).agg(F.array_sort(F.collect_list("x")).alias(name))
-    for frame in (fold(stability(hits), "stability"), fold(recency(hits), "recency"), fold(distribution(hits), "distribution"), listed(per_year(hits), "years"), listed(groups(hits), "groups")):
-        out = out.join(frame, KEYS, "left")
-    return out.drop("qid")
+def envelope(rows: DataFrame, outcome: Outcome, where: str = "true", by: str = "cast(null as string)", last: int = RECENT, **counts) -> DataFrame:
+    """One row per series: n, k, estimate and guards, with structs for stability, recency and distribution and arrays for years and groups.
+
+    The matches are aggregated once for all numbers of a series, and once more by year and by
+    group (one aggregation over grouping sets).
+    """
+    hits = matched(rows, [Preset("q", outcome, where, by)]).withColumn("year", F.year("trade_date")).withColumn("grp", F.coalesce("grp", F.lit("NULL")))
+    success = F.col("success").cast("long")
+    part = lambda name, cond: [F.count(F.when(cond, 1)).alias(f"n{name}"), F.coalesce(F.sum(F.when(cond, success)), F.lit(0)).alias(f"k{name}")]
+    early, recent = F.col("rn") * 2 <= F.col("total"), F.col("rn") > F.col("total") - last
+    q = F.percentile("value", F.array(*map(F.lit, QUANTILES.values())))
+    one = hits.groupBy(*SERIES).agg(*part("", F.lit(True)), *part("1", early), *part("2", ~early), *part("_recent", recent), F.count("value").alias("count"), F.avg("value").alias("mean"), q.alias("q"))
+    bounds = {name: wilson(F.col(f"n{name}"), F.col(f"k{name}")) for name in ("", "1", "2", "_recent")}
+    overlap = lambda a, b: (bounds[a][0] <= bounds[b][1]) & (bounds[b][0] <= bounds[a][1])
+    agree = F.when((F.col("n1") > 0) & (F.col("n2") > 0), overlap("1", "2"))
+    structs = {
+        "stability": F.struct("n1", "k1", "n2", "k2", agree.alias("agree")),
+        "recency": F.when(F.col("n") > last, F.struct("n_recent", "k_recent", (~overlap("", "_recent")).alias("diverges"))),
+        "distribution": F.struct("count", "mean", *(F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES))),
+    }
+    out = _guarded(one, **counts).select(*SERIES, *_SHOWN, *(c.alias(name) for name, c in structs.items()))
+    sets = hits.groupingSets([[F.col("year"), *map(F.col, SERIES)], [F.col("grp"), *map(F.col, SERIES)]], F.col("year"), F.col("grp"), *map(F.col, SERIES)).agg(F.grouping("year").alias("by_group"), F.count("*").alias("n"), F.sum(success).alias("k"))
+    shown = _guarded(sets, **(counts | {"force": True}))
+    listed = lambda key, cond: F.array_sort(F.collect_list(F.when(cond, F.struct(key, "n", "k", "estimate", "ci_low", "ci_high", *([] if key == "year" else ["low_sample", "refused"])))))
+    lists = shown.groupBy(*SERIES).agg(listed("year", F.col("by_group") == 0).alias("years"), listed("grp", F.col("by_group") == 1).alias("groups"))
+    return out.join(lists, SERIES)
 
 
 def sweep(rows: DataFrame, presets: Sequence[Preset], **counts) -> DataFrame:
@@ -119,15 +147,24 @@ def ladder(make, targets: Sequence[float]) -> list[Preset]:
     return [Preset(f"r={r}", make(r)) for r in targets]
 
 
-def marker(rows: DataFrame, kind: str, w: int = 15) -> DataFrame:
-    """session_id with the price level, minute and side that answer an outcome's kind: gap, prev_high, prev_low, or, high or low."""
-    side = F.col(f"or{w}_first_break")
-    level, minute, where = {
-        "gap": (F.when(F.col("gap_dir").isin("up", "down"), F.col("prev_close")), F.col("gap_fill_min"), F.when(F.col("gap_dir") == "down", "above").otherwise("below")),
-        "prev_high": (F.col("prev_high"), F.col("touch_prev_high_min"), F.lit("above")),
-        "prev_low": (F.col("prev_low"), F.col("touch_prev_low_min"), F.lit("below")),
-        "or": (F.when(side == "down", F.col(f"or{w}_low")).otherwise(F.col(f"or{w}_high")), F.when(side != "none", F.col(f"or{w}_break_min")), F.when(side == "down", "below").otherwise("above")),
-        "high": (F.col("high"), F.col("high_time_min"), F.lit("above")),
-        "low": (F.col("low"), F.col("low_time_min"), F.lit("below")),
-    }[kind]
-    return rows.select("session_id", level.alias("level"), minute.alias("minute"), where.alias("side")).filter("level is not null")
+def marker(rows: DataFrame, outcome: Outcome) -> DataFrame:
+    """session_id with the price level, minute, verb and side that answer an outcome: the level it is about, and when it was reached (null: never). Outcomes without a level give no rows."""
+    kind, w = outcome.mark or ("none", 0)
+    reached = lambda minute, yes, no: F.when(F.col(minute).isNotNull(), yes).otherwise(no)
+    own = lambda level, verb, side: (F.col(level), F.col(f"{level}_time_min"), F.lit(verb), F.lit(side))
+    prior = lambda level, side: (F.col(f"prev_{level}"), F.col(f"touch_prev_{level}_min"), reached(f"touch_prev_{level}_min", "touched", "not touched"), F.lit(side))
+    if kind == "gap":
+        side = F.when(F.col("gap_dir") == "down", "above").otherwise("below")
+        level, minute, verb = F.when(F.col("gap_dir").isin("up", "down"), F.col("prev_close")), F.col("gap_fill_min"), reached("gap_fill_min", "filled", "not filled")
+    elif kind == "or":
+        first = F.col(f"or{w}_first_break")
+        side = F.when(first == "down", "below").otherwise("above")
+        level, minute = F.when(first == "down", F.col(f"or{w}_low")).otherwise(F.col(f"or{w}_high")), F.when(first != "none", F.col(f"or{w}_break_min"))
+        verb = F.when(first == "up", "broke up").when(first == "down", "broke down").otherwise("range held")
+    elif kind in ("prev_high", "prev_low"):
+        level, minute, verb, side = prior(kind.removeprefix("prev_"), "above" if kind == "prev_high" else "below")
+    elif kind in ("high", "low"):
+        level, minute, verb, side = own(kind, kind, "above" if kind == "high" else "below")
+    else:
+        level, minute, verb, side = F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(""), F.lit("")
+    return rows.select("session_id", level.alias("level"), minute.alias("minute"), verb.alias("verb"), side.alias("side")).filter("level is not null")

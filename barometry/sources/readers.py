@@ -56,13 +56,18 @@ def read_partition(spark: SparkSession, path: str, symbol: str, tf: str, years:
     return read_bars(spark, path).filter((F.col("symbol") == symbol) & (F.col("tf") == tf) & F.col("year").isin(years))
 
 
-def read_csv_bars(spark: SparkSession, path: str, symbol: str, mapping: dict[str, str], ts_unit: str = "ms", delimiter: str = ",") -> DataFrame:
-    """CSV with a header; mapping names the column of ts, the prices and maybe volume and contract; ts_unit is ms, s or iso."""
-    rows = spark.read.option("header", True).option("sep", delimiter).option("escape", '"').csv(path)
+def read_csv_bars(spark: SparkSession, path: str, symbol: str, mapping: dict[str, str], ts_unit: str = "ms", delimiter: str = ",", since: int | None = None, until: int | None = None) -> DataFrame:
+    """CSV with a header; mapping names the column of ts, the prices and maybe volume and contract; ts_unit is ms, s or iso. Of the bars, those with since < ts <= until.
+
+    All files of a folder must name the same columns in the same order; another header is an error.
+    """
+    rows = spark.read.option("header", True).option("enforceSchema", False).option("sep", delimiter).option("escape", '"').csv(path)
     col = lambda name: F.col(f"`{mapping[name]}`") if name in mapping else F.lit(None).cast("string")
     stamp = F.trim(col("ts"))
     ts = {"ms": stamp.try_cast("long"), "s": (stamp.try_cast("decimal(20,3)") * 1000).cast("long"), "iso": _iso_ms(stamp)}[ts_unit]
-    return _bars(rows.filter(stamp != ""), F.lit(symbol), ts, tuple(map(col, _PRICES)), col("volume"), col("contract"))
+    bars = _bars(rows.filter(stamp != ""), F.lit(symbol), ts, tuple(map(col, _PRICES)), col("volume"), col("contract"))
+    after = F.lit(True) if since is None else F.col("ts") > since
+    return bars.filter(after & (F.lit(True) if until is None else F.col("ts") <= until))
 
 
 def read_kline_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -98,7 +103,7 @@ def read_bars_page_json(spark: SparkSession, path: str, symbol: str) -> DataFram
 
 
 def _header(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     return rows.toDF(*(c.strip().lower() for c in rows.columns))
 
 
@@ -135,17 +140,21 @@ def read_candle_short_json(spark: SparkSession, path: str, symbol: str) -> DataF
 
 
 def read_calendar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Holidays (exchange, date, name) and half days (exchange, date, name, close_min)."""
-    schema = "exchange string, version string, holidays array<struct<date:date,name:string>>, halfDays array<struct<date:date,name:string,close:string>>"
+    """Holidays (exchange, date, name) and half days (also close_min), each with the calendar's version, covered_from and covered_to."""
+    schema = "exchange string, version string, coverage struct<`from`:date,`to`:date>, holidays array<struct<date:date,name:string>>, halfDays array<struct<date:date,name:string,close:string>>"
     rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    about = ["exchange", "version", F.col("coverage.from").alias("covered_from"), F.col("coverage.to").alias("covered_to")]
     part = lambda k: F.split("h.close", ":")[k].cast("int")
-    return rows.select("exchange", F.explode("holidays").alias("h")).select("exchange", "h.*"), rows.select("exchange", F.explode("halfDays").alias("h")).select("exchange", "h.date", "h.name", (part(0) * 60 + part(1)).alias("close_min"))
+    each = lambda name: rows.select(*about, F.explode(name).alias("h")).filter("h is not null")
+    keep = ["version", "covered_from", "covered_to"]
+    return each("holidays").select("exchange", "h.date", "h.name", *keep), each("halfDays").select("exchange", "h.date", "h.name", (part(0) * 60 + part(1)).alias("close_min"), *keep)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """(date, event) rows of all event files of a folder."""
-    rows = spark.read.option("multiLine", True).schema("event string, dates array<date>").json(path)
-    return rows.select(F.explode("dates").alias("date"), "event")
+    """(date, event, detail) rows of all event files of a folder, with the file's version, sources and coverage."""
+    schema = "event string, detail string, version string, sources array<string>, coverage struct<`from`:date,`to`:date>, dates array<date>"
+    rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    return rows.select(F.explode("dates").alias("date"), "event", "detail", "version", "sources", F.col("coverage.from").alias("covered_from"), F.col("coverage.to").alias("covered_to"))
 
 
 def read_fills_csv(spark: SparkSession, path: str) -> DataFrame:

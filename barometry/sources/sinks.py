@@ -1,5 +1,7 @@
 """Writers of features, exports, sweeps and alerts."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ def replace_features(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "session_key").parquet(path)
 
 
-def export(rows: DataFrame, path: str, kind: str = "csv", symbols: list[str] | None = None) -> None:
-    """rows (of the symbols asked for) as CSV with a header, or as Parquet."""
+def export(rows: DataFrame, path: str, kind: str = "csv", symbols: list[str] | None = None, order: Sequence[str] = ()) -> None:
+    """rows (of the symbols asked for) as CSV with a header, or as Parquet; in order within and across files, if one is named."""
     some = rows if symbols is None else rows.filter(F.col("symbol").isin(symbols))
+    some = some.orderBy(*order) if order else some
     writer = some.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.parquet(path)
 
@@ -21,7 +24,7 @@ def export(rows: DataFrame, path: str, kind: str = "csv", symbols: list[str] | N
 def export_matches(rows: DataFrame, hits: DataFrame, path: str, kind: str = "csv") -> None:
     """The feature rows of a question's matches, with outcome_success and outcome_value."""
     found = hits.select("session_id", F.col("success").alias("outcome_success"), F.col("value").alias("outcome_value"))
-    export(rows.join(found, "session_id"), path, kind)
+    export(rows.join(found, "session_id"), path, kind, order=("symbol", "session_key", "trade_date"))
 
 
 def sweep_artefacts(rows: DataFrame, presets, path: str) -> None:

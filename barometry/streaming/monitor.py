@@ -1,14 +1,23 @@
-"""Bars and developing sessions from streams."""
+"""Bars and developing sessions from streams.
 
-import tempfile
-import uuid
+Every sink writes the folder of its batch and replaces it if the batch runs again, and reads
+those of earlier batches only, so a batch that is repeated after a failure leaves nothing twice.
+"""
+
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import derive, ingest
 from ..operators.calendars import assign
+from ..plans.catalog import Preset
 from ..plans.envelope import sweep
 from ..sources import bridge
+from ..sources.store import shared_folder
+
+DISCLAIMER = "Past frequency, not advice."
 
 
 def stream_ticks(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -23,76 +32,96 @@ def stream_bars(ticks: DataFrame, bar: str = "15 minutes", late: str = "1 hour")
     return made.select("symbol", F.unix_millis("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stream's state and output, in the folder all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="barometry-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+def stream_dedupe(bars: DataFrame, late: str = "1 day") -> DataFrame:
+    """A stream of bars without repeats of (symbol, tf, ts) that come within late of each other; state is kept that long."""
+    return bars.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", late).dropDuplicatesWithinWatermark(["symbol", "tf", "ts"]).drop("at")
+
+
+def before(spark: SparkSession, path: str, batch: int, schema: T.StructType) -> DataFrame:
+    """The rows that batches before this one wrote to path; none if there is nothing yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(T.StructType([*schema, T.StructField("batch", T.LongType())])).parquet(path).filter(F.col("batch") < batch).drop("batch")
+
+
+def put(rows: DataFrame, path: str, batch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def run(stream: DataFrame, each: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> None:
+    """Hand all that the source has to each, batch by batch."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(each).trigger(availableNow=True).start().awaitTermination()
+
+
+def append_unseen(batch: DataFrame, n: int, path: str, keys: Sequence[str] = ("symbol", "tf", "source")) -> DataFrame:
+    """Add a batch's bars to the store at path: one per (symbol, tf, ts), and only those after the last stored bar of their own series, so a series that lags behind others loses nothing. Returns what was added."""
+    old = before(batch.sparkSession, path, n, batch.schema)
+    put(ingest.unseen(ingest.dedupe(batch), ingest.watermarks(old, tuple(keys)), tuple(keys)), path, n)
+    return batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={n}")
 
 
 def replayed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' ticks written as files, streamed to bars until used up, then read back: all bars, as a batch would give."""
     place = shared_folder(spark, "stream")
     ticks = bridge.ticks(spark, sf_dir).select("symbol", F.timestamp_millis("ts").alias("at"), "px", F.lit(1.0).alias("qty"))
-    ticks.write.parquet(f"{place}/ticks")
-    live = stream_bars(stream_ticks(spark, f"{place}/ticks", ticks.schema))
-    # Complete output at the end of the source: bars that the watermark has not passed are there, too.
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/bars")
+    ticks.write.parquet(f"{place}/ticks/part=1")
+    # A closing tick of no symbol, some hours on, lets the watermark pass the last bars.
+    closing = spark.read.parquet(f"{place}/ticks/part=1").agg(F.max("at").alias("at")).select(F.lit(None).cast("string").alias("symbol"), (F.col("at") + F.expr("interval 3 hours")).alias("at"), F.lit(0.0).alias("px"), F.lit(0.0).alias("qty"))
+    closing.write.parquet(f"{place}/ticks/part=2")
+    live = stream_bars(stream_ticks(spark, f"{place}/ticks/*", ticks.schema))
+    # Not filtered in the stream: that would take the closing tick away before the watermark sees it.
+    run(live, lambda batch, n: put(batch.filter("symbol is not null"), f"{place}/bars", n), f"{place}/state")
+    return before(spark, f"{place}/bars", 2**62, live.schema)
 
-    live.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/bars")
+
+def session_totals(bars: DataFrame, windows: DataFrame, late: str = "2 days") -> DataFrame:
+    """Each session's bar count, extremes and volume so far, from a stream of bars; a session's state goes once the watermark has passed its end."""
+    inside = assign(bars, windows).withColumn("until", F.timestamp_millis("end_ts")).withWatermark("until", late)
+    return inside.groupBy(*derive.KEYS, "until").agg(F.count("*").alias("bar_count"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")).drop("until")
 
 
 def replayed_sessions(spark: SparkSession, bars: DataFrame, windows: DataFrame) -> DataFrame:
-    """bars as files, streamed against the calendar: each session's bar count, extremes and volume so far."""
+    """bars as files, streamed against the calendar: the last totals of each session."""
     place = shared_folder(spark, "stream")
     bars.write.parquet(f"{place}/bars")
     windows.write.parquet(f"{place}/windows")
-    live = spark.readStream.schema(bars.schema).parquet(f"{place}/bars")
-    inside = assign(live, spark.read.parquet(f"{place}/windows"))
-    made = inside.groupBy("symbol", "session_key", "trade_date").agg(F.count("*").alias("bar_count"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+    made = session_totals(spark.readStream.schema(bars.schema).parquet(f"{place}/bars"), spark.read.parquet(f"{place}/windows"))
+    run(made, lambda batch, n: put(batch.withColumn("n", F.lit(n)), f"{place}/sessions", n), f"{place}/state", "update")
+    rows = spark.read.parquet(f"{place}/sessions")
+    values = ("bar_count", "high", "low", "volume")
+    return rows.groupBy(*derive.KEYS).agg(F.max_by(F.struct(*values), "n").alias("v")).select(*derive.KEYS, *(f"v.{c}" for c in values))
 
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/sessions")
 
-    made.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/sessions")
+def developing(windows: DataFrame, now_ms: int) -> DataFrame:
+    """The sessions that now lies in."""
+    return windows.filter((F.col("start_ts") <= now_ms) & (F.col("end_ts") > now_ms))
 
 
-def replayed_alerts(spark: SparkSession, bars: DataFrame, windows: DataFrame, rows: DataFrame, presets, now_ms: int, least: float, n_least: int) -> DataFrame:
-    """The alerts that the bars' stream fires at now, each watch being one of presets without a condition.
+def watch_state(rows: DataFrame, watches: Sequence[Preset], windows: DataFrame, now_ms: int) -> DataFrame:
+    """watch_id, symbol, session_key, trade_date, fits and phase of each watch on each series of windows.
 
-    Each batch asks the history before the developing session of the symbols that it touches.
+    rows: features of the sessions that now lies in. A watch is resolved without such a session,
+    active where its condition holds on it (or it has none), else forming; null counts as false.
     """
-    place = shared_folder(spark, "stream")
-    bars.write.parquet(f"{place}/bars")
-    rows.write.parquet(f"{place}/features")
-    developing(windows, now_ms).write.parquet(f"{place}/developing")
-    live = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/bars")
-
-    def evaluate(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        now = spark.read.parquet(f"{place}/developing").join(batch.select("symbol").distinct(), "symbol", "left_semi")
-        past = spark.read.parquet(f"{place}/features").join(now.select("symbol", "session_key", F.col("trade_date").alias("today")), ["symbol", "session_key"]).filter("trade_date < today")
-        asked = sweep(past, presets, refuse=n_least).withColumnRenamed("qid", "watch_id").withColumn("fits", F.lit(True))
-        states = phases(now, asked)
-        return states, alerts(states, least, None, n_least)
-
-    watch_bars(live, evaluate, f"{place}/state", f"{place}/ledger", f"{place}/board").awaitTermination()
-    return spark.read.parquet(f"{place}/ledger")
-
+    live = developing(windows, now_ms).select(*derive.KEYS).join(rows, derive.KEYS, "left").withColumn("live", F.lit(True))
+    every = windows.select("symbol", "session_key").distinct().join(live, ["symbol", "session_key"], "left")
+    # A watch without a condition asks nothing of the developing row, not even that it has bars.
+    fits = lambda w: F.lit(True) if w.where == "true" else F.coalesce(F.expr(w.where), F.lit(False))
+    each = F.array(*(F.struct(F.lit(w.name).alias("watch_id"), fits(w).alias("fits")) for w in watches))
+    out = every.select("symbol", "session_key", "trade_date", "live", F.explode(each).alias("w")).select("w.watch_id", "symbol", "session_key", "trade_date", "w.fits", "live")
+    return out.withColumn("phase", F.when(F.col("live").isNull(), "resolved").when(F.col("fits"), "active").otherwise("forming")).drop("live")
 
-def phases(developing: DataFrame, watches: DataFrame) -> DataFrame:
-    """For each watch (watch_id, symbol, fits: the condition's value on the developing row): resolved without a developing session, active where it holds or there is none, else forming."""
-    rows = watches.join(developing.select("symbol", "trade_date", F.lit(True).alias("live")), "symbol", "left")
-    return rows.withColumn("phase", F.when(F.col("live").isNull(), "resolved").when(F.coalesce("fits", F.lit(False)), "active").otherwise("forming")).drop("live")
 
-
-def developing(windows: DataFrame, now_ms: int) -> DataFrame:
-    """The sessions that now lies in."""
-    return windows.filter((F.col("start_ts") <= now_ms) & (F.col("end_ts") > now_ms))
+def evaluated(past: DataFrame, states: DataFrame, watches: Sequence[Preset], n_least: int = 30) -> DataFrame:
+    """states with n, k, estimate and interval of each watch's question, asked of the sessions strictly before the developing one (all, where there is none)."""
+    days = states.select("symbol", "session_key", "trade_date").distinct().withColumnRenamed("trade_date", "today")
+    old = past.join(days, ["symbol", "session_key"]).filter("today is null or trade_date < today").drop("today")
+    asked = sweep(old, watches, refuse=n_least).withColumnRenamed("qid", "watch_id")
+    return states.join(asked, ["watch_id", "symbol", "session_key"], "left")
 
 
-def alerts(states: DataFrame, least: float | None = None, most: float | None = None, n_least: int = 30) -> DataFrame:
+def alerts(states: DataFrame, least: float | None = None, most: float | None = None, n_least: int = 30, now_ms: int = 0) -> DataFrame:
     """Alerts of active watches whose estimate crosses a threshold on enough sessions.
 
     states: watch_id, symbol, trade_date, phase, n, k, estimate, ci_low, ci_high. The id names
@@ -105,37 +134,62 @@ def alerts(states: DataFrame, least: float | None = None, most: float | None = N
         crossed = crossed | (F.col("estimate") <= most)
     rows = states.filter((F.col("phase") == "active") & F.col("estimate").isNotNull() & (F.col("n") >= n_least) & crossed)
     digest = F.substring(F.sha2(F.concat_ws("|", "watch_id", F.lit(str(least)), F.lit(str(most))), 256), 1, 12)
-    text = F.format_string("%s %s %s: %.4f [%.4f, %.4f], N=%d. Past frequency, not advice.", "symbol", F.col("trade_date").cast("string"), "watch_id", "estimate", "ci_low", "ci_high", "n")
-    return rows.select(F.concat_ws("|", "symbol", F.col("trade_date").cast("string"), digest).alias("id"), "symbol", "trade_date", "watch_id", F.struct("n", "k", "estimate", "ci_low", "ci_high").alias("snapshot"), text.alias("text"))
+    text = F.format_string(f"%s %s %s: %.4f [%.4f, %.4f], N=%d. {DISCLAIMER}", "symbol", F.col("trade_date").cast("string"), "watch_id", "estimate", "ci_low", "ci_high", "n")
+    return rows.select(F.concat_ws("|", "symbol", F.col("trade_date").cast("string"), digest).alias("id"), F.timestamp_millis(F.lit(now_ms)).alias("fired_at"), "symbol", "trade_date", "watch_id", F.struct("n", "k", "estimate", "ci_low", "ci_high").alias("snapshot"), text.alias("text"))
 
 
-def fire(found: DataFrame, ledger: str) -> None:
-    """Append the alerts that the ledger doesn't have; safe to repeat for the same batch."""
-    spark = found.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    new = found.dropDuplicates(["id"])
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        new = new.join(spark.read.parquet(ledger).select("id"), "id", "left_anti")
-    new.write.mode("append").parquet(ledger)
+def fire(found: DataFrame, ledger: str, n: int) -> DataFrame:
+    """Put the alerts of batch n that no earlier batch fired into the ledger, and return them."""
+    old = before(found.sparkSession, ledger, n, found.schema)
+    put(found.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(found.columns), ledger, n)
+    return found.sparkSession.read.schema(found.schema).parquet(f"{ledger}/batch={n}")
 
 
 def replay(spark: SparkSession, ledger: str, alert_id: str | None = None, n: int = 50) -> DataFrame:
-    """The newest alerts, or one by its id, as they were stored."""
+    """The newest alerts by their time of firing (500 at most), or one by its id, as they were stored."""
     rows = spark.read.parquet(ledger)
-    return rows.filter(F.col("id") == alert_id) if alert_id else rows.orderBy(F.desc("trade_date"), "id").limit(n)
+    return rows.filter(F.col("id") == alert_id) if alert_id else rows.orderBy(F.desc("fired_at"), "id").limit(min(n, 500))
 
 
-def watch_bars(bars: DataFrame, evaluate, state: str, ledger: str, board: str):
-    """Start a stream of bars: each batch's touched (symbol) series go to evaluate(batch), whose states are published to board and whose alerts to ledger.
+def publish(states: DataFrame, board: str, now_ms: int, enabled: bool = True, sync_error: str | None = None) -> None:
+    """Replace the board by states, with the time, whether watching goes on, and why bars may be stale."""
+    named = {"updated_at": F.timestamp_millis(F.lit(now_ms)), "enabled": F.lit(enabled), "sync_error": F.lit(sync_error).cast("string")}
+    states.withColumns(named).write.mode("overwrite").parquet(board)
 
-    evaluate recomputes the developing session from stored rows and the batch, never by merging
-    partial features; it returns (states, alerts).
-    """
 
-    def each(batch: DataFrame, n: int) -> None:
-        states, found = evaluate(batch)
-        states.withColumn("batch", F.lit(n)).withColumn("enabled", F.lit(True)).write.mode("overwrite").parquet(board)
-        fire(found, ledger)
+def switch_off(spark: SparkSession, board: str, now_ms: int) -> None:
+    """Mark the board's last states as no longer watched."""
+    # The states are read in full before the board is replaced: one row a watch and series.
+    last = spark.read.parquet(board).drop("updated_at", "enabled", "sync_error")
+    kept = f"{board}-last"
+    last.write.mode("overwrite").parquet(kept)
+    publish(spark.read.parquet(kept), board, now_ms, enabled=False)
+
 
-    return bars.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
+def watch(bars: DataFrame, place: str, windows: DataFrame, own: DataFrame, past: DataFrame, watches: Sequence[Preset], now_ms: int, bar_ms: int, least: float | None = None, most: float | None = None, n_least: int = 30) -> None:
+    """Follow a stream of bars (symbol, tf, source, ts, ...) until it is used up.
 
+    Each batch's new bars go to place/bars. The developing sessions' features are made anew from
+    their stored bars and own (own_features() of earlier sessions); place/board has every
+    watch's state and place/ledger the alerts. past: features of complete sessions.
+    """
+    spark = bars.sparkSession
+    today = developing(windows, now_ms)
+
+    def each(batch: DataFrame, n: int) -> None:
+        append_unseen(batch, n, f"{place}/bars")
+        stored = before(spark, f"{place}/bars", n + 1, batch.schema).filter(F.col("ts") < now_ms)
+        live = assign(stored, today).select(*derive.KEYS, "ts", "open", "high", "low", "close", "volume", "contract", "start_ts", "end_ts", "is_half_day")
+        put(derive.developing_features(own, live, bar_ms), f"{place}/features", n)
+        rows = spark.read.parquet(f"{place}/features/batch={n}")
+        publish(evaluated(past, watch_state(rows, watches, windows, now_ms), watches, n_least), f"{place}/board", now_ms)
+        fire(alerts(spark.read.parquet(f"{place}/board"), least, most, n_least, now_ms), f"{place}/ledger", n)
+
+    run(bars, each, f"{place}/state")
+    switch_off(spark, f"{place}/board", now_ms)
+
+
+def last_features(spark: SparkSession, place: str) -> DataFrame:
+    """The developing sessions' features after the last batch of watch()."""
+    rows = spark.read.parquet(f"{place}/features")
+    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")

@@ -20,7 +20,7 @@ def duck(sf):
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(x):
-        if x is None or x is pd.NaT or x != x:
+        if pd.isna(x):
             return None
         return round(float(x), 9) if isinstance(x, float) else str(x)[:10] if hasattr(x, "year") else x
 

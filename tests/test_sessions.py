@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from barometry.functions import stats
 from barometry.functions.scalars import epoch_ms, rounded
 from barometry.functions.stats import estimate
 from barometry.operators import calendars, derive, ingest, lookups, trades
@@ -233,16 +234,78 @@ def test_sinks(spark, tmp_path):
 
 
 def test_alerts_fire_once(spark, tmp_path):
-    states = spark.createDataFrame([("w", "A", "2024-01-05", 40, 30, 0.75, 0.6, 0.85, True), ("v", "A", "2024-01-05", 40, 10, 0.25, 0.1, 0.4, None), ("u", "B", "2024-01-05", 5, 5, 1.0, 0.5, 1.0, True)], "watch_id string, symbol string, trade_date string, n long, k long, estimate double, ci_low double, ci_high double, fits boolean")
-    phased = monitor.phases(spark.createDataFrame([("A", "2024-01-05")], "symbol string, trade_date string"), states.drop("trade_date"))
-    assert {r.watch_id: r.phase for r in phased.collect()} == {"w": "active", "v": "forming", "u": "resolved"}
-    found = monitor.alerts(phased, least=0.7)
+    states = spark.createDataFrame([("w", "A", "2024-01-05", 40, 30, 0.75, 0.6, 0.85, "active"), ("v", "A", "2024-01-05", 40, 38, 0.95, 0.9, 0.99, "forming"), ("u", "B", "2024-01-05", 5, 5, 1.0, 0.5, 1.0, "active")], "watch_id string, symbol string, trade_date string, n long, k long, estimate double, ci_low double, ci_high double, phase string")
     ledger = str(tmp_path / "ledger")
-    for _ in range(3):
-        monitor.fire(found, ledger)
+    # Batch 1 runs twice, as after a failure; batch 2 finds the same alert again, later.
+    for n, now in ((1, 1000), (1, 1000), (2, 2000)):
+        monitor.fire(monitor.alerts(states, least=0.7, now_ms=now), ledger, n)
     rows = monitor.replay(spark, ledger).collect()
     assert len(rows) == 1 and rows[0].snapshot.n == 40 and rows[0].text.startswith("A 2024-01-05 w: 0.7500")
     assert monitor.replay(spark, ledger, rows[0].id).count() == 1
+    monitor.fire(monitor.alerts(states.withColumn("symbol", F.lit("C")), least=0.7, now_ms=3000), ledger, 3)
+    assert [r.symbol for r in monitor.replay(spark, ledger).collect()] == ["C", "A"]
+
+
+def test_watch_phases_and_board(spark, tmp_path):
+    windows = spark.createDataFrame([("A", "s", 0, 100), ("B", "s", 0, 100), ("C", "s", 500, 600)], "symbol string, session_key string, start_ts long, end_ts long").withColumn("trade_date", F.to_date(F.lit("2024-01-05")))
+    rows = spark.createDataFrame([("A", "s", 2.0)], "symbol string, session_key string, gap double").withColumn("trade_date", F.to_date(F.lit("2024-01-05")))
+    watches = [Preset("any", catalog.close_green()), Preset("gap", catalog.close_green(), "gap > 1")]
+    states = monitor.watch_state(rows, watches, windows, 50)
+    assert {(r.watch_id, r.symbol): r.phase for r in states.collect()} == {("any", "A"): "active", ("gap", "A"): "active", ("any", "B"): "active", ("gap", "B"): "forming", ("any", "C"): "resolved", ("gap", "C"): "resolved"}
+    board = str(tmp_path / "board")
+    monitor.publish(states, board, 50, sync_error="feed is down")
+    assert {(r.enabled, r.sync_error) for r in spark.read.parquet(board).collect()} == {(True, "feed is down")}
+    monitor.switch_off(spark, board, 60)
+    last = spark.read.parquet(board)
+    assert {(r.enabled, r.sync_error) for r in last.collect()} == {(False, None)} and last.count() == 6
+
+
+def test_developing_features_equal_those_of_the_whole_series(spark):
+    days = [(100.0 + i % 5, 103.0 + i % 7, 98.0 - i % 3, 101.0 + i % 4) for i in range(24)]
+    bars = spark.createDataFrame([("A", d * DAY + h * HOUR, o, hi, lo, c, 1.0, "Z4" if d < 12 else "H5") for d, (o, hi, lo, c) in enumerate(days) for h in range(24)], "symbol string, ts long, open double, high double, low double, close double, volume double, contract string")
+    defs = spark.createDataFrame([("utc", 0, 1440, "UTC", False, True)], calendars.DEFS)
+    assigned = calendars.assign(bars, calendars.session_windows(calendars.spans(bars), defs))
+    for day, until in ((23, 9), (12, 3)):
+        seen = assigned.filter((F.col("ts") < day * DAY + until * HOUR))
+        whole = derive.features(seen, HOUR).filter(F.col("start_ts") == day * DAY)
+        own = derive.own_features(assigned.filter(F.col("start_ts") < day * DAY))
+        live = derive.developing_features(own, seen.filter(F.col("start_ts") == day * DAY), HOUR)
+        assert live.select(sorted(live.columns)).collect() == whole.select(sorted(whole.columns)).collect() != []
+
+
+def test_presets_check_their_parameters():
+    assert catalog.preset("gap-fill", dir="up", min_gap_pct=0.5).where == "(true) and (abs_gap_pct >= 0.5) and (gap_dir = 'up')"
+    assert catalog.preset("day-before-event", event="CPI").where == "(next_ev_cpi)"
+    for bad in ({"name": "nothing"}, {"name": "green-rate", "n": 3}, {"name": "orb", "dir": "sideways"}, {"name": "orb", "window": "long"}, {"name": "range-vs-atr", "r": float("nan")}):
+        with pytest.raises(ValueError):
+            catalog.preset(**bad)
+
+
+def test_symbol_definitions_and_defaults(spark):
+    symbols = spark.createDataFrame([("A", "equity", None), ("B", "forex", None), ("C", "equity", "CRYPTO"), ("D", "art", None)], "symbol string, asset_class string, exchange string")
+    over = spark.createDataFrame([("A", "rth", 480, 900, "UTC", False, False), ("A", "own", 1, 2, "UTC", False, True)], f"symbol string, {calendars.DEFS}")
+    got = {(r.symbol, r.session_key): r.start_min for r in calendars.symbol_definitions(symbols, over).collect()}
+    assert got == {("A", "rth"): 480, ("A", "own"): 1, ("B", "sydney"): 1260, ("B", "tokyo"): 0, ("B", "london"): 420, ("B", "newyork"): 720, ("C", "utc"): 0, ("C", "ny"): 570}
+    assert {r.symbol: r.default_session for r in calendars.with_defaults(symbols).collect()} == {"A": "rth", "B": "london", "C": "rth", "D": None}
+
+
+def test_calendar_hash_ignores_order_and_files_must_agree(spark, tmp_path):
+    stamp = spark.createDataFrame([("abc",)], "fingerprint string")
+    days = spark.createDataFrame([("X", "2024-01-01"), ("X", "2024-07-04")], "exchange string, date string")
+    told = lambda c: tuple(lookups.provenance(stamp, c, "1", {"outcome": "gapFill"}).first())
+    assert told(days) == told(days.orderBy("date", ascending=False).repartition(2)) != told(days.limit(1))
+    put(tmp_path / "csv/a.csv", "t,o,h,l,c\n1704067200000,1,3,0.5,2\n")
+    put(tmp_path / "csv/b.csv", "t,h,o,l,c\n1704067200000,3,1,0.5,2\n")
+    mapping = {"ts": "t", "open": "o", "high": "h", "low": "l", "close": "c"}
+    with pytest.raises(Exception, match="(?i)header|column"):
+        readers.read_csv_bars(spark, str(tmp_path / "csv"), "A", mapping).collect()
+
+
+def test_impossible_counts_are_errors(spark):
+    with pytest.raises(Exception, match="from 0 to the number of trials"):
+        spark.createDataFrame([(3, 4)], "n long, k long").select(*stats.wilson(F.col("n"), F.col("k"))).collect()
+    with pytest.raises(ValueError):
+        envelope.latest(None, 501)
 
 
 def test_windows_of_many_definitions(spark):
