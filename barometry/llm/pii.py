@@ -5,23 +5,33 @@ found by one pattern. Phone numbers: E.164 and other international groupings (+
 American (3-3-4) and, by a leading 0, European national ones, and Spanish ones in groups. Cards:
 16 digits in fours or unbroken, 15 as 4-6-5 or unbroken. Not found: names without a title, the rest of
 names with inner capitals, apostrophes or hyphens, local numbers without an area, unbroken national
-numbers without a leading 0, cards of other lengths, IPv6 and postal addresses, and identity and account numbers. Each distinct entity gets a replacement made from a keyed hash: letters
-become letters of the same case and script, digits digits, signs stay; card numbers keep their
-first digit and whether their check digit is right; names keep the title's gender, and a name
-under titles of both counts as two persons. Letters of other scripts than _SCRIPTS become Latin. Equal
-entities get equal replacements everywhere (coreference), however they are punctuated, and
-distinct ones distinct replacements that are no entity of the corpus: replacements that
-collide are made anew with the next attempt's hash until none does; from attempt SHAPED on they
-are longer by a sign an attempt, as their shape may have no free value left.
+numbers without a leading 0, cards of other lengths, IPv6 and postal addresses, and identity and account numbers.
+
+Each distinct entity gets a replacement made from a keyed hash (HMAC; the plan holds the key's
+pads, so plans are as secret as the key): letters become letters of the same case and script,
+digits digits, signs stay; card numbers keep their first digit and whether their check digit is
+right, international phone numbers their country code, others their first digit. A name's words
+are entities of their own: a surname has one replacement, under titles of either gender, with a
+given name or alone; a given name has one for each gender of title, with an ending of that
+gender. Cyrillic and Greek words keep their last letter, which tells gender there. Letters of
+other scripts than _SCRIPTS become Latin. Equal entities get equal replacements everywhere
+(coreference), however they are punctuated, and distinct ones distinct replacements that are no
+entity of the corpus: replacements that collide are made anew with the next attempt's hash until
+none does; from attempt SHAPED on they are longer by a sign an attempt, as their shape may have
+no free value left.
 """
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .spans import found, rewritten
+from .spans import bound, found, rewritten
 
 KINDS = ("email", "ip", "phone", "card", "name")
+#: Given names are entities besides; they count as part of the name.
+GIVEN = {True: "given_f", False: "given_m"}
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[\p{L}0-9][\p{L}0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 _SEPARATED = r"(?:[ ./()-]{0,2}[0-9])"
@@ -36,31 +46,57 @@ _PHONE = "|".join((
 _CARD = r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}(?:[0-9]{11}|[ -][0-9]{6}[ -][0-9]{5}))(?![0-9A-Za-z])"
 _TITLES = r"(?:(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Señorita|Monsieur|Madame|Mademoiselle|Dr|Dra|Prof|Mme|Mlle|Sr|Sra|Srta)\.? |M\. )+"
 _NAME = rf"(?<!\p{{L}}){_TITLES}\p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
-PATTERN = "|".join((_EMAIL, _IP, _CARD, _PHONE, _NAME))
+#: Looks at the first character come first: most places of a text pass no further.
+PATTERN = "|".join((_EMAIL, rf"(?=[+(0-9])(?:{_IP}|{_CARD}|{_PHONE})", rf"(?=[HFSMDP]){_NAME}"))
 _FEMALE = r"^(?:\p{L}+\.? )*?(?:Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|Dra|Mme|Mlle|Sra|Srta)\.? "
 _TITLE = f"^({_TITLES})"
 #: Letters of each script that stand for each other; fixed values.
 _SCRIPTS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûü", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "0123456789")
 #: Attempts in an entity's own shape.
 SHAPED = 8
-_NAMES = {True: ("Anna", "Clara", "Elena", "Ida", "Julia", "Laura", "Maria", "Nora"), False: ("Anton", "Bruno", "Emil", "Hugo", "Jonas", "Leon", "Martin", "Oscar")}
+#: Beginnings and middles of made-up names, and their endings by gender and of surnames.
+_FIRST, _NEXT = ("Al", "Be", "Da", "El", "Fa", "Ga", "Ire", "Jo", "Ka", "Le", "Ma", "Ni", "Or", "Pe", "Ro", "Sa"), ("bri", "da", "fe", "la", "lo", "mi", "na", "ne", "ri", "ro", "sa", "se", "ta", "ti", "va", "vi")
+_ENDS = {True: ("na", "lia", "ra", "ella"), False: ("n", "rt", "us", "ro"), None: ("mann", "son", "ter", "lin", "berg", "ner", "dal", "res")}
+#: Country codes of one and of two digits; all others have three.
+_ONE, _TWO = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 
 def _kind(value: Column) -> Column:
     return F.when(value.contains("@"), "email").when(value.rlike(_NAME), "name").when(value.rlike(f"^(?:{_IP})$"), "ip").when(value.rlike(f"^(?:{_CARD})$"), "card").otherwise("phone")
 
 
+def _norm(kind: Column, value: Column) -> Column:
+    """What equal entities share: digits, with a + before a country code, or the lower-case address."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    phone = F.when(value.startswith("+"), F.concat(F.lit("+"), digits)).when(value.startswith("00"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.length(digits)))).otherwise(digits)
+    return F.when(kind == "phone", phone).when(kind == "card", digits).when(kind == "email", F.lower(value)).otherwise(value)
+
+
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, version (hash of the text) and the spans of each document that has any, each with kind, value, norm and female (what equal entities share)."""
+    """id, version (hash of the text) and the spans of each document that has any, each with kind, value and norm (what equal entities share). A name's title is no part of its span, its given name a span before it."""
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.col("t").rlike(PATTERN))
-    norm = lambda v: F.when(_kind(v).isin("phone", "card"), F.regexp_replace(v, "[^0-9]", "")).when(_kind(v) == "name", F.regexp_replace(v, _TITLE, "")).when(_kind(v) == "email", F.lower(v)).otherwise(v)
-    spans = F.transform(found(F.col("t"), PATTERN, "", 0), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), _kind(s.value).alias("kind"), s.value.alias("value"), norm(s.value).alias("norm"), ((_kind(s.value) == "name") & s.value.rlike(_FEMALE)).alias("female")))
-    return text.select("id", F.xxhash64("t").alias("version"), spans.alias("spans"))
+
+    span = lambda start, end, kind, value: F.struct(start.alias("start"), end.alias("end"), kind.alias("kind"), value.alias("value"), _norm(kind, value).alias("norm"))
+
+    def of_name(s: Column) -> Column:
+        last, title = F.regexp_extract(s.value, r"\S+$", 0), F.regexp_extract(s.value, _TITLE, 1)
+        given = F.when(s.value.rlike(_FEMALE), GIVEN[True]).otherwise(GIVEN[False])
+        first = F.trim(F.substring(s.value, F.length(title) + 1, F.length(s.value) - F.length(title) - F.length(last)))
+        begin = s.start + F.length(title)
+        surname = span(s.end - F.length(last), s.end, F.lit("name"), last)
+        return F.when(F.length(first) > 0, F.array(span(begin, begin + F.length(first), given, first), surname)).otherwise(F.array(surname))
+
+    split = lambda s: bound(_kind(s.value), lambda kind: F.when(kind == "name", of_name(s)).otherwise(F.array(span(s.start, s.end, kind, s.value))))
+    return text.select("id", F.xxhash64("t").alias("version"), F.flatten(F.transform(found(F.col("t"), PATTERN, "", 0), split)).alias("spans"))
 
 
 def _noise(key: str, kind: Column, norm: Column, attempt: Column, n: Column) -> Column:
-    """Hex digits from a keyed hash, 64 for each of n blocks."""
-    block = lambda k: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string"), k.cast("string")), 256)
+    """Hex digits from HMAC-SHA-256, 64 for each of n blocks."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in secret)) for pad in (0x36, 0x5C))
+    message = lambda k: F.encode(F.concat_ws("\x1f", kind, norm, attempt.cast("string"), k.cast("string")), "utf-8")
+    block = lambda k: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message(k)), 256))), 256)
     return F.array_join(F.transform(F.sequence(F.lit(1), n), block), "")
 
 
@@ -84,69 +120,86 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + F.when(v > 9, v - 9).otherwise(v)) % 10
 
 
+def _with_surrogate(rows: DataFrame, key: str) -> DataFrame:
+    """rows (kind, norm, attempt) with the replacement at that attempt; for phones and cards, of the digits alone."""
+    kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
+    rows = rows.withColumn("noise", _noise(key, kind, norm, attempt, F.greatest(F.lit(1), F.ceil(F.length(norm) / 16).cast("int"))))
+    return rows.withColumn("surrogate", _surrogate(key)).drop("noise")
+
+
 def _surrogate(key: str) -> Column:
-    """The replacement of (kind, norm, female) at an attempt; for phones and cards, of the digits alone."""
-    kind, norm, attempt, female = F.col("kind"), F.col("norm"), F.col("attempt"), F.col("female")
-    noise = _noise(key, kind, norm, attempt, F.greatest(F.lit(1), F.ceil(F.length(norm) / 16).cast("int")))
+    kind, norm, attempt, noise = F.col("kind"), F.col("norm"), F.col("attempt"), F.col("noise")
     same = _like(norm, noise)
-    # The first digit of cards and the country's digit of phones stay.
-    held = F.concat(F.substring(norm, 1, 1), F.substring(same, F.lit(2), F.length(norm)))
-    digit = ((10 - _luhn(F.concat(F.substring(held, F.lit(1), F.length(held) - 1), F.lit("0")))) % 10).cast("string")
-    card = F.when(_luhn(norm) == 0, F.concat(F.substring(held, F.lit(1), F.length(held) - 1), digit)).otherwise(held)
-    octet = lambda k: (F.conv(F.substring(noise, 4 * k + 1, 4), 16, 10).cast("int") % F.when(attempt < SHAPED, 254).otherwise(999) + 1).cast("string")
+    # The first digit of cards and national numbers and the country code of others stay.
+    held = lambda n: F.concat(F.substring(norm, F.lit(1), n), F.substring(same, n + 1, F.length(norm)))
+    code = F.when(norm.rlike(rf"^\+{_ONE}"), 2).when(norm.rlike(rf"^\+(?:{_TWO})"), 3).when(norm.startswith("+"), 4).otherwise(1)
+    card_digits = held(F.lit(1))
+    digit = ((10 - _luhn(F.concat(F.substring(card_digits, F.lit(1), F.length(norm) - 1), F.lit("0")))) % 10).cast("string")
+    card = F.when(_luhn(norm) == 0, F.concat(F.substring(card_digits, F.lit(1), F.length(norm) - 1), digit)).otherwise(card_digits)
+    number = lambda k: F.conv(F.substring(noise, 4 * k + 1, 4), 16, 10).cast("int")
+    octet = lambda k: (number(k) % F.when(attempt < SHAPED, 254).otherwise(999) + 1).cast("string")
     domain = F.regexp_extract(norm, r"\.[A-Za-z]+$", 0)
     email = F.concat(_like(F.substring(norm, F.lit(1), F.length(norm) - F.length(domain)), noise), domain)
-    pick = lambda names: F.get(F.array(*map(F.lit, names)), F.conv(F.substring(noise, 1, 4), 16, 10).cast("int") % len(names))
-    latin = norm.rlike("^[A-Za-zÀ-ÿ ]+$")
-    given = F.when(female, pick(_NAMES[True])).otherwise(pick(_NAMES[False]))
-    name = F.when(latin, F.concat(given, F.lit(" "), F.initcap(_like(F.lower(F.regexp_extract(norm, r"\S+$", 0)), noise)))).otherwise(same)
+    pick = lambda some, k: F.get(F.array(*map(F.lit, some)), number(k) % len(some))
+    made = lambda ends: F.concat(pick(_FIRST, 0), pick(_NEXT, 1), F.when(number(2) % 2 == 0, pick(_NEXT, 3)).otherwise(""), pick(ends, 4))
+    gendered = F.when(norm.rlike("[Α-Ωα-ωА-Яа-я]$"), F.concat(F.substring(same, F.lit(1), F.length(norm) - 1), F.substring(norm, -1, 1))).otherwise(same)
+    latin = F.when(kind == GIVEN[True], made(_ENDS[True])).when(kind == GIVEN[False], made(_ENDS[False])).otherwise(made(_ENDS[None]))
+    name = F.when(norm.rlike("^[A-Za-zÀ-ÿ]+$"), latin).otherwise(gendered)
     n_more = F.greatest(F.lit(0), attempt - (SHAPED - 1))
     more = lambda sign: F.when(n_more > 0, _like(F.repeat(F.lit(sign), n_more), _noise(key, F.concat(kind, F.lit("+")), norm, attempt, F.ceil(n_more / 16).cast("int")))).otherwise("")
-    return F.when(kind == "card", F.concat(card, more("0"))).when(kind == "phone", F.concat(held, more("0"))).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "email", F.concat(more("a"), email)).otherwise(F.concat(name, more("a")))
+    return F.when(kind == "card", F.concat(card, more("0"))).when(kind == "phone", F.concat(held(code), more("0"))).when(kind == "ip", F.concat_ws(".", *map(octet, range(4)))).when(kind == "email", F.concat(more("a"), email)).otherwise(F.concat(name, more("a")))
 
 
 def surrogates(spans: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, female) -> surrogate for every distinct entity of entities()'s rows."""
-    flat = spans.select(F.explode("spans").alias("s")).select("s.kind", "s.norm", "s.female")
-    known = scratch.cut(flat.distinct(), "entities")
-    made = scratch.cut(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", _surrogate(key)), "surrogates")
+    """(kind, norm) -> surrogate for every distinct entity of entities()'s rows."""
+    spark = spans.sparkSession
+    # A fixed number of tasks: the rows are small and their hashes are not.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = scratch.cut(spans.select(F.explode("spans").alias("s")).select("s.kind", "s.norm").distinct().repartition(tasks, "norm"), "entities")
+    made = scratch.cut(_with_surrogate(known.repartition(tasks, "norm").withColumn("attempt", F.lit(0)), key), "surrogates")
+    # Names of all kinds share one space of words, other kinds have one each.
+    space = F.when(F.col("kind").isin(*GIVEN.values()), "name").otherwise(F.col("kind")).alias("space")
+    real = scratch.cut(known.select(space, F.col("norm").alias("surrogate")).distinct().withColumn("real", F.lit(True)), "real-entities")
     while True:
-        real = known.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real")).distinct()
-        first = made.groupBy("kind", "surrogate").agg(F.min(F.struct("norm", "female")).alias("first"))
-        judged = made.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left").withColumn("again", (F.struct("norm", "female") != F.col("first")) | F.col("real").isNotNull())
-        judged = scratch.cut(judged.select("kind", "norm", "female", "attempt", "surrogate", "again"), "judged")
+        spaced = made.withColumn("space", space)
+        first = spaced.groupBy("space", "surrogate").agg(F.min(F.struct("norm", "kind")).alias("first"))
+        judged = spaced.join(first, ["space", "surrogate"]).join(real, ["space", "surrogate"], "left").withColumn("again", (F.struct("norm", "kind") != F.col("first")) | F.col("real").isNotNull())
+        judged = scratch.cut(judged.select("kind", "norm", "attempt", "surrogate", "again"), "judged")
         if not judged.filter("again").limit(1).count():
-            return judged.select("kind", "norm", "female", "surrogate")
-        redone = judged.filter("again").select("kind", "norm", "female", (F.col("attempt") + 1).alias("attempt")).withColumn("surrogate", _surrogate(key))
-        made = scratch.cut(judged.filter(~F.col("again")).select("kind", "norm", "female", "attempt", "surrogate").unionByName(redone), "surrogates")
+            return judged.select("kind", "norm", "surrogate")
+        redone = _with_surrogate(judged.filter("again").select("kind", "norm", (F.col("attempt") + 1).alias("attempt")).repartition(tasks, "norm"), key)
+        made = scratch.cut(judged.filter(~F.col("again")).select("kind", "norm", "attempt", "surrogate").unionByName(redone), "surrogates")
 
 
 def _formatted(value: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the occurrence's own punctuation, title or capitals."""
+    """The surrogate in the occurrence's own punctuation or capitals."""
+    # The digits to fill in, in order; a country code may be written as 00.
+    zeros = F.when(value.startswith("00") & surrogate.startswith("+"), "00").otherwise("")
+    digits = F.concat(zeros, F.regexp_replace(surrogate, r"^\+", ""))
     upto = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
     # A surrogate of a later attempt may have more digits.
-    filled = F.concat(F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, upto(i + 1), F.lit(1))).otherwise(c)), ""), F.substring(surrogate, F.length(F.regexp_replace(value, "[^0-9]", "")) + 1, F.length(surrogate)))
-    name = F.concat(F.regexp_extract(value, _TITLE, 1), surrogate)
+    filled = F.concat(F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, upto(i + 1), F.lit(1))).otherwise(c)), ""), F.substring(digits, F.length(F.regexp_replace(value, "[^0-9]", "")) + 1, F.length(digits)))
     email = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("phone", "card"), filled).when(kind == "name", name).when(kind == "email", email).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card"), filled).when(kind == "email", email).otherwise(surrogate)
 
 
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_entities and n_<kind> of each document, and its text with all entities replaced.
 
     Documents without entities never leave their scan. Null texts stay null; rows of equal id
-    and text are treated alike.
+    (null or not) and text are treated alike; an empty table gives an empty one; other columns
+    are not read.
     """
     spans = scratch.cut(entities(docs, id_col, text_col).dropDuplicates(["id", "version"]), "spans")
     flat = spans.select("id", "version", F.explode("spans").alias("s")).select("id", "version", "s.*")
-    new = flat.join(surrogates(spans, key), ["kind", "norm", "female"]).withColumn("new", _formatted(F.col("value"), F.col("kind"), F.col("surrogate")))
-    marks = new.groupBy("id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("marks"))
+    new = flat.join(surrogates(spans, key), ["kind", "norm"]).withColumn("new", _formatted(F.col("value"), F.col("kind"), F.col("surrogate")))
+    marks = new.groupBy(F.struct("id", "version").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("marks")).select("doc.*", "marks")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
     of_kind = lambda k: F.size(F.filter("marks", lambda m: m.kind == k)).cast("long").alias(f"n_{k}")
     count = [of_kind(k) for k in KINDS]
     own = rows.filter(has).withColumn("own", F.xxhash64("text"))
     both = own.join(marks.withColumnRenamed("id", "marked"), own["id"].eqNullSafe(F.col("marked")) & (F.col("own") == F.col("version")))
-    changed = both.select("id", F.size("marks").cast("long").alias("n_entities"), *count, rewritten(F.col("text"), F.col("marks")).alias("text"))
+    changed = both.select("id", F.size(F.filter("marks", lambda m: ~m.kind.isin(*GIVEN.values()))).cast("long").alias("n_entities"), *count, rewritten(F.col("text"), F.col("marks")).alias("text"))
     same = rows.filter(~has).select("id", F.lit(0).cast("long").alias("n_entities"), *(F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS), "text")
     return same.unionByName(changed).withColumnRenamed("id", id_col)

@@ -4,16 +4,29 @@
 lengths of the gaps and of the matches add up to code point positions.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose positions are summed up together.
+RUN = 256
 SPAN = "array<struct<start:int,end:int,rank:int,kind:string,value:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def found(text: Column, pattern: str, kind: str, rank: int, group: int = 0) -> Column:
-    """All matches of pattern as an array of SPAN's structs; value is the group's text. The pattern never matches nothing."""
-    gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """All matches of pattern as an array of SPAN's structs; value is the group's text. The pattern never matches nothing.
+
+    Positions are summed up within runs of RUN matches and over the runs, so that no long array
+    is copied for each match.
+    """
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    none = F.array().cast(SPAN)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc.at + F.length(x["gap"])
@@ -21,8 +34,19 @@ def found(text: Column, pattern: str, kind: str, rank: int, group: int = 0) -> C
         one = F.struct(begin.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.array_append(acc.out, one).alias("out"))
 
-    matches = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    return F.when(text.rlike(pattern), F.aggregate(matches, start, step, lambda acc: acc.out)).otherwise(F.array().cast(SPAN))
+    def placed(matches: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(matches) - 1, F.lit(RUN)), lambda i: F.slice(matches, i + 1, RUN))
+        width = lambda r: F.aggregate(r, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["whole"]))
+        inside = lambda r, at: F.aggregate(r, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc.out)
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        return F.aggregate(runs, first, lambda acc, r: F.struct((acc.at + width(r)).alias("at"), F.array_append(acc.out, inside(r, acc.at)).alias("out")), lambda acc: F.flatten(acc.out))
+
+    def zipped(whole: Column) -> Column:
+        value = whole if group == 0 else every(group)
+        matches = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
+        return F.when(F.size(whole) > 0, bound(matches, placed)).otherwise(none)
+
+    return F.when(text.rlike(pattern), bound(every(0), zipped)).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
