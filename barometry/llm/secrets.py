@@ -2,9 +2,13 @@
 
 Base kinds are found by pattern. Further candidates are opaque tokens (letters and digits
 mixed, at least ``OPAQUE`` characters). The hash of every candidate value is counted over
-all documents by distinct repositories and owners: a value that many owners hold is a
-widely copied example, one that at most ``max_owners`` hold looks live. Base spans stay
-whatever their count; opaque tokens become spans only if they look live.
+all documents by distinct repositories and owners: a value that more than ``max_owners``
+owners or ``max_repos`` repositories hold is a widely copied example, any other looks live.
+Base spans stay whatever their count; opaque tokens become spans only if they look live.
+
+Everywhere, null texts are empty, null owners (and null repositories of one owner) count as
+one, rows of equal id (null or not) and text are treated alike, an empty table gives an empty
+one, and columns other than those named are not read.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -38,19 +42,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def ownership(found_rows: DataFrame) -> DataFrame:
-    """Per candidate hash: distinct owners and repositories over the whole corpus. Null owners count as one."""
+    """Per candidate hash: distinct owners and repositories over the whole corpus. A repository is told by its owner and name."""
     one = found_rows.select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo"), F.explode(F.concat("base", "opaque")).alias("s")).select(F.sha2("s.value", 256).alias("hash"), "owner", "repo")
     repos = one.distinct().groupBy("hash", "owner").agg(F.count("*").alias("n"))
     return repos.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
 
 
-def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | Column = "source", repo_col: str | Column | None = None, max_owners: int = 2) -> DataFrame:
+def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | Column = "source", repo_col: str | Column | None = None, max_owners: int = 2, max_repos: int = 4) -> DataFrame:
     """Per document: id, version, base spans, spans (base and live opaque ones, by start then kind) and live (of these, those that look live)."""
     rows = scratch.cut(scan(docs, id_col, text_col, owner_col, repo_col), "scan")
-    any_found = rows.filter(F.size("base") + F.size("opaque") > 0)
-    held = any_found.select("id", "version", F.explode(F.concat("base", "opaque")).alias("s")).select("id", "version", F.sha2("s.value", 256).alias("hash")).distinct()
-    live = held.join(ownership(any_found).filter(F.col("owners") <= max_owners), "hash").groupBy("id", "version").agg(F.collect_set("hash").alias("hashes"))
-    with_live = any_found.join(live, ["id", "version"], "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
+    # As a struct the key of a document may hold a null id.
+    any_found = rows.filter(F.size("base") + F.size("opaque") > 0).withColumn("doc", F.struct("id", "version"))
+    held = any_found.select("doc", F.explode(F.concat("base", "opaque")).alias("s")).select("doc", F.sha2("s.value", 256).alias("hash")).distinct()
+    # A table of its own: only then can the join split a value that many documents hold.
+    few = scratch.cut(ownership(any_found).filter((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("hash"), "owned")
+    live = held.join(few, "hash").groupBy("doc").agg(F.collect_set("hash").alias("hashes"))
+    with_live = any_found.join(live, "doc", "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
     is_live = lambda s: F.array_contains(F.col("hashes"), F.sha2(s.value, 256))
     spans = F.array_sort(F.concat("base", F.filter("opaque", is_live)))
     done = with_live.withColumn("spans", spans).select("id", "version", "base", "spans", F.filter("spans", is_live).alias("live"))
@@ -63,9 +70,9 @@ def summary(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(F.col("id").alias(id_col), *(count(kind) for kind, *_ in BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("live").cast("long").alias("n_live"), (F.size("spans") - F.size("live")).cast("long").alias("n_example"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | Column | None = None, max_owners: int = 2, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | Column | None = None, max_owners: int = 2, max_repos: int = 4, mark: str = "[SECRET]") -> DataFrame:
     """docs with every live-looking secret's span replaced by mark; all else as it was."""
-    live = classified(docs, id_col, text_col, owner_col, repo_col, max_owners).filter(F.size("live") > 0)
+    live = classified(docs, id_col, text_col, owner_col, repo_col, max_owners, max_repos).filter(F.size("live") > 0)
     # Overlapping spans become one.
     start = F.array().cast("array<struct<start:int,end:int>>")
 

@@ -99,6 +99,32 @@ def test_ownership_tells_examples_from_live(spark):
     assert secrets.redacted(docs).count() == 9
 
 
+def test_ownership_equals_a_plain_count(spark):
+    rng = random.Random(3)
+    values = ["v%05d" % i * 2 for i in range(25)]
+    rows = [(i if i % 17 else None, f"a token={rng.choice(values[: rng.choice([3, 25])])} b", rng.choice(["o1", "o2", "o3", None]), rng.choice(["r1", "r2", "r3", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = sorted((r.id or -1, r.live[0].value if r.live else None) for r in secrets.classified(docs, repo_col="repo", max_owners=2, max_repos=4).collect())
+    owners, repos = {}, {}
+    for _, t, o, r in rows:
+        owners.setdefault(t[8:-2], set()).add(o)
+        repos.setdefault(t[8:-2], set()).add((o, r))
+    live = lambda v: v if len(owners[v]) <= 2 and len(repos[v]) <= 4 else None
+    # The two conditions matter each.
+    assert {(len(owners[v]) <= 2, len(repos[v]) <= 4) for v in owners} >= {(False, False), (True, True), (True, False)}
+    assert got == sorted((i or -1, live(t[8:-2])) for i, t, _, _ in rows)
+    masked = secrets.redacted(docs, repo_col="repo").collect()
+    assert sum("[SECRET]" in r.text for r in masked) == sum(live(t[8:-2]) is not None for _, t, _, _ in rows)
+
+
+def test_positions_of_many_matches(spark):
+    text = " ".join(f"é{'x' * (i % 5)} {i:06d}" for i in range(1500))
+    from barometry.llm import spans
+
+    row = spark.createDataFrame([(text,)], "t string").select(spans.found(F.col("t"), "[0-9]{6}", "n", 0).alias("s")).first()
+    assert [(s.start, s.end, s.value) for s in row.s] == [(m.start(), m.end(), m[0]) for m in __import__("re").finditer("[0-9]{6}", text)]
+
+
 def test_empty(spark):
     none = make(spark, [(1, "")]).limit(0)
     assert quality.judged(none).count() == 0 == secrets.classified(none).count() == secrets.redacted(none).count() == quality.filtered(none).count()
