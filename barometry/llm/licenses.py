@@ -117,8 +117,8 @@ class Templates:
             self.weights[:, k] /= np.sqrt((self.weights[:, k] ** 2).sum()) or 1.0
         common = np.array(sorted(h for h, n in held.items() if n * COMMON >= files), _U)
         self.common, self.common_idf = common, idf(np.array([held[int(h)] for h in common], float), files)
-        # Others are in fewer files than one in COMMON.
-        self.floor = float(idf(files / COMMON, files))
+        # Others are in fewer files than one in COMMON, or in one.
+        self.floor = float(idf(max(1.0, files / COMMON), files))
         self.anchors = np.unique(np.concatenate([self._anchors(k) for k in range(len(texts))]))
 
     def _anchors(self, k: int) -> np.ndarray:
