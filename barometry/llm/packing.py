@@ -1,16 +1,19 @@
 """Best-fit packing of documents into training sequences.
 
 The histogram of piece lengths (at most ``capacity`` entries) carries the whole problem.
-On it, a configuration linear program (cover every length's pieces with as few full
-configurations as possible) is solved by multiplicative weights: each round prices
-lengths by their weights, a knapsack dynamic program over the capacity finds the best
-configurations, these are used in whole numbers, and lengths that lag behind gain weight.
-What is left after this rounding goes by best fit into the open configurations, then
-into new ones. The plan is a table of (length, run of ranks) -> places whose size depends
-on the histogram, not on the corpus; Spark ranks the pieces within their length and looks
-the places up.
+On it, a configuration linear program (cover every length's pieces with as few configurations
+as possible, in fractions) is solved by multiplicative weights: lengths have prices, at first
+their share of a sequence; each round a knapsack dynamic program over the capacity finds the
+configurations of most worth, which are used for the pieces that they lead with, and lengths
+covered more than others lose price, those covered less gain. Prices over the worth of the best
+configuration are feasible for the dual program, so each round also bounds the sequences from
+below. The fractions are rounded down to whole sequences; what that leaves goes by the same
+prices in whole numbers, then by best fit into the open configurations, then into new ones. The
+plan is a table of (length, run of ranks) -> places whose size depends on the histogram, not on
+the corpus; Spark ranks the pieces within their length and looks the places up.
 """
 
+import math
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,6 +28,8 @@ from . import scratch
 from .tokens import END_ID, Encoder, crc32_of
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
+#: Pieces over capacity / SHORT are long and go by the program; distinct sizes it tells apart, at most; how far below the best worth a configuration may be.
+SHORT, GROUPS, SLACK = 8, 64, 0.01
 
 
 def price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,18 +59,165 @@ def configuration(first: int, room: int, take: np.ndarray) -> Counter:
     return items
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 40, share: float = 0.5, rate: float = 0.02) -> list[Pattern]:
+def priced(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, list[Counter]]:
+    """The most worth a configuration of sizes can have, and for each size the configuration of most worth that has one of it; by dynamic programming over pieces and room."""
+    most = capacity // int(sizes.min())
+    best = np.zeros((most + 1, capacity + 1))
+    take = np.zeros((most + 1, capacity + 1), np.int32)
+    for k in range(1, most + 1):
+        best[k], take[k] = best[k - 1], -1
+        for g, size in enumerate(sizes):
+            value = best[k - 1][: capacity + 1 - size] + prices[g]
+            better = value > best[k][size:]
+            best[k][size:][better] = value[better]
+            take[k][size:][better] = g
+    out = []
+    for g, size in enumerate(sizes):
+        items, k, room = Counter([g]), most - 1, capacity - int(size)
+        while k > 0:
+            if (h := int(take[k][room])) >= 0:
+                items[h] += 1
+                room -= int(sizes[h])
+            k -= 1
+        out.append(items)
+    return float(best[most][capacity]), out
+
+
+def grouped(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the long pieces, their counts, and the size's index of each length (-1: short): all lengths, if there are few, or GROUPS groups of about as many pieces, each as long as its longest."""
+    lengths = np.array(sorted(length for length in histogram if length * SHORT > capacity), np.int64)
+    counts = np.array([histogram[int(length)] for length in lengths], np.int64)
+    group = np.arange(len(lengths))
+    if len(lengths) > GROUPS:
+        group = np.unique(np.ceil(np.cumsum(counts) / counts.sum() * GROUPS), return_inverse=True)[1]
+    of = np.full(capacity + 1, -1)
+    of[lengths] = group
+    sizes, n = np.zeros(group.max() + 1 if len(group) else 0, np.int64), np.zeros(group.max() + 1 if len(group) else 0, np.int64)
+    np.maximum.at(sizes, group, lengths)
+    np.add.at(n, group, counts)
+    return sizes, n, of
+
+
+def program(sizes: np.ndarray, n: np.ndarray, capacity: int, rounds: int = 300, rate: float = 1.0) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray, float]:
+    """Fractions of configurations ((size's index, count), ...) that cover n pieces of each size, the best prices met, and the bound that they give.
+
+    In each round the configurations of most worth are used for the pieces they lead with.
+    Covers of earlier rounds fade, as their prices were worse. rate: how much a size's price
+    moves with the share of its pieces that are covered.
+    """
+    # A size's share of a sequence, or steps of it: of these prices those that bound the sequences best begin.
+    steps = lambda k: np.where(sizes * (k + 1) % capacity == 0, sizes / capacity, sizes * (k + 1) // capacity / k)
+    begin = [sizes / capacity, *(w for w in map(steps, range(1, SHORT)) if w.any())]
+    worths = [priced(sizes, w, capacity)[0] for w in begin]
+    weights = begin[int(np.argmax([(n * w).sum() / x for w, x in zip(begin, worths, strict=True)]))]
+    # Prices of nothing could never rise.
+    weights = np.maximum(weights, 1e-6)
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    cover, top, at = np.zeros(len(sizes)), 0.0, weights
+    best: tuple[float, dict] = (math.inf, {})
+    for turn in range(rounds):
+        worth, each = priced(sizes, weights, capacity)
+        if (n * weights).sum() / worth > top:
+            top, at = float((n * weights).sum() / worth), weights / worth
+        fade = 1 - 1 / (2 + turn / 4)
+        used = {c: k * fade for c, k in used.items() if k * fade > 1e-6}
+        cover *= fade
+        seen, slack = np.zeros(len(sizes)), max(SLACK, 0.1 / (1 + turn / 20))
+        for g in np.argsort(-sizes):
+            value = sum(weights[h] * a for h, a in each[g].items())
+            need = n[g] - seen[g]
+            if need <= 0 or value < (1 - slack) * worth:
+                continue
+            k = need / each[g][g] * (1 - fade)
+            for h, a in each[g].items():
+                seen[h] += k * a / (1 - fade)
+                cover[h] += k * a
+            key = tuple(sorted(each[g].items()))
+            used[key] = used.get(key, 0.0) + k
+        share = cover / n
+        if share.min() > 0 and sum(used.values()) / share.min() < best[0]:
+            best = sum(used.values()) / share.min(), {c: k / share.min() for c, k in used.items()}
+        weights = weights * np.exp(rate / math.sqrt(1 + turn / 10) * np.clip(1 - share / max(share.mean(), 1e-9), -1, 1) / 4)
+        weights = np.maximum(weights / weights.max(), 1e-9)
+        if best[0] <= top * 1.002:
+            break
+    return best[1], at, top
+
+
+def lower_bound(histogram: dict[int, int], of: np.ndarray, prices: np.ndarray, capacity: int) -> float:
+    """What any packing needs at least, by the prices of the sizes: the lengths' worth over the most that a configuration of them can have."""
+    weights = np.zeros(capacity + 1)
+    for length in histogram:
+        weights[length] = prices[of[length]] if of[length] >= 0 else 0.0
+    total = sum(length * n for length, n in histogram.items()) / capacity
+    if not weights.any():
+        return total
+    best, _ = price(weights, capacity)
+    return max(total, sum(weights[length] * n for length, n in histogram.items()) / float(best[capacity]))
+
+
+def rounded(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], float]:
+    """The program's solution in whole sequences, with all pieces placed, and the lower bound."""
+    sizes, n, of = grouped(histogram, capacity)
+    left = np.zeros(capacity + 1, np.int64)
+    for length, count in histogram.items():
+        left[length] = count
+    if not len(sizes):
+        return best_fit(*in_whole_numbers(left, Counter(), capacity), capacity), lower_bound(histogram, of, np.zeros(0), capacity)
+    fractions, prices, _ = program(sizes, n, capacity)
+    lists = [[int(x) for x in np.flatnonzero(of == g)[::-1]] for g in range(len(sizes))]
+    used: Counter = Counter()
+    for pattern, k in sorted(fractions.items(), key=lambda x: (-x[1], x[0])):
+        whole = int(k + 1e-9)
+        # A slot takes any piece of its group: the longest left first, as many sequences alike as there are.
+        while whole > 0 and all(lists[g] for g, _ in pattern):
+            slots = [(lists[g][0], a) for g, a in pattern]
+            alike = min(whole, *(int(left[length]) // a for length, a in slots))
+            if not alike:
+                # Too few of one length: these go one by one, with the next lengths of the group.
+                slots = []
+                for g, a in pattern:
+                    for _ in range(a):
+                        while lists[g] and not left[lists[g][0]]:
+                            lists[g].pop(0)
+                        if lists[g]:
+                            slots.append((lists[g][0], 1))
+                            left[lists[g][0]] -= 1
+                for length, _ in slots:
+                    left[length] += 1
+                slots, alike = sorted(Counter(length for length, _ in slots).items(), reverse=True), 1
+            used[tuple(sorted(slots, reverse=True))] += alike
+            whole -= alike
+            for length, a in slots:
+                left[length] -= alike * a
+            for g, _ in pattern:
+                while lists[g] and not left[lists[g][0]]:
+                    lists[g].pop(0)
+    return best_fit(left, used, capacity), lower_bound(histogram, of, prices, capacity)
+
+
+def solve(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns ((length, count), ...) and how many sequences have each; all pieces are placed.
 
-    rounds: of multiplicative weights. share: of what a configuration could take it takes
-    at once. rate: by how much the most lagging lengths gain weight in a round.
+    The program's solution rounded; short pieces alone, and whatever it leaves a better way for,
+    by whole numbers or plain best fit, if that needs fewer sequences.
     """
-    total = np.zeros(capacity + 1)
-    for length, n in histogram.items():
-        total[length] = n
-    left = total.astype(np.int64)
+    if not histogram:
+        return []
+    left = np.zeros(capacity + 1, np.int64)
+    for length, count in histogram.items():
+        left[length] = count
+    made, bound = rounded(histogram, capacity)
+    for way in (lambda: best_fit(left.copy(), Counter(), capacity), lambda: best_fit(*in_whole_numbers(left.copy(), Counter(), capacity), capacity)):
+        if sum(k for _, k in made) > math.ceil(bound - 1e-6):
+            made = min(made, way(), key=lambda patterns: sum(k for _, k in patterns))
+    return made
+
+
+def in_whole_numbers(left: np.ndarray, used: Counter, capacity: int, rounds: int = 40, share: float = 0.5, rate: float = 0.02) -> tuple[np.ndarray, Counter]:
+    """left and used after (nearly) full configurations of the pieces left are taken in whole numbers, a share of what they could take at once, by prices that rise for lengths that lag behind."""
+    total = left.astype(float)
     weights = np.arange(capacity + 1, dtype=float)
-    used: Counter = Counter()
     for turn in range(rounds):
         now = np.where(left > 0, weights, 0.0)
         if not now.any():
@@ -90,7 +242,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 40, share: flo
         weights *= np.exp(rate * (behind - behind[total > 0].mean()))
         if not placed and turn >= 8:
             break
-    return best_fit(left, used, capacity)
+    return left, used
 
 
 def best_fit(left: np.ndarray, used: Counter, capacity: int) -> list[Pattern]:

@@ -1,8 +1,10 @@
 """Tokens, packing, decontamination and near duplicates against plain versions, on the small table and on hard cases."""
 
 import random
+from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from barometry.llm import components, decontam, neardup, packing, tokens
 
@@ -67,6 +69,40 @@ def test_packing(spark, request, name, capacity):
     assert len(sequences) <= least * 1.02 + 1
 
 
+def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(4)
+    docs = make(spark, [(i, " ".join(rng.choice(["red", "green", "blue", "sky"]) for _ in range(60))) for i in range(4000)])
+    tokens.write_tokens(docs, str(tmp_path / "t"), tokens.default_tokenizer(), row_group_bytes=32 << 10, page_bytes=4 << 10)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("*.parquet")]
+    columns = [f.metadata.row_group(g).column(c) for f in files for g in range(f.num_row_groups) for c in range(f.metadata.num_columns)]
+    assert sum(f.num_row_groups for f in files) > len(files)
+    assert all(c.has_offset_index and (c.has_column_index or "token_ids" in c.path_in_schema) for c in columns)
+    assert all(any("DICTIONARY" in e for e in c.encodings) for c in columns if "token_ids" in c.path_in_schema)
+    # Row groups follow the ids, so a range of ids reads few of them.
+    spans = [(c.statistics.min, c.statistics.max) for c in columns if c.path_in_schema == "doc_id"]
+    assert sum(low <= 100 <= high for low, high in spans) == 1
+
+
+def test_packing_is_near_the_program_s_bound():
+    rng = random.Random(9)
+    cases = {
+        "thirds": [rng.choice([1366, 1365, 1200, 2049, 1000, 700]) for _ in range(20000)],
+        "pairs": [rng.randrange(1400, 2100) for _ in range(5000)],
+        "halves": [2049] * 1000 + [1500] * 700 + [547] * 100,
+        "texts": [min(4096, int(rng.lognormvariate(5.3, 1.0)) + 1) for _ in range(4000)],
+    }
+    for name, lengths in cases.items():
+        histogram = {length: lengths.count(length) for length in set(lengths)}
+        _, bound = packing.rounded(histogram, 4096)
+        used = sum(k for _, k in packing.solve(histogram, 4096))
+        plain = sum(k for _, k in packing.best_fit(np.array([histogram.get(x, 0) for x in range(4097)]), Counter(), 4096))
+        assert bound - 1e-6 <= used <= min(plain, 1.002 * bound + len(histogram)), name
+        # Longest first by best fit needs a tenth more sequences on thirds.
+        assert name != "thirds" or used < 0.92 * plain
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece(seed):
     rng = random.Random(seed)
@@ -95,6 +131,14 @@ def test_decontamination(spark, request, monkeypatch, sf, name, bound):
     assert clean == {d for d, v in got.items() if not v[4]}
 
 
+def test_empty_benchmark_and_other_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 1), (None, None, "y", 2), (1, "a b c", "x", 1)], "doc_id long, text string, items string, n_hit int")
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert decontam.decontaminate(docs, none).count() == 3 and decontam.matches(docs, none).filter("n_words = 3").count() == 2
+    left = decontam.decontaminate(docs, spark.createDataFrame([("i", "B")], none.schema))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(None, None, "y", 2)]
+
+
 def test_matches_are_longest(spark):
     text = "zz " + " ".join(f"k{i}" for i in range(30)) + " zz"
     got = decontam.matches(make(spark, [(0, text)]), spark.createDataFrame([("q", text[3:-3])], "item_id string, text string")).first()
