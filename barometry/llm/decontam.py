@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import ALNUM, Block, blocks, take_ranges, word_hashes, words
+from . import scratch
+from .textblocks import ALNUM, Block, Words, blocks, take_ranges, word_hashes, words
 
-#: Bytes of benchmark text that tasks hold at once; a larger benchmark is taken in several passes.
+#: Bytes of benchmark text that driver and tasks hold at once; a larger benchmark is taken in passes, one after another.
 BENCHMARK_BYTES = 16 << 20
 #: Bits of a coded word, and words in one 64-bit key.
 _BITS, _PER_KEY = 21, 3
@@ -109,10 +110,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
     """Per document: id, n_words, n_hit, items (sorted distinct item ids) and matches, the longest verbatim matches.
 
     A document word counts as hit inside any occurrence of a window. Null texts have no
-    words; items without words match nothing; rows of equal id give a row each.
+    words; items without words match nothing; rows of equal id give a row each; an empty table
+    gives an empty one, an empty benchmark no matches; other columns are not read.
     """
     out = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(_MATCH).alias("matches"))
-    for part in _parts(benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t"))):
+    for k, part in enumerate(_parts(benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")))):
+        # Each pass is over before the next part is read, so that no task holds two.
+        out = scratch.cut(out, "matches") if k else out
         out = out.mapInArrow(_searcher(Suffixes(part, window)), out.schema)
     return out.drop("_text")
 
@@ -130,12 +134,31 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield part
 
 
+def searched(block: Block, s: Suffixes) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The block's words, its shard's suffix array, and the range of it that each test suffix has."""
+    w, low = words(block, ALNUM)
+    at, keys = suffix_array(s.code(word_hashes(w, low)), w.first, s.depth)
+    return w, at, *search(keys, s)
+
+
+def _cleaner(s: Suffixes, text: int):
+    """Keeps the rows whose text (the column of that number) holds no test suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(len(batch), bool)
+            for block in blocks(batch.column(text), 4 << 20):
+                w, at, begin, end = searched(block, s)
+                hit = at[take_ranges(begin, end - begin)]
+                clean[block.start + np.searchsorted(w.first, hit, "right") - 1] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
 def _searcher(s: Suffixes):
     def one(block: Block, old_hits: list, old_items: list, old_matches: list) -> tuple:
-        w, low = words(block, ALNUM)
-        coded = s.code(word_hashes(w, low))
-        at, keys = suffix_array(coded, w.first, s.depth)
-        begin, end = search(keys, s)
+        w, at, begin, end = searched(block, s)
         n = end - begin
         found = longest(at[take_ranges(begin, n)], np.repeat(np.arange(len(n)), n), s)
         doc = np.searchsorted(w.first, found[:, 0], "right") - 1
@@ -171,7 +194,15 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", **names: str) -> DataFrame:
-    """docs without those that hold a window of the benchmark. A repeated id goes if any of its rows holds one."""
-    bad = matches(docs, benchmark, window, id_col, **names).filter("n_hit > 0").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text holds a window of the benchmark.
+
+    Every row is judged by its own text where it lies: nothing is shuffled, and null or repeated
+    ids make no difference. Null texts and those of an empty benchmark stay; an empty table
+    gives an empty one; all columns are kept.
+    """
+    out = docs
+    for k, part in enumerate(_parts(benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")))):
+        out = scratch.cut(out, "clean") if k else out
+        out = out.mapInArrow(_cleaner(Suffixes(part, window), docs.columns.index(text_col)), docs.schema)
+    return out
