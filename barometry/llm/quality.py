@@ -21,15 +21,16 @@ def _count_of(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the counts that rules read, over each whole text (null: empty).
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns to keep, and the counts that rules read, over each whole text (null: empty).
 
     n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines (equal to an earlier
     line), n_repeat_words (words in 8-word windows found at least twice), n_upper and n_bang.
     """
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    split = text.select("id", "t", F.array_remove(F.split(F.translate("t", _SPACE, "     "), " "), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: F.translate(x, _SPACE + " ", "") != "").alias("lines"))
+    text = docs.select(*keep, F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    split = text.select(*keep, "id", "t", F.array_remove(F.split(F.translate("t", _SPACE, "     "), " "), "").alias("w"), F.filter(F.split("t", "\n"), lambda x: F.translate(x, _SPACE + " ", "") != "").alias("lines"))
     counted = split.select(
+        *keep,
         "id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("t", _SPACE + " ", "")).cast("long").alias("word_chars"),
@@ -65,7 +66,7 @@ RULES = (
     Rule("length", "n_words < 20", "n_words >= 50"),
     Rule("symbols", "100 * n_symbols > 10 * n_words", "100 * n_symbols <= 4 * n_words"),
     Rule("word_length", "word_chars < 3 * n_words or word_chars > 12 * n_words", "word_chars between 4 * n_words and 9 * n_words"),
-    Rule("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 20 * n_words"),
+    Rule("repeats", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 20 * n_words"),
     Rule("lines", "100 * n_dup_lines > 40 * n_lines", "n_lines >= 3 and 100 * n_dup_lines <= 5 * n_lines"),
     Rule("shouting", "100 * n_upper > 25 * word_chars", "100 * n_upper <= 10 * word_chars"),
     Rule("exclamation", "100 * n_bang > 20 * n_words", "100 * n_bang <= 5 * n_words"),
@@ -154,22 +155,37 @@ def fitted(patterns: dict[tuple[int, ...], int], steps: int = 200, strength: flo
     return post
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows (with v) and quality, the posterior of their votes."""
+    # One row per vote pattern comes to the driver: 3 ** len(rules) at most.
+    posterior = fitted({tuple(r.v): r.n for r in rows.groupBy("v").agg(F.count("*").alias("n")).collect()})
+    known = rows.sparkSession.createDataFrame([(list(v), p) for v, p in posterior.items()], "v array<int>, quality double")
+    return rows.join(F.broadcast(known), "v")
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
     """Per document: id, the measures, base_failed, quality (posterior of being good) and kept.
 
     base_failed: under 20 words, or over 30 of 100 words in repeated windows; such documents
-    are never kept. Others are kept if quality is at least least.
+    are never kept. Others are kept if quality is at least least. Every row is judged on its
+    own text (null: empty), whatever its id; an empty table gives an empty one; other columns
+    are not read.
     """
-    rows = scratch.cut(votes(measures(docs, id_col, text_col), rules), "votes")
-    # One row per vote pattern comes to the driver: 3 ** len(rules) at most.
-    posterior = fitted({tuple(r.v): r.n for r in rows.groupBy("v").agg(F.count("*").alias("n")).collect()})
-    known = rows.sparkSession.createDataFrame([(list(v), p) for v, p in posterior.items()], "v array<int>, quality double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = rows.join(F.broadcast(known), "v").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= least))
+    out = _judged(scratch.cut(votes(measures(docs, id_col, text_col), rules), "votes"))
+    out = out.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs that judged() keeps; a repeated id stays if none of its rows is rejected."""
-    bad = judged(docs, id_col, text_col).filter(~F.col("kept")).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
+    """The rows of docs that judged() keeps, with all their columns.
+
+    Rows are written once with their votes and read again with the verdict, so no text is
+    shuffled; null and repeated ids make no difference.
+    """
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_col), F.col(text_col))
+    rows = votes(measures(whole, id_col, text_col, ("_row",)), rules).select("_row", "v", _failed().alias("failed"))
+    return _judged(scratch.cut(rows, "voted")).filter(~F.col("failed") & (F.col("quality") >= least)).select("_row.*")
