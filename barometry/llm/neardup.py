@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -181,11 +181,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """Per document: id, n_shingles, component_id (the least id reachable over links, itself included) and kept (it is that document).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle
-    sets. Null and empty texts have no set and link with nothing. Ids are taken as the
-    documents' names: rows of equal id and text are one document listed again.
+    sets. Null and empty texts have no set and link with nothing; an empty table gives an empty
+    one; other columns are not read. Ids are taken as the documents' names: rows of equal id
+    and text are one document listed again, ids must not be null.
+
+    A pair of similarity t shares a band with a chance of 1 - (1 - t ** BAND) ** (REGISTERS / BAND):
+    0.92 at 65 percent, 0.9999 at 80 and 0.9999997 at 85; all else is exact.
     """
-    if size < 1 or not 50 <= percent <= 100:
-        raise ValueError("size must be at least 1 and percent from 50 to 100: the bands are laid out for that")
+    if size < 1 or not 65 <= percent <= 100:
+        raise ValueError("size must be at least 1 and percent from 65 to 100: below that the bands miss more than a tenth of the pairs")
     rows = scratch.cut(sketches(docs, size, id_col, text_col), "sketches", compression="none")
     full = rows.filter("n_shingles > 0")
     classes = scratch.cut(full.groupBy("digest").agg(F.min("id").alias("representative")), "classes")
@@ -217,6 +221,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component."""
-    kept = near_duplicates(docs, size, percent, id_col, text_col).filter("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """docs with one row of each component, and with all their columns.
+
+    Of rows of equal id and text one stays. A row without an id is named by its text's hash, so
+    it links and stays as others do. Null and empty texts link with nothing and stay.
+    """
+    version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # Names of their own lie below all ids that are at least -2 ** 62.
+    name = F.coalesce(F.col(id_col).cast("long"), -F.abs(version % F.lit(2**61)) - F.lit(2**62))
+    keyed = docs.withColumns({"_name": name, "_version": version})
+    kept = near_duplicates(keyed, size, percent, "_name", text_col).filter("kept").select("_name").distinct()
+    one = Window.partitionBy("_name", "_version").orderBy("_name")
+    return keyed.join(kept, "_name", "left_semi").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").select(docs.columns)
