@@ -10,28 +10,28 @@ WINDOW, SHINGLE, PERCENT, CAPACITY, OWNERS = 10, 5, 80, 4096, 2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior rejects go."""
+    """Documents that the rules' posterior rejects go; a null text is empty and goes, ids don't matter."""
     return quality.filtered(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and one row of those that repeat it; null and empty texts stay."""
     return neardup.deduplicated(docs, SHINGLE, PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, each by its own text; null texts stay."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WINDOW)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that look live are masked in the text; all documents stay."""
+    """Secrets that look live are masked in the text; all documents stay, null texts as they are."""
     masked = secrets.redacted(docs, owner_col="source", repo_col=F.concat_ws("/", "source", "lang"), max_owners=OWNERS)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens, packed into sequences."""
+    """The documents' tokens, packed into sequences; a null text is its end id alone."""
     return packing.pack(docs, tokens.default_tokenizer(), CAPACITY)
 
 
@@ -42,7 +42,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order. A stage's own tables go when its rows are written, and these when the next stage's are."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = scratch.cut(stage(spark, docs, sf_dir), name)
+        path = scratch.place(spark, name)
+        with scratch.scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            scratch.remove(spark, last)
+        last = path
     return docs
