@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, neardup, oracle, packing, pii, quality, repeats, secrets, tokens, warc
+from . import counts, decontam, licenses, neardup, oracle, packing, pii, quality, repeats, secrets, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,5 +59,9 @@ def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"), length=400)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_near_dedup, op4_token_output, op5_pii_surrogates, op6_benchmark_decontamination, op7_warc_revisits, op8_quality_rules, op9_best_fit_packing, op10_repeated_strings)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), counts.default_model(), limit=4096)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_near_dedup, op4_token_output, op5_pii_surrogates, op6_benchmark_decontamination, op7_warc_revisits, op8_quality_rules, op9_best_fit_packing, op10_repeated_strings, op11_token_counts)}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
