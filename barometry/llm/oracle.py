@@ -25,4 +25,16 @@ WARC = f"""with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(htm
 g as (select h, max(page_id) as original from p group by h)
 select page_id, cast(strlen(t) as bigint) as payload_bytes, array_to_string(list_transform(range(32), lambda x: {_DIGIT.replace(" k", " (x // 4)").replace("* j", "* (x % 4)")}), '') as payload_digest, case when page_id = original then 'response' else 'revisit' end as record_type, case when page_id <> original then original end as refers_to from p join g using (h)"""
 
-SQL = {"op3_minhash_near_dedup": NEAR_DUPLICATES, "op6_benchmark_decontamination": DECONTAMINATION, "op7_warc_revisits": WARC}
+# crc32 of decimal digits, bit by bit.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, 1 + length(cast(conv_id as varchar))), lambda i: cast(ascii(substr(cast(conv_id as varchar), i, 1)) as bigint))), lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda v, step: xor(v >> 1, 3988292384 * (v & 1)))))"
+TRIE = f"""with own as (select conv_id, list(coalesce(role, '') || chr(1) || coalesce(text, '') order by turn nulls first, role, text) as t from conversations where conv_id is not null group by conv_id),
+r as (select conv_id, t, cast({_CRC} % 6 as int) as h, conv_id - conv_id % 100 as base from own),
+c as (select r.conv_id, list_concat(coalesce(b.t, [])[1:h], r.t[h + 1:]) as t from r left join own b on b.conv_id = r.base),
+m as (select conv_id, t[1:d] as p, cast(d as bigint) as depth, d = len(t) as last from (select conv_id, t, unnest(range(len(t) + 1)) as d from c)),
+n as (select p, depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (last), '')) as ends_sha256 from m group by p, depth),
+k as (select n.p, any_value(n.depth) as depth, any_value(n.conv_id) as conv_id, any_value(n.n_convs) as n_convs, any_value(n.ends_sha256) as ends_sha256, count(x.p) as n_children from n left join n x on x.depth = n.depth + 1 and x.p[1:n.depth] = n.p group by n.p),
+w as (select p, n_children = 0 as leaf, case when depth > 0 then (n_convs - 1) * length(substr(p[depth], 1 + instr(p[depth], chr(1)))) else 0 end as own, unnest(range(depth + 1)) as d from k),
+s as (select p[1:d] as p, count(*) filter (leaf) as n_leaves, cast(sum(own) as bigint) as saved_tokens from w group by p[1:d])
+select k.conv_id, k.depth, a.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256 from k join s on s.p = k.p left join k a on k.depth > 0 and a.depth = k.depth - 1 and a.p = k.p[1:k.depth - 1]"""
+
+SQL = {"op3_minhash_near_dedup": NEAR_DUPLICATES, "op6_benchmark_decontamination": DECONTAMINATION, "op7_warc_revisits": WARC, "op13_conversation_trie": TRIE}
