@@ -25,6 +25,19 @@ WARC = f"""with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(htm
 g as (select h, max(page_id) as original from p group by h)
 select page_id, cast(strlen(t) as bigint) as payload_bytes, array_to_string(list_transform(range(32), lambda x: {_DIGIT.replace(" k", " (x // 4)").replace("* j", "* (x % 4)")}), '') as payload_digest, case when page_id = original then 'response' else 'revisit' end as record_type, case when page_id <> original then original end as refers_to from p join g using (h)"""
 
+PHRASES = rf"""with pieces as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+t as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+g as (select lang, w, m, unnest(range(len(w) - m + 1)) as i from pieces, range(1, 6) s(m) where len(w) >= m),
+f as (select lang, w[i + 1:i + m] as p, m, count(*) as f from g group by all),
+c as (select lang, p, m, f as a from f where m > 1 and f >= 100),
+cut as (select lang, p, m, a, unnest(range(1, m)) as k from c),
+s as (select cut.lang, cut.p, a, k, x.f as l, y.f as r, n, cast((1000::hugeint * a * n) // (x.f::hugeint * y.f) as bigint) as score from cut join t using (lang) join f x on x.lang = cut.lang and x.p = cut.p[1:k] join f y on y.lang = cut.lang and y.p = cut.p[k + 1:]),
+b as (select lang, p, min(struct_pack(score := score, k := k, a := a, l := l, r := r, n := n)) as b from s group by lang, p),
+long as (select lang, p, m, a, unnest(range(2, m)) as size from c),
+inner_of as (select lang, p[i + 1:i + size] as p, max(a) as a from (select lang, p, a, size, unnest(range(m - size + 1)) as i from long) group by 1, 2),
+kept as (select b.lang, array_to_string(b.p, ' ') as phrase, b.b.a as a, b.b.l as l, b.b.r as r, b.b.n as n, b.b.score as score from b left join inner_of o on o.lang = b.lang and o.p = b.p where o.a is null or 100 * o.a < 100 * b.b.a)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept) where rank <= 2000"""
+
 # crc32 of decimal digits, bit by bit.
 _CRC = "xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, 1 + length(cast(conv_id as varchar))), lambda i: cast(ascii(substr(cast(conv_id as varchar), i, 1)) as bigint))), lambda c, x: list_reduce(list_concat([xor(c, x)], range(8)), lambda v, step: xor(v >> 1, 3988292384 * (v & 1)))))"
 TRIE = f"""with own as (select conv_id, list(coalesce(role, '') || chr(1) || coalesce(text, '') order by turn nulls first, role, text) as t from conversations where conv_id is not null group by conv_id),
@@ -37,4 +50,4 @@ w as (select p, n_children = 0 as leaf, case when depth > 0 then (n_convs - 1) *
 s as (select p[1:d] as p, count(*) filter (leaf) as n_leaves, cast(sum(own) as bigint) as saved_tokens from w group by p[1:d])
 select k.conv_id, k.depth, a.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256 from k join s on s.p = k.p left join k a on k.depth > 0 and a.depth = k.depth - 1 and a.p = k.p[1:k.depth - 1]"""
 
-SQL = {"op3_minhash_near_dedup": NEAR_DUPLICATES, "op6_benchmark_decontamination": DECONTAMINATION, "op7_warc_revisits": WARC, "op13_conversation_trie": TRIE}
+SQL = {"op3_minhash_near_dedup": NEAR_DUPLICATES, "op6_benchmark_decontamination": DECONTAMINATION, "op7_warc_revisits": WARC, "op12_phrase_collocations": PHRASES, "op13_conversation_trie": TRIE}

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counts, decontam, licenses, neardup, oracle, packing, pii, quality, repeats, secrets, tokens, trie, warc
+from . import counts, decontam, licenses, neardup, oracle, packing, phrases, pii, quality, repeats, secrets, tokens, trie, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(table(spark, sf_dir, "documents"), counts.default_model(), limit=4096)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, most=2000)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_near_dedup, op4_token_output, op5_pii_surrogates, op6_benchmark_decontamination, op7_warc_revisits, op8_quality_rules, op9_best_fit_packing, op10_repeated_strings, op11_token_counts, op13_conversation_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_minhash_near_dedup, op4_token_output, op5_pii_surrogates, op6_benchmark_decontamination, op7_warc_revisits, op8_quality_rules, op9_best_fit_packing, op10_repeated_strings, op11_token_counts, op12_phrase_collocations, op13_conversation_trie)}
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

@@ -92,14 +92,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def word_hashes(w: Words, low: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (polynomial, then mixed with the length)."""
+def word_hashes(w: Words, low: np.ndarray, values_of: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (polynomial of their values, then mixed with the length)."""
     if not len(w.begin):
         return np.zeros(0, _U)
     size = w.end - w.begin
     starts = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(starts, size)
-    values = _BYTE[low[low != 0]]
+    values = values_of[low[low != 0]]
     powers = _POWERS
     if size.max() > len(powers):
         powers = np.cumprod(np.full(int(size.max()), _BASE, _U), dtype=_U)
