@@ -16,6 +16,7 @@ ones share one; what decides is counted by the phrase's words, not by a hash of
 
 import hashlib
 import itertools
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -125,6 +126,16 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
+class Shared:
+    """A bitmap for tasks; packed, as it is sparse where the words are few."""
+
+    def __init__(self, frame: DataFrame, bits: np.ndarray):
+        self.packed = frame.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+
+    def bits(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.packed.value), np.int64)
+
+
 def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     place = (h >> _U(65 - (64 * len(bits)).bit_length())).astype(np.int64)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
@@ -132,13 +143,13 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _runs(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
     """Rows of v: the hashes of frequent words in order, 0 between those that don't follow each other; and rows of (h, word), the words themselves."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = Shared(docs, bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, frequent = set(), shared.bits()
         for batch in batches:
             for w, low, _, _, h, follows in _read(batch, seed):
-                known = _has(shared.value, h)
+                known = _has(frequent, h)
                 near = follows & known
                 near[:-1] &= known[1:]
                 # A word with a frequent neighbour is kept, with a 0 after the last one of a run.
@@ -172,9 +183,13 @@ def _keys(v: np.ndarray, longest: int) -> list[np.ndarray]:
     return keys
 
 
-def _scan(runs: DataFrame, make: Callable[[np.ndarray], Iterator[list[np.ndarray]]], names: list[str], keys: int) -> DataFrame:
+def _scan(runs: DataFrame, bits: np.ndarray, make: Callable[[np.ndarray, np.ndarray], Iterator[list[np.ndarray]]], names: list[str], keys: int) -> DataFrame:
+    """make's rows of each run and the bitmap, added up."""
+    shared = Shared(runs, bits)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (found for batch in batches for v in batch.column(0) for found in make(v.values.to_numpy().view(_U)))
+        known = shared.bits()
+        rows = (found for batch in batches for v in batch.column(0) for found in make(v.values.to_numpy().view(_U), known))
         for some in _tallied(rows, keys):
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c) for c in some], names=names)
 
@@ -183,23 +198,22 @@ def _scan(runs: DataFrame, make: Callable[[np.ndarray], Iterator[list[np.ndarray
 
 def _grown(runs: DataFrame, bits: np.ndarray, size: int, upto: int, least: int) -> DataFrame:
     """h and n of the phrases of more than size words, upto at most, that occur least times and whose first size words are in the bitmap."""
-    shared = runs.sparkSession.sparkContext.broadcast(bits)
 
-    def make(v: np.ndarray) -> Iterator[list[np.ndarray]]:
+    def make(v: np.ndarray, known: np.ndarray) -> Iterator[list[np.ndarray]]:
         keys = _keys(v, upto)
         start = np.flatnonzero(keys[size] != 0)
-        start = start[_has(shared.value, keys[size - 1][start])]
+        start = start[_has(known, keys[size - 1][start])]
         for m in range(size, upto):
             found = keys[m][start]
             found = found[found != 0]
             yield [found, np.ones(len(found), np.int64)]
 
-    return _scan(runs, make, ["h", "n"], 1).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return _scan(runs, bits, make, ["h", "n"], 1).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def _told(runs: DataFrame, bits: np.ndarray, upto: int, around: bool) -> DataFrame:
     """Each phrase of two words to upto that is in the bitmap, by its words (w1, ...; 0: none): n, and with around whether all its occurrences have one and the same word before (behind) them."""
-    shared = runs.sparkSession.sparkContext.broadcast(bits)
+    shared = Shared(runs, bits)
     names = [*_WORDS, "before", "behind", "n"] if around else [*_WORDS, "n"]
 
     def make(v: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -207,11 +221,11 @@ def _told(runs: DataFrame, bits: np.ndarray, upto: int, around: bool) -> DataFra
         before, after = np.append(_U(0), v), np.append(v, np.zeros(LONGEST, _U))
         for m in range(2, upto + 1):
             at = np.flatnonzero(keys[m - 1] != 0)
-            at = at[_has(shared.value, keys[m - 1][at])]
+            at = at[_has(known, keys[m - 1][at])]
             own = [v[at + i] if i < m else np.zeros(len(at), _U) for i in range(LONGEST)]
             yield [*own, *([before[at], after[at + m]] if around else []), np.ones(len(at), np.int64)]
 
-    rows = _scan(runs, make, names, len(names) - 1)
+    rows = _scan(runs, bits, make, names, len(names) - 1)
     if not around:
         return rows.groupBy(*_WORDS).agg(F.sum("n").alias("n"))
     same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
