@@ -142,13 +142,13 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
-    """Rows of v: the hashes of frequent words in order, 0 between those that don't follow each other; and rows of (h, word), the words themselves."""
+    """Rows of v: the hashes of frequent words in order, 0 between those that don't follow each other."""
     shared = Shared(docs, bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, frequent = set(), shared.bits()
+        frequent = shared.bits()
         for batch in batches:
-            for w, low, _, _, h, follows in _read(batch, seed):
+            for _, _, _, _, h, follows in _read(batch, seed):
                 known = _has(frequent, h)
                 near = follows & known
                 near[:-1] &= known[1:]
@@ -160,16 +160,29 @@ def _runs(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
                 place = np.arange(len(at)) + np.cumsum(last) - last
                 v = np.zeros(len(at) + int(last.sum()), np.int64)
                 v[place] = h[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string())], names=["v", "h", "word"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], names=["v"])
+
+    return docs.mapInArrow(make, "v array<long>")
+
+
+def _spelled(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
+    """h and word of the words in the bitmap."""
+    shared = Shared(docs, bits)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, wanted = set(), shared.bits()
+        for batch in batches:
+            for w, low, _, _, h, _ in _read(batch, seed):
+                at = np.flatnonzero(_has(wanted, h))
                 distinct, first = np.unique(h[at].view(np.int64), return_index=True)
                 new = [(x, int(at[i])) for x, i in zip(distinct.tolist(), first.tolist(), strict=True) if x not in seen]
                 if len(seen) > TALLIED:
                     seen.clear()
                 seen.update(x for x, _ in new)
                 spelled = [bytes(low[w.begin[i] : w.end[i]]).replace(b"\xff", b"\0").decode() for _, i in new]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.list_(pa.int64())), pa.array([x for x, _ in new], pa.int64()), pa.array(spelled, pa.string())], names=["v", "h", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in new], pa.int64()), pa.array(spelled, pa.string())], names=["h", "word"])
 
-    return docs.mapInArrow(make, "v array<long>, h long, word string")
+    return docs.mapInArrow(spell, "h long, word string").dropDuplicates(["h"])
 
 
 def _keys(v: np.ndarray, longest: int) -> list[np.ndarray]:
@@ -300,8 +313,6 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             break
     vocabulary, totals = known.select("h", "lang", "n"), counted.filter("h is null").select("lang", "n")
     runs = scratch.cut(_runs(rows, _bitmap(vocabulary), seed), "runs")
-    texts = runs.filter("h is not null").select("h", "word").dropDuplicates(["h"])
-    runs = runs.filter("v is not null")
     low, high, left, survivors = 0, least * WIDER, totals, None
     while True:
         band = vocabulary.join(left.select("lang"), "lang", "left_semi").filter((F.col("n") > low) & (F.col("n") <= high))
@@ -322,6 +333,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         return totals.select("lang", F.lit(0).alias("rank"), F.lit("").alias("phrase"), *(F.lit(0).cast("long").alias(c) for c in ("a", "l", "r", "n", "score"))).filter(F.lit(False)).withColumn("rank", F.col("rank").cast("long"))
     bar = _first(survivors, [F.desc("score")], most).groupBy("lang").agg(F.min("score").alias("bar"))
     near = survivors.join(bar, "lang").filter(F.col("score") >= F.col("bar")).drop("bar")
+    texts = _spelled(rows, _bitmap(near.select(F.explode("p").alias("h"))), seed)
     spelled = near.select("lang", "p", F.posexplode("p").alias("i", "h")).join(texts, "h").groupBy("lang", "p").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("s"))
     phrase = F.array_join(F.transform("s", lambda x: x["word"]), " ")
     named = near.join(spelled.select("lang", "p", phrase.alias("phrase")), ["lang", "p"])
