@@ -28,9 +28,9 @@ from . import scratch
 from .textblocks import blocks, class_table, mix, word_hashes, words
 
 #: Words of a phrase at most; bits of the bitmaps; rows that a task adds up before they are shuffled; how much wider each band is than the last.
-LONGEST, FILTER_BITS, TALLIED, WIDER = 5, 27, 1 << 21, 16
+LONGEST, FILTER_BITS, TALLIED, WIDER = 5, 27, 1 << 20, 16
 #: Of a block's text, so many bytes.
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 _U = np.uint64
 _STEP = _U(0xD1342543DE82EF95)
 _ENDS = np.frombuffer(b".,;:!?\n\v\f\r", np.uint8)
