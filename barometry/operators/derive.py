@@ -1,14 +1,12 @@
 """One wide feature row per symbol, session key and trade date."""
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MINUTE_MS, gap_bucket, minutes_since, percent, rounded
+from . import partials
+from .partials import KEYS, OR_WINDOWS
 
-KEYS = ["symbol", "session_key", "trade_date"]
-OR_WINDOWS = (5, 10, 15, 30, 60)
 IB_WINDOW = 60
 MAX_ZONES = 60
 
@@ -23,42 +21,17 @@ def _opens_after_roll(first: Column, last: Column, before: Column) -> Column:
     return F.coalesce(first != before, F.lit(False)) | F.coalesce(first != last, F.lit(False))
 
 
-def _contract(which) -> Column:
-    return which("contract", F.when(F.col("contract").isNotNull(), F.col("ts")))
-
-
-def extremes(assigned: DataFrame) -> DataFrame:
-    """high, low, close, contract_first and contract_last of each session, from partial aggregates of its bars."""
-    return assigned.groupBy(*KEYS).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), _contract(F.min_by).alias("contract_first"), _contract(F.max_by).alias("contract_last"))
-
-
-def prior_levels(sessions: DataFrame) -> DataFrame:
-    """Of each of sessions (extremes(), or rows that have its columns) with a session before it: that one's close, high and low, unless the contract rolls between."""
+def prior_levels(sessions: DataFrame) -> dict[str, Column]:
+    """The columns that tell the prior session's close, high and low (lag_...), unless the contract rolls between."""
     rolled = _opens_after_roll(F.col("contract_first"), F.col("contract_last"), _lag("contract_last"))
-    before = sessions.select(*KEYS, *(F.when(~rolled, _lag(x)).alias(f"lag_{x}") for x in ("close", "high", "low")))
-    return before.filter("lag_close <> 0")
+    known = ~rolled & (_lag("close") != 0)
+    return {f"lag_{x}": F.when(known, _lag(x)) for x in ("close", "high", "low")}
 
 
-def session_stats(assigned: DataFrame, windows: tuple[int, ...] = OR_WINDOWS, levels: DataFrame | None = None) -> DataFrame:
-    """Aggregates of each session's bars, with each opening range's levels, breaks and extremes and the first bars at the prior session's levels.
-
-    Levels come from window functions over the same keys as the aggregation and the join with
-    the prior levels (unless given, those of the bars themselves), so bars are shuffled once.
-    """
-    levels = prior_levels(extremes(assigned)) if levels is None else levels
-    own = Window.partitionBy(*KEYS)
-    rows = assigned.join(levels, KEYS, "left").withColumns({"top": F.max("high").over(own), "bottom": F.min("low").over(own)})
-    aggregates = [F.count("*").cast("int").alias("bar_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")]
-    at = lambda cond: F.min(F.when(cond, F.col("ts")))
-    high, low = F.col("high"), F.col("low")
-    aggregates += [_contract(F.min_by).alias("contract_first"), _contract(F.max_by).alias("contract_last"), at(high >= F.col("top")).alias("high_ts"), at(low <= F.col("bottom")).alias("low_ts")]
-    aggregates += [at(low <= F.col("lag_close")).alias("fill_up"), at(high >= F.col("lag_close")).alias("fill_dn"), at(high >= F.col("lag_high")).alias("touch_h"), at(low <= F.col("lag_low")).alias("touch_l")]
-    inside = {w: F.col("ts") < F.col("start_ts") + w * MINUTE_MS for w in windows}
-    rows = rows.withColumns({f"{k}{w}": f(F.when(inside[w], F.col(x))).over(own) for w in windows for k, f, x in (("h", F.max, "high"), ("l", F.min, "low"))})
-    for w in windows:
-        after = ~inside[w]
-        aggregates += [F.first(f"h{w}").alias(f"h{w}"), F.first(f"l{w}").alias(f"l{w}"), F.count(F.when(inside[w], 1)).alias(f"bars{w}"), at(after & (high > F.col(f"h{w}"))).alias(f"up{w}"), at(after & (low < F.col(f"l{w}"))).alias(f"dn{w}"), F.max(F.when(after, high)).alias(f"ph{w}"), F.min(F.when(after, low)).alias(f"pl{w}")]
-    return rows.groupBy(*KEYS, "start_ts", "end_ts", "is_half_day").agg(*aggregates)
+def session_stats(assigned: DataFrame, windows: tuple[int, ...] = OR_WINDOWS) -> DataFrame:
+    """Aggregates of each session's bars, with each opening range's levels, breaks and extremes and the first bars at the prior session's levels. Bars are read, shuffled and sorted once."""
+    own = partials.sessions(partials.partials(assigned, windows))
+    return partials.stats(own.withColumns(prior_levels(own)), windows).drop("lag_close", "lag_high", "lag_low")
 
 
 def opening_ranges(stats: DataFrame, windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
@@ -140,41 +113,30 @@ def touches(rows: DataFrame) -> DataFrame:
     return out.drop("fill_up", "fill_dn", "touch_h", "touch_l")
 
 
+_ZONES, _SEEN = "array<struct<lo:double,hi:double,bull:boolean>>", "array<struct<fvg_above:boolean,fvg_below:boolean>>"
+
+
 def gap_zones(rows: DataFrame, cap: int = MAX_ZONES) -> DataFrame:
     """rows with fvg_above and fvg_below: whether an unfilled zone between sessions i-2 and i stands above or below the open.
 
-    A zone lives until a later session's range pierces it; of more than cap, the oldest goes.
-    One task holds one series of sessions (a few thousand rows); all columns pass through it, so
-    that rows are derived once.
+    A zone lives until a later session's range pierces it; of more than cap, the oldest goes. The
+    zones alive are folded over a series' sessions (a few thousand rows of one task), all of whose
+    columns pass through, so that rows are derived once.
     """
-
-    def one(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("trade_date")
-        zones: list[tuple[float, float, bool]] = []
-        above, below, past = [], [], []
-        for opened, high, low in zip(series["open"], series["high"], series["low"], strict=True):
-            below.append(any(bull and top < opened for _, top, bull in zones))
-            above.append(any(not bull and bottom > opened for bottom, _, bull in zones))
-            zones = [z for z in zones if not (low <= z[0] if z[2] else high >= z[1])]
-            if len(past) >= 2:
-                old_high, old_low = past[-2]
-                zones += [(old_high, low, True)] * (low > old_high) + [(high, old_low, False)] * (high < old_low)
-            zones = zones[-cap:]
-            past.append((high, low))
-        return series[KEYS].assign(fvg_above=above, fvg_below=below)
-
-    def all_columns(table: pa.Table) -> pa.Table:
-        table = table.sort_by("trade_date")
-        found = one(table.select([*KEYS, "open", "high", "low"]).to_pandas())
-        return table.append_column("fvg_above", pa.array(found["fvg_above"], pa.bool_())).append_column("fvg_below", pa.array(found["fvg_below"], pa.bool_()))
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.groupBy("symbol", "session_key").applyInArrow(all_columns, f"{kinds}, fvg_above boolean, fvg_below boolean")
-
-
-def own_features(assigned: DataFrame, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW, levels: DataFrame | None = None) -> DataFrame:
+    each = rows.groupBy("symbol", "session_key").agg(F.array_sort(F.collect_list(F.struct("trade_date", F.struct(*rows.columns).alias("r")))).alias("s"))
+    opened = "named_struct('fvg_above', coalesce(exists(a.z, z -> not z.bull and z.lo > x.r.open), false), 'fvg_below', coalesce(exists(a.z, z -> z.bull and z.hi < x.r.open), false))"
+    alive = "filter(a.z, z -> not if(z.bull, x.r.low <= z.lo, x.r.high >= z.hi))"
+    born = f"if(x.r.low > a.h2, array(named_struct('lo', a.h2, 'hi', x.r.low, 'bull', true)), if(x.r.high < a.l2, array(named_struct('lo', x.r.high, 'hi', a.l2, 'bull', false)), cast(array() as {_ZONES})))"
+    newest = f"transform(array(concat({alive}, {born})), c -> if(size(c) > {cap}, slice(c, size(c) - {cap - 1}, {cap}), c))[0]"
+    none = "cast(null as double)"
+    start = f"named_struct('z', cast(array() as {_ZONES}), 'seen', cast(array() as {_SEEN}), 'h2', {none}, 'l2', {none}, 'h1', {none}, 'l1', {none})"
+    fold = f"aggregate(s, {start}, (a, x) -> named_struct('z', {newest}, 'seen', concat(a.seen, array({opened})), 'h2', a.h1, 'l2', a.l1, 'h1', x.r.high, 'l1', x.r.low), a -> a.seen)"
+    return each.select(F.explode(F.arrays_zip("s", F.expr(fold).alias("seen"))).alias("e")).select("e.s.r.*", "e.seen.*")
+
+
+def own_features(assigned: DataFrame, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
     """What a session's own bars and the prior levels say; the rows that series_features() needs, and that a live store keeps."""
-    return opening_ranges(session_stats(assigned, or_windows, levels), or_windows, ib)
+    return opening_ranges(session_stats(assigned, or_windows), or_windows, ib)
 
 
 def series_features(own: DataFrame, bar_ms: int) -> DataFrame:
@@ -183,19 +145,27 @@ def series_features(own: DataFrame, bar_ms: int) -> DataFrame:
 
 
 def features(assigned: DataFrame, bar_ms: int, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
-    """All features of every session that has bars. assigned is read twice (levels first): keep it in a table where it costs more to make than to read."""
+    """All features of every session that has bars."""
     return series_features(own_features(assigned, or_windows, ib), bar_ms)
 
 
-def developing_features(own: DataFrame, live: DataFrame, bar_ms: int, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
-    """Features of the sessions that live (assigned bars so far) has, as of its last bars.
+def developing_series(own: DataFrame, parts: DataFrame, bar_ms: int, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
+    """All features of the series of parts (partials of the sessions that go on), up to these; live marks their rows.
 
     own: own_features() of the sessions before; no earlier bar is read. Live sessions replace
     rows of their key that own may have.
     """
-    keys = live.select(*KEYS).distinct()
-    before = own.join(keys.select("symbol", "session_key", F.col("trade_date").alias("today")), ["symbol", "session_key"]).filter("trade_date < today").drop("today")
-    now = extremes(live)
-    levels = prior_levels(before.select(now.columns).unionByName(now)).join(keys, KEYS, "left_semi")
-    rows = before.unionByName(own_features(live, or_windows, ib, levels))
-    return series_features(rows, bar_ms).join(keys, KEYS, "left_semi")
+    keys = parts.select("symbol", "session_key", F.col("trade_date").alias("today"))
+    before = own.join(keys, ["symbol", "session_key"]).filter("trade_date < today").drop("today")
+    now = partials.sessions(parts)
+    known = ["symbol", "session_key", "trade_date", "close", "high", "low", "contract_first", "contract_last"]
+    both = before.select(*known).unionByName(now.select(*known))
+    levels = both.select(*KEYS, *(c.alias(name) for name, c in prior_levels(both).items())).join(parts.select(*KEYS), KEYS, "left_semi")
+    mine = opening_ranges(partials.stats(now.join(levels, KEYS, "left"), or_windows).drop("lag_close", "lag_high", "lag_low"), or_windows, ib)
+    rows = before.withColumn("live", F.lit(False)).unionByName(mine.withColumn("live", F.lit(True)))
+    return series_features(rows, bar_ms)
+
+
+def developing_features(own: DataFrame, live: DataFrame, bar_ms: int, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
+    """Features of the sessions that live (assigned bars so far) has, as of its last bars."""
+    return developing_series(own, partials.partials(live, or_windows), bar_ms, or_windows, ib).filter("live").drop("live")

@@ -30,8 +30,8 @@ def with_events(rows: DataFrame, events: DataFrame, names: Sequence[str]) -> Dat
     return out.drop("events")
 
 
-def matched(rows: DataFrame, presets: Sequence[Preset], since: str | None = None, until: str | None = None) -> DataFrame:
-    """One row per question and matching session: qid, success, value, grp, and the session's place in time (rn of total).
+def matching(rows: DataFrame, presets: Sequence[Preset], since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row per question and matching session: qid, success, value, grp.
 
     A condition that is null counts as false, so does a null success. All questions are
     evaluated in one scan: each row is listed for the questions it matches.
@@ -47,7 +47,12 @@ def matched(rows: DataFrame, presets: Sequence[Preset], since: str | None = None
         hit = F.struct(F.lit(p.name).alias("qid"), F.expr(f"coalesce({p.outcome.success}, false)").alias("success"), F.expr(p.outcome.value).cast("double").alias("value"), F.expr(p.by).cast("string").alias("grp"))
         return F.when(fits, hit)
 
-    hits = base.select(*SERIES, "trade_date", "session_id", F.explode(F.filter(F.array(*map(answer, presets)), lambda x: x.isNotNull())).alias("q")).select("q.*", *SERIES, "trade_date", "session_id")
+    return base.select(*SERIES, "trade_date", "session_id", F.explode(F.filter(F.array(*map(answer, presets)), lambda x: x.isNotNull())).alias("q")).select("q.*", *SERIES, "trade_date", "session_id")
+
+
+def matched(rows: DataFrame, presets: Sequence[Preset], since: str | None = None, until: str | None = None) -> DataFrame:
+    """matching(), with the session's place in time (rn of total)."""
+    hits = matching(rows, presets, since, until)
     own = Window.partitionBy("qid", *SERIES)
     return hits.withColumn("rn", F.row_number().over(own.orderBy("trade_date"))).withColumn("total", F.count("*").over(own))
 
@@ -55,7 +60,7 @@ def matched(rows: DataFrame, presets: Sequence[Preset], since: str | None = None
 _SHOWN = ("n", "k", "estimate", "ci_low", "ci_high", "low_sample", "refused")
 
 
-def _guarded(out: DataFrame, warn: int = WARN, refuse: int = REFUSE, force: bool = False) -> DataFrame:
+def guarded(out: DataFrame, warn: int = WARN, refuse: int = REFUSE, force: bool = False) -> DataFrame:
     """out with the estimate of its n and k, its interval and the guards; a refused estimate is null, unless forced."""
     shown = F.lit(True) if force else F.col("n") >= refuse
     made = {name: F.when(shown, c) for c, name in zip(estimate("n", "k"), ("estimate", "ci_low", "ci_high"), strict=True)}
@@ -64,7 +69,7 @@ def _guarded(out: DataFrame, warn: int = WARN, refuse: int = REFUSE, force: bool
 
 def counted(hits: DataFrame, keys: Sequence[str], **guards) -> DataFrame:
     """n, k, estimate, its interval and the guards (warn, refuse, force) by keys; counts stay where the estimate is refused."""
-    return _guarded(hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("success").cast("long")).alias("k")), **guards).select(*keys, *_SHOWN)
+    return guarded(hits.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("success").cast("long")).alias("k")), **guards).select(*keys, *_SHOWN)
 
 
 KEYS = ["qid", *SERIES]
@@ -103,9 +108,8 @@ def groups(hits: DataFrame) -> DataFrame:
 
 
 def latest(hits: DataFrame, n: int = 25) -> DataFrame:
-    """Each question's n newest matching sessions, MOST_LISTED at most."""
-    if not 0 < n <= MOST_LISTED:
-        raise ValueError(f"n must be from 1 to {MOST_LISTED}")
+    """Each question's n newest matching sessions; n is brought into 0 (none) to MOST_LISTED."""
+    n = min(max(n, 0), MOST_LISTED)
     return hits.filter(F.col("rn") > F.col("total") - n).select(*KEYS, "session_id", "trade_date", "success", "value")
 
 
@@ -129,9 +133,9 @@ def envelope(rows: DataFrame, outcome: Outcome, where: str = "true", by: str = "
         "recency": F.when(F.col("n") > last, F.struct("n_recent", "k_recent", (~overlap("", "_recent")).alias("diverges"))),
         "distribution": F.struct("count", "mean", *(F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES))),
     }
-    out = _guarded(one, **counts).select(*SERIES, *_SHOWN, *(c.alias(name) for name, c in structs.items()))
+    out = guarded(one, **counts).select(*SERIES, *_SHOWN, *(c.alias(name) for name, c in structs.items()))
     sets = hits.groupingSets([[F.col("year"), *map(F.col, SERIES)], [F.col("grp"), *map(F.col, SERIES)]], F.col("year"), F.col("grp"), *map(F.col, SERIES)).agg(F.grouping("year").alias("by_group"), F.count("*").alias("n"), F.sum(success).alias("k"))
-    shown = _guarded(sets, **(counts | {"force": True}))
+    shown = guarded(sets, **(counts | {"force": True}))
     listed = lambda key, cond: F.array_sort(F.collect_list(F.when(cond, F.struct(key, "n", "k", "estimate", "ci_low", "ci_high", *([] if key == "year" else ["low_sample", "refused"])))))
     lists = shown.groupBy(*SERIES).agg(listed("year", F.col("by_group") == 0).alias("years"), listed("grp", F.col("by_group") == 1).alias("groups"))
     return out.join(lists, SERIES)

@@ -17,7 +17,8 @@ from .plans.catalog import Preset
 from .plans.oracle import Ask
 from .sources import bridge, readers, sinks
 from .sources.store import kept, once, shared_folder
-from .streaming import monitor
+from .streaming import live, monitor
+from .streaming.live import Watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -426,35 +427,61 @@ def stream_dedupe(s: SparkSession, d: str) -> DataFrame:
 
 
 register("stream_dedupe", stream_dedupe, f"with {oracle.BARS} select symbol, '15m' as tf, ts, open, close from bars")
-_WATCHES = [Preset("green-rate", catalog.close_green()), Preset("gap-fill", catalog.gap_fill()), Preset("prev-range", catalog.touch_prev("high")), Preset("up-gap", catalog.gap_fill(), catalog.gap_side("up")), Preset("broke", catalog.close_green(), "or60_first_break = 'up' and not coalesce(inside_day, false)")]
-_ASK_WATCHES = [named(GREEN_SQL, "green-rate"), named(FILL_SQL, "gap-fill"), named(oracle.OUTCOMES["touch_prev_high"], "prev-range"), named(FILL_SQL, "up-gap", where="gap_dir = 'up'"), named(GREEN_SQL, "broke", where="or60_first_break = 'up' and inside_day is distinct from true")]
+_GREEN, _FILLS, _HIGH = Preset("green-rate", catalog.close_green()), Preset("gap-fill", catalog.gap_fill()), Preset("prev-range", catalog.touch_prev("high"))
+_UP, _BROKE = Preset("up-gap", catalog.gap_fill(), catalog.gap_side("up")), Preset("broke", catalog.close_green(), "or60_first_break = 'up' and not coalesce(inside_day, false)")
+_AFTER_CPI, _CPI = Preset("after-cpi", catalog.close_green(), "prev_ev_cpi"), Preset("no-cpi", catalog.gap_fill(), "not ev_opex")
+#: Two thresholds of one question, one symbol's and one session's own, and questions about events.
+_WATCHES = [Watch(_GREEN, least=0.45, n_least=5), Watch(_GREEN, most=0.55, n_least=8), Watch(_FILLS, least=0.3, n_least=5), Watch(_HIGH, symbol="click", least=0.2, n_least=3), Watch(_HIGH, session_key="overnight", least=0.9, most=0.7, n_least=3), Watch(_UP, least=0.1, n_least=2), Watch(_BROKE, least=0.1, n_least=2), Watch(_AFTER_CPI, least=0.0, n_least=1), Watch(_CPI, least=0.0, n_least=1000)]
+_ASK_WATCHES = [named(GREEN_SQL, "green-rate"), named(FILL_SQL, "gap-fill"), named(oracle.OUTCOMES["touch_prev_high"], "prev-range"), named(FILL_SQL, "up-gap", where="gap_dir = 'up'"), named(GREEN_SQL, "broke", where="or60_first_break = 'up' and inside_day is distinct from true"), named(GREEN_SQL, "after-cpi", where="prev_ev_cpi"), named(FILL_SQL, "no-cpi", where="not ev_opex")]
+_LIVE_KEYS = ("utc", "overnight", "ny")
 
 
 def watched(s: SparkSession, d: str) -> str:
-    """The folder of a watch over the stream of bars at a time inside the UTC session; New York's has not begun."""
+    """The folder of a watch over the stream of bars at a time inside the UTC and the overnight session; New York's has not begun."""
     stream, place = live_source(s, d)
-    bars = stored_bars(s, d)
-    both = kept(key_windows(s, bars, "utc").unionByName(key_windows(s, bars, "ny")), "windows")
-    past = with_events(s, d).unionByName(with_events(s, d, "ny"))
-    own = kept(derive.own_features(stored_assigned(s, d).unionByName(stored_assigned(s, d, "ny"))), "own-features")
-    monitor.watch(stream, place, both, own, kept(past, "past"), _WATCHES, _DEVELOPING, oracle.BAR_MS, least=0.45, n_least=5)
+    bars, union = stored_bars(s, d), lambda make: reduce(DataFrame.unionByName, map(make, _LIVE_KEYS))
+    calendar = kept(union(lambda k: key_windows(s, bars, k)), "windows")
+    past = kept(union(lambda k: with_events(s, d, k)), "past")
+    own = kept(derive.own_features(union(lambda k: stored_assigned(s, d, k))), "own-features")
+    known = live.history(past, own, calendar, _WATCHES, place, "of the store")
+    live.watch(stream.filter(F.col("ts") < _DEVELOPING), place, calendar, known, _WATCHES, oracle.BAR_MS, event_rows(s), clock=lambda: _DEVELOPING, refuse=2)
     return place
 
 
-_LIVE_COLUMNS = [*derive.KEYS, "bar_count", "open", "high", "low", "close", "gap_pct", "gap_dir", "gap_filled", "gap_fill_min", "touched_prev_high", "touch_prev_low_min", "open_pos_prev_range", "range_vs_atr", "vol_vs_avg20", "prev_green_streak", "prev_red_streak", "inside_day", "nr7", "ib_break", "or60_first_break", "or60_ext_up_r", "fvg_above", "fvg_below", "complete"]
+_LIVE_COLUMNS = [*derive.KEYS, "bar_count", "open", "high", "low", "close", "gap_pct", "gap_dir", "gap_filled", "gap_fill_min", "touched_prev_high", "touch_prev_low_min", "open_pos_prev_range", "range_vs_atr", "vol_vs_avg20", "prev_green_streak", "prev_red_streak", "inside_day", "nr7", "ib_break", "or60_first_break", "or60_ext_up_r", "fvg_above", "fvg_below", "complete", "prev_ev_cpi"]
 _TODAY = "trade_date = date '2024-01-25'"
-register("stream_developing", lambda s, d: monitor.last_features(s, watched(s, d)).select(*_LIVE_COLUMNS), f"with {oracle.features(until=_DEVELOPING)} select {', '.join(_LIVE_COLUMNS)} from feat where {_TODAY}")
-_FITS = "case qid when 'up-gap' then coalesce(gap_dir = 'up', false) when 'broke' then coalesce(or60_first_break = 'up' and inside_day is distinct from true, false) else true end"
-_PHASES = f"with {oracle.features(until=_DEVELOPING)}, asked as (select unnest([{', '.join(f"'{w.name}'" for w in _WATCHES)}]) as qid), syms as (select distinct symbol from bars) select qid as watch_id, symbol, 'utc' as session_key, date '2024-01-25' as trade_date, case when {_FITS} then 'active' else 'forming' end as phase, false as enabled from asked, (select * from feat where {_TODAY}) union all select qid, symbol, 'ny', null, 'resolved', false from asked, syms"
-register("stream_phases", lambda s, d: s.read.parquet(f"{watched(s, d)}/board").select("watch_id", "symbol", "session_key", "trade_date", "phase", "enabled"), _PHASES)
+_LIVE = {k: f"(with {oracle.with_events(k, _DEVELOPING)} select * from ev where {_TODAY})" for k in ("utc", "overnight")}
+register("stream_developing", lambda s, d: live.last_features(s, watched(s, d)).select(*_LIVE_COLUMNS), " union all ".join(f"select {', '.join(_LIVE_COLUMNS)} from {x}" for x in _LIVE.values()))
+_ROW = "select '{}' as watch_id, '{}' as qid, {} as w_symbol, {} as w_session, {} as least, {} as most, {} as n_least"
+_SAID = lambda x: "null" if x is None else f"'{x}'"
+_WATCH_ROWS = " union all ".join(_ROW.format(w.id, w.question.name, _SAID(w.symbol), _SAID(w.session_key), _SAID(w.least), _SAID(w.most), w.n_least) for w in _WATCHES)
+_FITS = "case qid when 'up-gap' then coalesce(gap_dir = 'up', false) when 'broke' then coalesce(or60_first_break = 'up' and inside_day is distinct from true, false) when 'after-cpi' then prev_ev_cpi when 'no-cpi' then not ev_opex else true end"
+_SEEN = {k: "(" + oracle.hits(_ASK_WATCHES, k, f"trade_date < {at}") + "select qid, symbol, session_key, count(*) as n, cast(sum(success::int) as bigint) as k, count(*) filter (rn * 2 <= total) as n1, cast(coalesce(sum(success::int) filter (rn * 2 <= total), 0) as bigint) as k1 from hits group by all)" for k, at in (("utc", "date '2024-01-25'"), ("overnight", "date '2024-01-25'"), ("ny", "(select max(f.trade_date) from feat f where f.symbol = ev.symbol)"))}
+_STATES = f"""with watches as ({_WATCH_ROWS}),
+live as ({" union all by name ".join(f"select symbol, session_key, trade_date, gap_dir, or60_first_break, inside_day, prev_ev_cpi, ev_opex from {x}" for x in _LIVE.values())}),
+over as (select distinct symbol, 'ny' as session_key, max(trade_date) over (partition by symbol) as trade_date from (with {oracle.features("ny")} select * from feat)),
+seen as ({" union all by name ".join(f"select * from {x}" for x in _SEEN.values())}),
+stood as (select watch_id, qid, symbol, session_key, trade_date, case when {_FITS} then 'active' else 'forming' end as phase, least, most, n_least from live, watches where coalesce(w_symbol, symbol) = symbol and coalesce(w_session, session_key) = session_key union all select watch_id, qid, symbol, session_key, trade_date, 'resolved', least, most, n_least from over, watches where coalesce(w_symbol, symbol) = symbol and coalesce(w_session, session_key) = session_key),
+states as (select stood.*, coalesce(n, 0) as n, coalesce(k, 0) as k, n1, k1, case when n >= 2 then {oracle.r6("k / n", 4)} end as estimate, case when n >= 2 then {oracle.r6(oracle.wilson("n", "k")[1], 4)} end as ci_low, case when n >= 2 then {oracle.r6(oracle.wilson("n", "k")[2], 4)} end as ci_high from stood left join seen using (qid, symbol, session_key))"""
+
+
+def stream_phases(s: SparkSession, d: str) -> DataFrame:
+    """The board after the last batch: phases, dates and answers of all watches, switched off as the stream has ended."""
+    board = live.Board(s, f"{watched(s, d)}/board").newest()
+    return board.select("watch_id", "symbol", "session_key", "trade_date", "phase", "n", "k", "estimate", "ci_low", "ci_high", "enabled")
+
+
+register("stream_phases", stream_phases, f"{_STATES} select watch_id, symbol, session_key, trade_date, phase, n, k, estimate, ci_low, ci_high, false as enabled from states")
+
 
 def stream_alerts(s: SparkSession, d: str) -> DataFrame:
-    """The alerts of watches without a condition, newest first, as they are replayed."""
+    """All alerts with what they rest on, as they are replayed."""
     found = monitor.replay(s, f"{watched(s, d)}/ledger", n=500)
-    return found.filter(F.col("watch_id").isin("green-rate", "gap-fill", "prev-range")).select("id", "watch_id", "symbol", "trade_date", "snapshot.n", "snapshot.k", F.unix_millis("fired_at").alias("fired_ms"), F.col("text").endswith(monitor.DISCLAIMER).alias("told"))
+    return found.select("id", "watch_id", "symbol", "session_key", "trade_date", "snapshot.n", "snapshot.k", "snapshot.n1", "snapshot.k1", "snapshot.least", "snapshot.most", "snapshot.fingerprint", F.unix_millis("fired_at").alias("fired_ms"), "text")
 
 
-register("stream_alerts", stream_alerts, oracle.hits(_ASK_WATCHES[:3], span="trade_date < date '2024-01-25'") + f"select symbol || '|2024-01-25|' || substr(sha256(qid || '|0.45|None'), 1, 12) as id, qid as watch_id, symbol, date '2024-01-25' as trade_date, n, k, {_DEVELOPING} as fired_ms, true as told from (select qid, symbol, count(*) as n, cast(sum(case when success then 1 else 0 end) as bigint) as k from hits group by qid, symbol) where n >= 5 and floor(k / n * 1e4 + 0.5) / 1e4 >= 0.45")
+_FIRED = "phase = 'active' and n >= n_least and (coalesce(estimate >= cast(least as double), false) or coalesce(estimate <= cast(most as double), false))"
+register("stream_alerts", stream_alerts, f"{_STATES} select symbol || '|' || session_key || '|2024-01-25|' || substr(sha256(qid || '|' || coalesce(least, '-') || '|' || coalesce(most, '-')), 1, 12) as id, watch_id, symbol, session_key, trade_date, n, k, n1, k1, cast(least as double) as least, cast(most as double) as most, 'of the store' as fingerprint, {_DEVELOPING} as fired_ms, symbol || ' ' || session_key || ' 2024-01-25 ' || watch_id || printf(': %.4f [%.4f, %.4f], N=%d. Past frequency, not advice.', estimate, ci_low, ci_high, n) as text from states where {_FIRED}")
 
 # Files: bars written in each landed form and read again.
 _BAR = ["symbol", "ts", "open", "high", "low", "close", "volume"]
@@ -618,7 +645,7 @@ def alert_lines(s: SparkSession, d: str) -> DataFrame:
     place = shared_folder(s, "alerts")
     found = s.read.parquet(f"{watched(s, d)}/ledger")
     sinks.append_alerts(found.select("id", "symbol", "text"), place)
-    return s.read.schema("id string, symbol string, text string").json(place).join(found.select("id", F.col("text").alias("fired")), "id").filter(F.col("text") == F.col("fired")).select("symbol", F.split("id", r"\|")[1].alias("day")).distinct()
+    return s.read.schema("id string, symbol string, text string").json(place).join(found.select("id", F.col("text").alias("fired")), "id").filter(F.col("text") == F.col("fired")).select("symbol", F.split("id", r"\|")[2].alias("day")).distinct()
 
 
 register("alert_lines", alert_lines, f"select symbol, cast(trade_date as varchar) as day from ({SQL['stream_alerts']}) group by all")

@@ -1,4 +1,4 @@
-"""Bars and developing sessions from streams.
+"""Bars from streams, and the folders that batches write.
 
 Every sink writes the folder of its batch and replaces it if the batch runs again, and reads
 those of earlier batches only, so a batch that is repeated after a failure leaves nothing twice.
@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from ..operators import derive, ingest
 from ..operators.calendars import assign
-from ..plans.catalog import Preset
-from ..plans.envelope import sweep
 from ..sources import bridge
 from ..sources.store import shared_folder
 
@@ -26,10 +24,10 @@ def stream_ticks(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def stream_bars(ticks: DataFrame, bar: str = "15 minutes", late: str = "1 hour") -> DataFrame:
-    """Tumbling bars from ticks (symbol, at timestamp, px, qty); a bar is final once the watermark has passed it."""
+    """Tumbling bars from ticks (symbol, at timestamp, px, qty); a bar is final once the watermark has passed it. Of ticks of one time, the lowest opens and the highest closes."""
     own = ticks.withWatermark("at", late).groupBy("symbol", F.window("at", bar).alias("w"))
-    made = own.agg(F.min_by("px", "at").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "at").alias("close"), F.sum("qty").alias("volume"))
-    return made.select("symbol", F.unix_millis("w.start").alias("ts"), "open", "high", "low", "close", "volume")
+    made = own.agg(F.min(F.struct("at", "px")).alias("first"), F.max("px").alias("high"), F.min("px").alias("low"), F.max(F.struct("at", "px")).alias("last"), F.sum("qty").alias("volume"))
+    return made.select("symbol", F.unix_millis("w.start").alias("ts"), F.col("first.px").alias("open"), "high", "low", F.col("last.px").alias("close"), "volume")
 
 
 def stream_dedupe(bars: DataFrame, late: str = "1 day") -> DataFrame:
@@ -93,103 +91,7 @@ def replayed_sessions(spark: SparkSession, bars: DataFrame, windows: DataFrame)
     return rows.groupBy(*derive.KEYS).agg(F.max_by(F.struct(*values), "n").alias("v")).select(*derive.KEYS, *(f"v.{c}" for c in values))
 
 
-def developing(windows: DataFrame, now_ms: int) -> DataFrame:
-    """The sessions that now lies in."""
-    return windows.filter((F.col("start_ts") <= now_ms) & (F.col("end_ts") > now_ms))
-
-
-def watch_state(rows: DataFrame, watches: Sequence[Preset], windows: DataFrame, now_ms: int) -> DataFrame:
-    """watch_id, symbol, session_key, trade_date, fits and phase of each watch on each series of windows.
-
-    rows: features of the sessions that now lies in. A watch is resolved without such a session,
-    active where its condition holds on it (or it has none), else forming; null counts as false.
-    """
-    live = developing(windows, now_ms).select(*derive.KEYS).join(rows, derive.KEYS, "left").withColumn("live", F.lit(True))
-    every = windows.select("symbol", "session_key").distinct().join(live, ["symbol", "session_key"], "left")
-    # A watch without a condition asks nothing of the developing row, not even that it has bars.
-    fits = lambda w: F.lit(True) if w.where == "true" else F.coalesce(F.expr(w.where), F.lit(False))
-    each = F.array(*(F.struct(F.lit(w.name).alias("watch_id"), fits(w).alias("fits")) for w in watches))
-    out = every.select("symbol", "session_key", "trade_date", "live", F.explode(each).alias("w")).select("w.watch_id", "symbol", "session_key", "trade_date", "w.fits", "live")
-    return out.withColumn("phase", F.when(F.col("live").isNull(), "resolved").when(F.col("fits"), "active").otherwise("forming")).drop("live")
-
-
-def evaluated(past: DataFrame, states: DataFrame, watches: Sequence[Preset], n_least: int = 30) -> DataFrame:
-    """states with n, k, estimate and interval of each watch's question, asked of the sessions strictly before the developing one (all, where there is none)."""
-    days = states.select("symbol", "session_key", "trade_date").distinct().withColumnRenamed("trade_date", "today")
-    old = past.join(days, ["symbol", "session_key"]).filter("today is null or trade_date < today").drop("today")
-    asked = sweep(old, watches, refuse=n_least).withColumnRenamed("qid", "watch_id")
-    return states.join(asked, ["watch_id", "symbol", "session_key"], "left")
-
-
-def alerts(states: DataFrame, least: float | None = None, most: float | None = None, n_least: int = 30, now_ms: int = 0) -> DataFrame:
-    """Alerts of active watches whose estimate crosses a threshold on enough sessions.
-
-    states: watch_id, symbol, trade_date, phase, n, k, estimate, ci_low, ci_high. The id names
-    watch, threshold and date, so a watch fires once a day however often it is evaluated.
-    """
-    crossed = F.lit(False)
-    if least is not None:
-        crossed = crossed | (F.col("estimate") >= least)
-    if most is not None:
-        crossed = crossed | (F.col("estimate") <= most)
-    rows = states.filter((F.col("phase") == "active") & F.col("estimate").isNotNull() & (F.col("n") >= n_least) & crossed)
-    digest = F.substring(F.sha2(F.concat_ws("|", "watch_id", F.lit(str(least)), F.lit(str(most))), 256), 1, 12)
-    text = F.format_string(f"%s %s %s: %.4f [%.4f, %.4f], N=%d. {DISCLAIMER}", "symbol", F.col("trade_date").cast("string"), "watch_id", "estimate", "ci_low", "ci_high", "n")
-    return rows.select(F.concat_ws("|", "symbol", F.col("trade_date").cast("string"), digest).alias("id"), F.timestamp_millis(F.lit(now_ms)).alias("fired_at"), "symbol", "trade_date", "watch_id", F.struct("n", "k", "estimate", "ci_low", "ci_high").alias("snapshot"), text.alias("text"))
-
-
-def fire(found: DataFrame, ledger: str, n: int) -> DataFrame:
-    """Put the alerts of batch n that no earlier batch fired into the ledger, and return them."""
-    old = before(found.sparkSession, ledger, n, found.schema)
-    put(found.dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti").select(found.columns), ledger, n)
-    return found.sparkSession.read.schema(found.schema).parquet(f"{ledger}/batch={n}")
-
-
 def replay(spark: SparkSession, ledger: str, alert_id: str | None = None, n: int = 50) -> DataFrame:
     """The newest alerts by their time of firing (500 at most), or one by its id, as they were stored."""
     rows = spark.read.parquet(ledger)
-    return rows.filter(F.col("id") == alert_id) if alert_id else rows.orderBy(F.desc("fired_at"), "id").limit(min(n, 500))
-
-
-def publish(states: DataFrame, board: str, now_ms: int, enabled: bool = True, sync_error: str | None = None) -> None:
-    """Replace the board by states, with the time, whether watching goes on, and why bars may be stale."""
-    named = {"updated_at": F.timestamp_millis(F.lit(now_ms)), "enabled": F.lit(enabled), "sync_error": F.lit(sync_error).cast("string")}
-    states.withColumns(named).write.mode("overwrite").parquet(board)
-
-
-def switch_off(spark: SparkSession, board: str, now_ms: int) -> None:
-    """Mark the board's last states as no longer watched."""
-    # The states are read in full before the board is replaced: one row a watch and series.
-    last = spark.read.parquet(board).drop("updated_at", "enabled", "sync_error")
-    kept = f"{board}-last"
-    last.write.mode("overwrite").parquet(kept)
-    publish(spark.read.parquet(kept), board, now_ms, enabled=False)
-
-
-def watch(bars: DataFrame, place: str, windows: DataFrame, own: DataFrame, past: DataFrame, watches: Sequence[Preset], now_ms: int, bar_ms: int, least: float | None = None, most: float | None = None, n_least: int = 30) -> None:
-    """Follow a stream of bars (symbol, tf, source, ts, ...) until it is used up.
-
-    Each batch's new bars go to place/bars. The developing sessions' features are made anew from
-    their stored bars and own (own_features() of earlier sessions); place/board has every
-    watch's state and place/ledger the alerts. past: features of complete sessions.
-    """
-    spark = bars.sparkSession
-    today = developing(windows, now_ms)
-
-    def each(batch: DataFrame, n: int) -> None:
-        append_unseen(batch, n, f"{place}/bars")
-        stored = before(spark, f"{place}/bars", n + 1, batch.schema).filter(F.col("ts") < now_ms)
-        live = assign(stored, today).select(*derive.KEYS, "ts", "open", "high", "low", "close", "volume", "contract", "start_ts", "end_ts", "is_half_day")
-        put(derive.developing_features(own, live, bar_ms), f"{place}/features", n)
-        rows = spark.read.parquet(f"{place}/features/batch={n}")
-        publish(evaluated(past, watch_state(rows, watches, windows, now_ms), watches, n_least), f"{place}/board", now_ms)
-        fire(alerts(spark.read.parquet(f"{place}/board"), least, most, n_least, now_ms), f"{place}/ledger", n)
-
-    run(bars, each, f"{place}/state")
-    switch_off(spark, f"{place}/board", now_ms)
-
-
-def last_features(spark: SparkSession, place: str) -> DataFrame:
-    """The developing sessions' features after the last batch of watch()."""
-    rows = spark.read.parquet(f"{place}/features")
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").drop("batch")
+    return rows.filter(F.col("id") == alert_id) if alert_id else rows.orderBy(F.desc("fired_at"), "id").limit(min(max(n, 0), 500))

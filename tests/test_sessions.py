@@ -233,33 +233,6 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(out("t")).count() == 5
 
 
-def test_alerts_fire_once(spark, tmp_path):
-    states = spark.createDataFrame([("w", "A", "2024-01-05", 40, 30, 0.75, 0.6, 0.85, "active"), ("v", "A", "2024-01-05", 40, 38, 0.95, 0.9, 0.99, "forming"), ("u", "B", "2024-01-05", 5, 5, 1.0, 0.5, 1.0, "active")], "watch_id string, symbol string, trade_date string, n long, k long, estimate double, ci_low double, ci_high double, phase string")
-    ledger = str(tmp_path / "ledger")
-    # Batch 1 runs twice, as after a failure; batch 2 finds the same alert again, later.
-    for n, now in ((1, 1000), (1, 1000), (2, 2000)):
-        monitor.fire(monitor.alerts(states, least=0.7, now_ms=now), ledger, n)
-    rows = monitor.replay(spark, ledger).collect()
-    assert len(rows) == 1 and rows[0].snapshot.n == 40 and rows[0].text.startswith("A 2024-01-05 w: 0.7500")
-    assert monitor.replay(spark, ledger, rows[0].id).count() == 1
-    monitor.fire(monitor.alerts(states.withColumn("symbol", F.lit("C")), least=0.7, now_ms=3000), ledger, 3)
-    assert [r.symbol for r in monitor.replay(spark, ledger).collect()] == ["C", "A"]
-
-
-def test_watch_phases_and_board(spark, tmp_path):
-    windows = spark.createDataFrame([("A", "s", 0, 100), ("B", "s", 0, 100), ("C", "s", 500, 600)], "symbol string, session_key string, start_ts long, end_ts long").withColumn("trade_date", F.to_date(F.lit("2024-01-05")))
-    rows = spark.createDataFrame([("A", "s", 2.0)], "symbol string, session_key string, gap double").withColumn("trade_date", F.to_date(F.lit("2024-01-05")))
-    watches = [Preset("any", catalog.close_green()), Preset("gap", catalog.close_green(), "gap > 1")]
-    states = monitor.watch_state(rows, watches, windows, 50)
-    assert {(r.watch_id, r.symbol): r.phase for r in states.collect()} == {("any", "A"): "active", ("gap", "A"): "active", ("any", "B"): "active", ("gap", "B"): "forming", ("any", "C"): "resolved", ("gap", "C"): "resolved"}
-    board = str(tmp_path / "board")
-    monitor.publish(states, board, 50, sync_error="feed is down")
-    assert {(r.enabled, r.sync_error) for r in spark.read.parquet(board).collect()} == {(True, "feed is down")}
-    monitor.switch_off(spark, board, 60)
-    last = spark.read.parquet(board)
-    assert {(r.enabled, r.sync_error) for r in last.collect()} == {(False, None)} and last.count() == 6
-
-
 def test_developing_features_equal_those_of_the_whole_series(spark):
     days = [(100.0 + i % 5, 103.0 + i % 7, 98.0 - i % 3, 101.0 + i % 4) for i in range(24)]
     bars = spark.createDataFrame([("A", d * DAY + h * HOUR, o, hi, lo, c, 1.0, "Z4" if d < 12 else "H5") for d, (o, hi, lo, c) in enumerate(days) for h in range(24)], "symbol string, ts long, open double, high double, low double, close double, volume double, contract string")
