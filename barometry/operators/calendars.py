@@ -1,6 +1,6 @@
 """Calendar-resolved session windows, and bars assigned to them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, MINUTE_MS
@@ -82,12 +82,28 @@ def calendar(windows: DataFrame, symbol: str, since: str, until: str) -> DataFra
     return windows.filter((F.col("symbol") == symbol) & F.col("trade_date").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
 
 
+def _day(ts: Column) -> Column:
+    return F.floor(ts / DAY_MS)
+
+
 def assign(bars: DataFrame, windows: DataFrame) -> DataFrame:
     """Bars inside [start_ts, end_ts) of their symbol's windows.
 
     A range join as an equi-join: each window is listed for the UTC days it touches, so both
     sides are dealt by (symbol, day) and long histories spread.
     """
-    day = lambda x: F.floor(x / DAY_MS)
-    touched = windows.withColumn("day", F.explode(F.sequence(day(F.col("start_ts")), day(F.col("end_ts") - 1))))
-    return bars.withColumn("day", day(F.col("ts"))).join(touched, ["symbol", "day"]).filter("ts >= start_ts and ts < end_ts").drop("day")
+    touched = windows.withColumn("day", F.explode(F.sequence(_day(F.col("start_ts")), _day(F.col("end_ts") - 1))))
+    return bars.withColumn("day", _day(F.col("ts"))).join(touched, ["symbol", "day"]).filter("ts >= start_ts and ts < end_ts").drop("day")
+
+
+def keep_together(bars: DataFrame, windows: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Store bars, and the days that each window touches, as tables <name>_bars and <name>_windows below path, both bucketed by (symbol, day): joining and aggregating them then shuffles no bar."""
+    made = {"bars": bars.withColumn("day", _day(F.col("ts"))), "windows": windows.withColumn("day", F.explode(F.sequence(_day(F.col("start_ts")), _day(F.col("end_ts") - 1))))}
+    for kind, rows in made.items():
+        rows.repartition(buckets, "symbol", "day").write.mode("overwrite").option("path", f"{path}/{kind}").bucketBy(buckets, "symbol", "day").sortBy("symbol", "day").saveAsTable(f"{name}_{kind}")
+
+
+def assign_together(spark: SparkSession, name: str) -> DataFrame:
+    """assign() of the tables that keep_together() wrote, with each bar's day; partials by day merge to sessions."""
+    inside = spark.table(f"{name}_bars").join(spark.table(f"{name}_windows"), ["symbol", "day"])
+    return inside.filter((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))

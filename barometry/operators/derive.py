@@ -30,7 +30,12 @@ def prior_levels(sessions: DataFrame) -> dict[str, Column]:
 
 def session_stats(assigned: DataFrame, windows: tuple[int, ...] = OR_WINDOWS) -> DataFrame:
     """Aggregates of each session's bars, with each opening range's levels, breaks and extremes and the first bars at the prior session's levels. Bars are read, shuffled and sorted once."""
-    own = partials.sessions(partials.partials(assigned, windows))
+    return stats_of_parts(partials.partials(assigned, windows), windows)
+
+
+def stats_of_parts(parts: DataFrame, windows: tuple[int, ...] = OR_WINDOWS) -> DataFrame:
+    """session_stats() from whole sessions' parts, of whole series."""
+    own = partials.sessions(parts)
     return partials.stats(own.withColumns(prior_levels(own)), windows).drop("lag_close", "lag_high", "lag_low")
 
 
@@ -139,6 +144,11 @@ def own_features(assigned: DataFrame, or_windows: tuple[int, ...] = OR_WINDOWS,
     return opening_ranges(session_stats(assigned, or_windows), or_windows, ib)
 
 
+def own_of_parts(parts: DataFrame, or_windows: tuple[int, ...] = OR_WINDOWS, ib: int = IB_WINDOW) -> DataFrame:
+    """own_features() from whole sessions' parts, of whole series."""
+    return opening_ranges(stats_of_parts(parts, or_windows), or_windows, ib)
+
+
 def series_features(own: DataFrame, bar_ms: int) -> DataFrame:
     """All features, from own_features() of whole series."""
     return gap_zones(touches(cross_session(own, bar_ms)))

@@ -3,11 +3,13 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .derive import KEYS, OR_WINDOWS
+from .derive import IB_WINDOW, KEYS, OR_WINDOWS
 
 #: Name, level column and minute column of a session's price levels.
-LEVELS = (("open", "open", "0"), ("high", "high", "high_time_min"), ("low", "low", "low_time_min"), ("prev_close", "prev_close", "gap_fill_min"), ("prev_high", "prev_high", "touch_prev_high_min"), ("prev_low", "prev_low", "touch_prev_low_min"), *((f"or{w}_{side}", f"or{w}_{side}", f"or{w}_break_min") for w in OR_WINDOWS for side in ("high", "low")))
+LEVELS = (("open", "open", "0"), ("high", "high", "high_time_min"), ("low", "low", "low_time_min"), ("close", "close", "null"), ("prev_mid", "prev_mid", "null"), ("prev_close", "prev_close", "gap_fill_min"), ("prev_high", "prev_high", "touch_prev_high_min"), ("prev_low", "prev_low", "touch_prev_low_min"), *((f"or{w}_{side}", f"or{w}_{side}", f"or{w}_break_min") for w in OR_WINDOWS for side in ("high", "low")))
 HOUR_MS = 3_600_000
+#: A longer window is no session; of one session, and of context before it, no more bars are given.
+MOST_SESSION_MS, MOST_SESSION_BARS, MOST_CONTEXT = 36 * HOUR_MS, 5000, 240
 
 
 def drilldown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -15,19 +17,22 @@ def drilldown(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select("session_id").distinct(), "session_id", "left_semi")
 
 
-def session_bars(assigned: DataFrame, which: Column, cap: int | None = None) -> DataFrame:
-    """Bars of the sessions that which selects; with a cap, an error if one has more."""
+def session_bars(assigned: DataFrame, which: Column, cap: int | None = MOST_SESSION_BARS) -> DataFrame:
+    """Bars of the sessions that which selects; an error if a session is longer than 36 hours, or has more bars than cap (None: no bound)."""
     rows = assigned.filter(which)
+    if "end_ts" in rows.columns:
+        rows = rows.withColumn("ts", F.when(F.col("end_ts") - F.col("start_ts") > MOST_SESSION_MS, F.raise_error(F.lit("a session is longer than 36 hours"))).otherwise(F.col("ts")))
     if cap:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("ts"))).withColumn("ts", F.when(F.col("_n") > cap, F.raise_error(F.lit(f"more than {cap} bars in a session"))).otherwise(F.col("ts"))).drop("_n")
     return rows
 
 
 def context_bars(bars: DataFrame, windows: DataFrame, bar_ms: int, n: int = 30, lookback_ms: int = 7 * 24 * HOUR_MS) -> DataFrame:
-    """The last n bars before each session's start, labelled pre-session if the last is at most two bars old, else prior-session.
+    """The last n bars (brought into 0 to MOST_CONTEXT) before each session's start, labelled pre-session if the last is at most two bars old, else prior-session.
 
     Windows are listed for the days of their lookback, so this too is an equi-join.
     """
+    n = min(max(n, 0), MOST_CONTEXT)
     day = lambda x: F.floor(x / F.lit(24 * HOUR_MS))
     touched = windows.select(*KEYS, "start_ts", F.explode(F.sequence(day(F.col("start_ts") - lookback_ms), day(F.col("start_ts") - 1))).alias("day"))
     near = bars.withColumn("day", day(F.col("ts"))).join(touched, ["symbol", "day"]).filter((F.col("ts") < F.col("start_ts")) & (F.col("ts") >= F.col("start_ts") - lookback_ms))
@@ -47,6 +52,12 @@ def levels(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", F.explode(F.array(*each)).alias("x")).select("session_id", "x.*").filter("level is not null")
 
 
+def level_facts(rows: DataFrame, ib_window: int = IB_WINDOW) -> DataFrame:
+    """One row per session beside its levels: the gap and what became of it, the levels of the session before that were touched, the initial balance's break and each opening range's first one."""
+    ranges = F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"or{w}_high").alias("high"), F.col(f"or{w}_low").alias("low"), F.col(f"or{w}_first_break").alias("first_break"), F.col(f"or{w}_break_min").alias("break_min")) for w in OR_WINDOWS))
+    return rows.select("session_id", "gap_abs", "gap_pct", "gap_dir", "gap_filled", "touched_prev_high", "touched_prev_low", "ib_break", F.lit(ib_window).alias("ib_window"), ranges.alias("opening_ranges"))
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "session_key").agg(F.count("*").alias("sessions"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
 

@@ -1,14 +1,21 @@
 """Executed trades: fills dated by session, matched first in first out, and day tags."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import DAY_MS
+from ..sources.store import kept
+from . import scans
+
+#: A symbol's fills are dealt to tasks by spans of so many ms, and its matches by about so many units' marks.
+BLOCK_MS, BLOCK_MARKS = DAY_MS // 24, 1 << 16
+
 
 def dated(fills: DataFrame, windows: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """fills with store_symbol, trade_date (of the symbol's first window that ends after the fill) and skipped (unmapped, no_time, out_of_range or null).
 
     fills: fill_id, symbol, ts (ms). mapping: symbol, store_symbol; others keep their name.
-    windows: symbol, trade_date, end_ts. An as-of join by one sort per symbol and no range join.
+    windows: symbol, trade_date, end_ts. An as-of join by sorting, in blocks of time, and no range join.
     """
     named = fills.withColumn("store_symbol", F.col("symbol")) if mapping is None else fills.join(mapping, "symbol", "left").withColumn("store_symbol", F.coalesce("store_symbol", "symbol"))
     known = windows.select(F.col("symbol").alias("store_symbol")).distinct().withColumn("known", F.lit(True))
@@ -16,9 +23,8 @@ def dated(fills: DataFrame, windows: DataFrame, mapping: DataFrame | None = None
     ends = windows.groupBy(F.col("symbol").alias("store_symbol"), F.col("end_ts").alias("at")).agg(F.min("trade_date").alias("date"))
     # Ends sort before fills of the same time: a window that ends at the fill is over.
     both = ends.withColumn("kind", F.lit(0)).unionByName(rows.filter("ts is not null and known").select("store_symbol", F.col("ts").alias("at"), F.lit(None).cast("date").alias("date"), "fill_id", F.lit(1).alias("kind")), allowMissingColumns=True)
-    # Backwards in time, so that what comes later is a running value and no frame is read again.
-    later = Window.partitionBy("store_symbol").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("trade_date", F.last("date", ignorenulls=True).over(later)).filter("kind = 1").select("fill_id", "trade_date")
+    both = both.withColumn("block", F.call_function("div", F.col("at"), F.lit(BLOCK_MS).cast("long")))
+    found = scans.next_known(both, ["store_symbol"], "block", [F.col("at"), F.col("kind")], ["date"]).filter("kind = 1").select("fill_id", F.col("next_date").alias("trade_date"))
     out = rows.join(found, "fill_id", "left")
     return out.withColumn("skipped", F.when(F.col("known").isNull(), "unmapped").when(F.col("ts").isNull(), "no_time").when(F.col("trade_date").isNull(), "out_of_range")).drop("known")
 
@@ -29,25 +35,26 @@ def skips(fills: DataFrame) -> DataFrame:
     return fills.agg(F.count("*").alias("fills"), count("used", F.col("skipped").isNull()), *(count(r, F.col("skipped") == r) for r in ("unmapped", "no_time", "out_of_range")))
 
 
-def realised(fills: DataFrame, multiplier: float = 1.0) -> DataFrame:
+def realised(fills: DataFrame, multiplier: float = 1.0, block_marks: int = BLOCK_MARKS) -> DataFrame:
     """symbol, trade_date and pnl of each first-in-first-out match, booked on the closing fill's date.
 
     Units bought and units sold are numbered in time; unit number u of one side meets unit
     number u of the other. So matches are overlaps of two cumulative ranges: all range ends
-    of a symbol are sorted once, and the fill that holds each piece is the next one on its side.
+    of a symbol are sorted, and the fill that holds each piece is the next one on its side.
+    Both scans go by blocks, so that one symbol's fills are many tasks.
     """
-    order = Window.partitionBy("symbol").orderBy("ts", "fill_id")
-    sides = fills.filter(F.col("side").isin("buy", "sell") & (F.col("quantity") > 0))
-    ranked = sides.withColumn("seq", F.row_number().over(order)).withColumn("upto", F.sum("quantity").over(Window.partitionBy("symbol", "side").orderBy("ts", "fill_id")))
-    unit = F.struct("seq", "price", (F.coalesce("fee", F.lit(0.0)) / F.col("quantity")).alias("fee"), "trade_date")
+    sides = fills.filter(F.col("side").isin("buy", "sell") & (F.col("quantity") > 0)).withColumn("block", F.coalesce(F.call_function("div", F.col("ts"), F.lit(BLOCK_MS).cast("long")), F.lit(-(2**62))))
+    # Each scan reads its rows twice, once to sum up the blocks; tables of their own keep that from being the whole history twice.
+    ranked = scans.running_sum(kept(sides, "sides"), ["symbol", "side"], "block", ["ts", "fill_id"], "quantity", "upto")
+    unit = F.struct("ts", "fill_id", "price", (F.coalesce("fee", F.lit(0.0)) / F.col("quantity")).alias("fee"), "trade_date")
     marks = ranked.groupBy("symbol", "upto").agg(F.max(F.when(F.col("side") == "buy", unit)).alias("b"), F.max(F.when(F.col("side") == "sell", unit)).alias("s"))
-    # From the last mark back, so that the next fill of each side is a running value.
-    back = Window.partitionBy("symbol").orderBy(F.desc("upto"))
-    so_far = back.rowsBetween(Window.unboundedPreceding, 0)
-    next_of = lambda side: F.last(side, ignorenulls=True).over(so_far).alias(side)
-    pieces = marks.select("symbol", (F.col("upto") - F.coalesce(F.lead("upto").over(back), F.lit(0))).alias("q"), next_of("b"), next_of("s")).filter("b is not null and s is not null")
+    dealt = scans.value_blocks(kept(marks, "marks"), ["symbol"], "upto", block_marks, "block")
+    ahead = scans.next_known(dealt, ["symbol"], "block", [F.col("upto")], ["b", "s"], inclusive=True)
+    # What a piece's units are: its end less the end before it, in the block or in those before.
+    before = scans.last_before(ahead, ["symbol"], "block", "upto")
+    pieces = before.select("symbol", (F.col("upto") - F.coalesce("last_upto", F.lit(0.0))).alias("q"), F.col("next_b").alias("b"), F.col("next_s").alias("s")).filter("b is not null and s is not null")
     net = (F.col("s.price") - F.col("b.price")) * F.col("q") * multiplier - (F.col("b.fee") + F.col("s.fee")) * F.col("q")
-    return pieces.select("symbol", F.when(F.col("b.seq") > F.col("s.seq"), F.col("b.trade_date")).otherwise(F.col("s.trade_date")).alias("trade_date"), net.alias("pnl"))
+    return pieces.select("symbol", F.when(F.struct("b.ts", "b.fill_id") > F.struct("s.ts", "s.fill_id"), F.col("b.trade_date")).otherwise(F.col("s.trade_date")).alias("trade_date"), net.alias("pnl"))
 
 
 def day_results(fills: DataFrame, multiplier: float = 1.0) -> DataFrame:

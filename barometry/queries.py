@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import epoch_ms, rounded
-from .operators import calendars, derive, ingest, lookups, trades
-from .plans import catalog, envelope, oracle
+from .operators import calendars, derive, ingest, lookups, partials, trades
+from .plans import catalog, envelope, oracle, tallies
 from .plans.catalog import Preset
 from .plans.oracle import Ask
 from .sources import bridge, readers, sinks
@@ -134,6 +134,19 @@ register("incremental_append", incremental_append, f"with {oracle.BARS}, marks a
 for _key in oracle.SESSIONS:
     register(f"session_windows_{_key}", lambda s, d, k=_key: key_windows(s, bridge.bars(s, d), k), f"with {oracle.BARS}, {oracle.windows(_key)} select * from wins")
     register(f"assign_bars_{_key}", lambda s, d, k=_key: assigned(s, d, k).select("symbol", "session_key", "trade_date", "ts", "open", "close"), f"with {oracle.assigned(_key)} select symbol, session_key, trade_date, ts, open, close from inside")
+
+
+def together(s: SparkSession, d: str) -> DataFrame:
+    """Features of overnight sessions from bars that are stored by symbol and day: no bar is shuffled."""
+    bars = stored_bars(s, d)
+    name = "b" + shared_folder(s, "together").rsplit("-", 1)[1]
+    calendars.keep_together(bars, key_windows(s, bars, "overnight"), name, shared_folder(s, name), buckets=16)
+    parts = partials.merged(partials.partials(calendars.assign_together(s, name), within=("day",)))
+    return derive.series_features(derive.own_of_parts(parts), oracle.BAR_MS).select(*_WIDE_OR)
+
+
+_WIDE_OR = [*derive.KEYS, "bar_count", "open", "high", "low", "close", "volume", "high_time_min", "gap_pct", "gap_fill_min", "touch_prev_low_min", "or15_first_break", "or60_ext_up_r", "ib_break", "range_vs_atr", "fvg_above"]
+register("features_together", together, f"with {oracle.features('overnight')} select {', '.join(_WIDE_OR)} from feat")
 register("half_day_windows", lambda s, d: key_windows(s, bridge.bars(s, d), "ny", True), f"with {oracle.BARS}, {oracle.windows('ny', True)} select * from wins")
 for _exchange, _defs in oracle.EXCHANGES.items():
     register(
@@ -277,9 +290,15 @@ register(
     lambda s, d: lookups.context_labels(key_windows(s, stored_bars(s, d), "ny"), context_bars(s, d)),
     f"with {oracle.BARS}, {oracle.windows('ny')}, {_NEAR}, told as (select symbol, session_key, trade_date, case when max(start_ts) - max(ts) <= 2 * {oracle.BAR_MS} then 'pre-session' else 'prior-session' end as label from near group by symbol, session_key, trade_date) select symbol, session_key, trade_date, coalesce(label, 'none') as label from wins left join told using (symbol, session_key, trade_date)",
 )
-_LEVELS = [("open", "open", "0"), ("high", "high", "high_time_min"), ("low", "low", "low_time_min"), ("prev_close", "prev_close", "gap_fill_min"), ("prev_high", "prev_high", "touch_prev_high_min"), ("prev_low", "prev_low", "touch_prev_low_min")]
+_LEVELS = [("open", "open", "0"), ("high", "high", "high_time_min"), ("low", "low", "low_time_min"), ("close", "close", "null"), ("prev_mid", "prev_mid", "null"), ("prev_close", "prev_close", "gap_fill_min"), ("prev_high", "prev_high", "touch_prev_high_min"), ("prev_low", "prev_low", "touch_prev_low_min")]
 _LEVELS += [(f"or{w}_{side}", f"or{w}_{side}", f"or{w}_break_min") for w in (5, 10, 15, 30, 60) for side in ("high", "low")]
 register("session_levels", lambda s, d: lookups.levels(features(s, d)), f"with {oracle.features()} " + " union all ".join(f"select session_id, '{name}' as name, cast({value} as double) as level, cast({minute} as integer) as minute from feat where {value} is not null" for name, value, minute in _LEVELS))
+_FACTS = "session_id, gap_abs, gap_pct, gap_dir, gap_filled, touched_prev_high, touched_prev_low, ib_break"
+register(
+    "session_level_facts",
+    lambda s, d: lookups.level_facts(features(s, d)).select(*_FACTS.split(", "), "ib_window", F.explode("opening_ranges").alias("r")).select(*_FACTS.split(", "), "ib_window", "r.*"),
+    f"with {oracle.features()} " + " union all ".join(f"select {_FACTS}, 60 as ib_window, {w} as \"window\", or{w}_high as high, or{w}_low as low, or{w}_first_break as first_break, or{w}_break_min as break_min from feat" for w in oracle.OR_WINDOWS),
+)
 _MARKED = ("gap_fill", "gap_hold", "orb_break", "ib_extension", "touch_prev_high", "break_hold_prev_low", "time_of_high_before", "time_of_low_before", "close_green")
 
 
@@ -312,6 +331,21 @@ for _preset, _asked in zip(catalog.PRESETS, oracle.PRESETS, strict=True):
 _VARIED = [catalog.preset(**given)._replace(name=str(i)) for i, (given, _) in enumerate(oracle.VARIED)]
 register("preset_parameters", *ask(_VARIED, [named(q, str(i)) for i, (_, q) in enumerate(oracle.VARIED)]))
 _TARGETS = (0.25, 0.5, 1, 1.5, 2, 3)
+
+
+def stored_sweep(s: SparkSession, d: str) -> DataFrame:
+    """The battery up to a date from stored tallies, after one symbol's rows have come late: only its series is asked again."""
+    place, rows = shared_folder(s, "tallies"), with_events(s, d)
+    late = (F.col("symbol") == "click") & (F.col("trade_date") > F.to_date(F.lit("2024-01-10")))
+    tallies.refresh(rows.filter(~late), catalog.BATTERY, place)
+    tallies.refresh(rows, catalog.BATTERY, place)
+    today = rows.select("symbol", "session_key").distinct().withColumn("today", F.to_date(F.lit("2024-01-26")))
+    found = tallies.answered(tallies.read(s, place), today, last=10, **SMALL)
+    return found.select("qid", "symbol", "session_key", "n", "k", "estimate", "ci_low", "ci_high", "low_sample", "refused", "n1", "k1", "n2", "k2", "n_recent", "k_recent")
+
+
+_SPLIT = "count(*) filter (rn * 2 <= total) as n1, cast(coalesce(sum(success::int) filter (rn * 2 <= total), 0) as bigint) as k1, count(*) filter (rn * 2 > total) as n2, cast(coalesce(sum(success::int) filter (rn * 2 > total), 0) as bigint) as k2, count(*) filter (rn > total - 10) as n_recent, cast(coalesce(sum(success::int) filter (rn > total - 10), 0) as bigint) as k_recent"
+register("sweep_stored", stored_sweep, oracle.hits(oracle.BATTERY, span="trade_date < date '2024-01-26'") + f"select * from ({oracle.counted('qid, symbol, session_key', **SMALL)}) join (select qid, symbol, session_key, {_SPLIT} from hits group by all) using (qid, symbol, session_key)")
 register("target_ladder", *ask(envelope.ladder(lambda r: catalog.orb_target_hit(15, r), _TARGETS), [named(oracle.OUTCOMES["orb_target_hit"], f"r={r}", success=oracle.OUTCOMES["orb_target_hit"].success.replace(">= 1", f">= {r}")) for r in _TARGETS]))
 register("bench_battery", *ask(catalog.BATTERY, oracle.BATTERY))
 
@@ -488,12 +522,11 @@ _BAR = ["symbol", "ts", "open", "high", "low", "close", "volume"]
 _BARS_SQL = f"with {oracle.BARS} select {', '.join(_BAR)} from bars"
 
 
-def each_symbol(s: SparkSession, d: str, rows: DataFrame, kind: str, read: Callable[[SparkSession, str, str], DataFrame], **options: str) -> DataFrame:
-    """rows written to a folder for each symbol, and read from there."""
+def each_symbol(s: SparkSession, d: str, rows: DataFrame, kind: str, read: Callable[[SparkSession, str, object], DataFrame], **options: str) -> DataFrame:
+    """rows written to a folder for each symbol; all folders are read in one scan, symbols from their paths."""
     place = shared_folder(s, "landed")
     rows.write.options(**options).partitionBy("symbol").format(kind).save(place)
-    symbols = [r.symbol for r in stored_bars(s, d).select("symbol").distinct().collect()]
-    return reduce(DataFrame.unionByName, (readers.checked(read(s, f"{place}/symbol={x}", x)) for x in symbols))
+    return readers.checked(read(s, f"{place}/symbol=*", readers.in_path()))
 
 
 def documents(rows: DataFrame, element: str, wrap: str = "to_json({})") -> DataFrame:

@@ -1,5 +1,8 @@
 """Readers of landed files. Each bar reader gives symbol, ts (ms), open, high, low, close, volume, contract.
 
+Where the files don't say their symbol, a reader is given it: one symbol's name, or a column such
+as ``in_path()``, so that the files of any number of symbols are one scan.
+
 Rows whose numbers can't be read are dropped by ``checked`` or set aside by ``quarantined``;
 both tests are one expression, so nothing is parsed twice. Files without rows give none.
 """
@@ -29,6 +32,17 @@ def _bars(rows: DataFrame, symbol: Column, ts: Column, prices: tuple[Column, ...
     return rows.select(symbol.cast("string").alias("symbol"), ts.alias("ts"), *(finite(p.cast("string")).alias(n) for n, p in zip(_PRICES, prices, strict=True)), F.coalesce(finite(volume.cast("string")), F.lit(0.0)).alias("volume"), contract.alias("contract"))
 
 
+def in_path(pattern: str = r"/symbol=([^/]+)/") -> Column:
+    """The symbol in each file's own path: what the pattern's group matches, null if nothing."""
+    found = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    return F.when(found != "", F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))))
+
+
+def _of(rows: DataFrame, symbol: "str | Column") -> DataFrame:
+    """rows of files with their symbol, taken while a row still knows its file."""
+    return rows.withColumn("_symbol", symbol if isinstance(symbol, Column) else F.lit(symbol))
+
+
 def _sound() -> Column:
     ok = F.col("ts").isNotNull()
     for c in _PRICES:
@@ -56,54 +70,55 @@ def read_partition(spark: SparkSession, path: str, symbol: str, tf: str, years:
     return read_bars(spark, path).filter((F.col("symbol") == symbol) & (F.col("tf") == tf) & F.col("year").isin(years))
 
 
-def read_csv_bars(spark: SparkSession, path: str, symbol: str, mapping: dict[str, str], ts_unit: str = "ms", delimiter: str = ",", since: int | None = None, until: int | None = None) -> DataFrame:
+def read_csv_bars(spark: SparkSession, path: str, symbol: str | Column, mapping: dict[str, str], ts_unit: str = "ms", delimiter: str = ",", since: int | None = None, until: int | None = None) -> DataFrame:
     """CSV with a header; mapping names the column of ts, the prices and maybe volume and contract; ts_unit is ms, s or iso. Of the bars, those with since < ts <= until.
 
     All files of a folder must name the same columns in the same order; another header is an error.
     """
-    rows = spark.read.option("header", True).option("enforceSchema", False).option("sep", delimiter).option("escape", '"').csv(path)
+    rows = _of(spark.read.option("header", True).option("enforceSchema", False).option("sep", delimiter).option("escape", '"').csv(path), symbol)
     col = lambda name: F.col(f"`{mapping[name]}`") if name in mapping else F.lit(None).cast("string")
     stamp = F.trim(col("ts"))
     ts = {"ms": stamp.try_cast("long"), "s": (stamp.try_cast("decimal(20,3)") * 1000).cast("long"), "iso": _iso_ms(stamp)}[ts_unit]
-    bars = _bars(rows.filter(stamp != ""), F.lit(symbol), ts, tuple(map(col, _PRICES)), col("volume"), col("contract"))
+    bars = _bars(rows.filter(stamp != ""), F.col("_symbol"), ts, tuple(map(col, _PRICES)), col("volume"), col("contract"))
     after = F.lit(True) if since is None else F.col("ts") > since
     return bars.filter(after & (F.lit(True) if until is None else F.col("ts") <= until))
 
 
-def read_kline_csv(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_kline_csv(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
     """Open time in ms or us, then prices and volume; a header row, if any, has no digit first."""
     names = ["t", *_PRICES, "volume"]
     schema = ", ".join(f"{n} string" for n in names)
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path).filter(F.col("t").rlike(r"^\d"))
-    return _bars(rows, F.lit(symbol), epoch_ms(F.col("t")), tuple(map(F.col, _PRICES)), F.col("volume"))
+    rows = _of(spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path), symbol).filter(F.col("t").rlike(r"^\d"))
+    return _bars(rows, F.col("_symbol"), epoch_ms(F.col("t")), tuple(map(F.col, _PRICES)), F.col("volume"))
 
 
-def _json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Each element of the JSON arrays in the files of path."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("r"))
+def _json_rows(spark: SparkSession, path: str, schema: str, symbol: str | Column) -> DataFrame:
+    """Each element of the JSON arrays in the files of path, with the file's symbol."""
+    return _of(spark.read.text(path, wholetext=True), symbol).select("_symbol", F.explode(F.from_json("value", schema)).alias("r"))
 
 
-def read_kline_json(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    rows = _json_rows(spark, path, "array<array<string>>")
+def read_kline_json(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
+    rows = _json_rows(spark, path, "array<array<string>>", symbol)
     at = lambda i: F.get(F.col("r"), i)
-    return _bars(rows, F.lit(symbol), epoch_ms(at(0)), tuple(at(i) for i in (1, 2, 3, 4)), at(5))
+    return _bars(rows, F.col("_symbol"), epoch_ms(at(0)), tuple(at(i) for i in (1, 2, 3, 4)), at(5))
 
 
-def read_candles_json(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_candles_json(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
     """Arrays of time (s), low, high, open, close, volume."""
-    rows = _json_rows(spark, path, "array<array<string>>")
+    rows = _json_rows(spark, path, "array<array<string>>", symbol)
     at = lambda i: F.get(F.col("r"), i)
-    return _bars(rows, F.lit(symbol), epoch_ms(at(0)), tuple(at(i) for i in (3, 2, 1, 4)), at(5))
+    return _bars(rows, F.col("_symbol"), epoch_ms(at(0)), tuple(at(i) for i in (3, 2, 1, 4)), at(5))
 
 
-def read_bars_page_json(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_bars_page_json(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
     """Pages of {bars: [{t, o, h, l, c, v}], next_page_token}; bars may be null."""
-    rows = spark.read.option("multiLine", True).schema("bars array<struct<t:string,o:string,h:string,l:string,c:string,v:string>>").json(path).select(F.explode("bars").alias("r"))
-    return _bars(rows, F.lit(symbol), any_ms(F.col("r.t")), tuple(F.col(f"r.{c}") for c in "ohlc"), F.col("r.v"))
+    rows = _of(spark.read.option("multiLine", True).schema("bars array<struct<t:string,o:string,h:string,l:string,c:string,v:string>>").json(path), symbol).select("_symbol", F.explode("bars").alias("r"))
+    return _bars(rows, F.col("_symbol"), any_ms(F.col("r.t")), tuple(F.col(f"r.{c}") for c in "ohlc"), F.col("r.v"))
 
 
-def _header(spark: SparkSession, path: str) -> DataFrame:
+def _header(spark: SparkSession, path: str, symbol: str | Column | None = None) -> DataFrame:
     rows = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    rows = rows if symbol is None else _of(rows, symbol)
     return rows.toDF(*(c.strip().lower() for c in rows.columns))
 
 
@@ -111,10 +126,10 @@ def _alias(rows: DataFrame, *names: str) -> Column:
     return F.coalesce(*(F.col(n) for n in names if n in rows.columns), F.lit(None).cast("string"))
 
 
-def read_ohlcv_csv_ns(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_ohlcv_csv_ns(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
     """Columns by name: ts_event (ns), prices, volume, symbol (the contract)."""
-    rows = _header(spark, path)
-    return _bars(rows, F.lit(symbol), any_ms(F.col("ts_event")), tuple(map(F.col, _PRICES)), F.col("volume"), _alias(rows, "symbol"))
+    rows = _header(spark, path, symbol)
+    return _bars(rows, F.col("_symbol"), any_ms(F.col("ts_event")), tuple(map(F.col, _PRICES)), F.col("volume"), _alias(rows, "symbol"))
 
 
 def read_flat_minutes(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
@@ -125,18 +140,18 @@ def read_flat_minutes(spark: SparkSession, path: str, symbol: str | None = None)
     return _bars(rows, ticker, any_ms(_alias(rows, "window_start", "timestamp", "ts", "t")), tuple(map(F.col, _PRICES)), _alias(rows, "volume", "v"))
 
 
-def read_candle_objects_json(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+def read_candle_objects_json(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
     """Arrays of {ts or timestamp, open, high, low, close, volume?}; time as epoch or ISO."""
-    rows = _json_rows(spark, path, "array<struct<ts:string,timestamp:string,open:string,high:string,low:string,close:string,volume:string>>")
-    return _bars(rows, F.lit(symbol), any_ms(F.coalesce("r.ts", "r.timestamp")), tuple(F.col(f"r.{c}") for c in _PRICES), F.col("r.volume"))
+    rows = _json_rows(spark, path, "array<struct<ts:string,timestamp:string,open:string,high:string,low:string,close:string,volume:string>>", symbol)
+    return _bars(rows, F.col("_symbol"), any_ms(F.coalesce("r.ts", "r.timestamp")), tuple(F.col(f"r.{c}") for c in _PRICES), F.col("r.volume"))
 
 
 read_rates_json = read_candle_objects_json
 
 
-def read_candle_short_json(spark: SparkSession, path: str, symbol: str) -> DataFrame:
-    rows = _json_rows(spark, path, "array<struct<t:string,o:string,h:string,l:string,c:string,v:string>>")
-    return _bars(rows, F.lit(symbol), any_ms(F.col("r.t")), tuple(F.col(f"r.{c}") for c in "ohlc"), F.col("r.v"))
+def read_candle_short_json(spark: SparkSession, path: str, symbol: str | Column) -> DataFrame:
+    rows = _json_rows(spark, path, "array<struct<t:string,o:string,h:string,l:string,c:string,v:string>>", symbol)
+    return _bars(rows, F.col("_symbol"), any_ms(F.col("r.t")), tuple(F.col(f"r.{c}") for c in "ohlc"), F.col("r.v"))
 
 
 def read_calendar(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
