@@ -7,14 +7,16 @@ their share of a sequence; each round a knapsack dynamic program over the capaci
 configurations of most worth, which are used for the pieces that they lead with, and lengths
 covered more than others lose price, those covered less gain. Prices over the worth of the best
 configuration are feasible for the dual program, so each round also bounds the sequences from
-below. The fractions are rounded down to whole sequences; what that leaves goes by the same
-prices in whole numbers, then by best fit into the open configurations, then into new ones. The
+below. The fractions are rounded down to whole sequences, whose slots take the longest pieces of their
+size that are left and whose last slot takes whatever fits best; what that leaves goes by best fit
+into open sequences, then into new ones. Sequences that stay emptier than others are dissolved
+and their pieces fitted anew, by prices in whole numbers or by best fit. The
 plan is a table of (length, run of ranks) -> places whose size depends on the histogram, not on
 the corpus; Spark ranks the pieces within their length and looks the places up.
 """
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -28,8 +30,8 @@ from . import scratch
 from .tokens import END_ID, Encoder, crc32_of
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
-#: Pieces over capacity / SHORT are long and go by the program; distinct sizes it tells apart, at most; how far below the best worth a configuration may be.
-SHORT, GROUPS, SLACK = 8, 64, 0.01
+#: Pieces over capacity / SHORT are long and go by the program; distinct sizes it tells apart, at most, and at a second try; how far below the best worth a configuration may be; how near to the bound is near enough for no second try.
+SHORT, GROUPS, SLACK, NEAR = 8, (64, 192), 0.01, 0.001
 
 
 def price(weights: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,13 +85,13 @@ def priced(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float,
     return float(best[most][capacity]), out
 
 
-def grouped(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of the long pieces, their counts, and the size's index of each length (-1: short): all lengths, if there are few, or GROUPS groups of about as many pieces, each as long as its longest."""
+def grouped(histogram: dict[int, int], capacity: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the long pieces, their counts, and the size's index of each length (-1: short): all lengths, if there are few, or most groups of about as many pieces, each as long as its longest."""
     lengths = np.array(sorted(length for length in histogram if length * SHORT > capacity), np.int64)
     counts = np.array([histogram[int(length)] for length in lengths], np.int64)
     group = np.arange(len(lengths))
-    if len(lengths) > GROUPS:
-        group = np.unique(np.ceil(np.cumsum(counts) / counts.sum() * GROUPS), return_inverse=True)[1]
+    if len(lengths) > most:
+        group = np.unique(np.ceil(np.cumsum(counts) / counts.sum() * most), return_inverse=True)[1]
     of = np.full(capacity + 1, -1)
     of[lengths] = group
     sizes, n = np.zeros(group.max() + 1 if len(group) else 0, np.int64), np.zeros(group.max() + 1 if len(group) else 0, np.int64)
@@ -156,64 +158,99 @@ def lower_bound(histogram: dict[int, int], of: np.ndarray, prices: np.ndarray, c
     return max(total, sum(weights[length] * n for length, n in histogram.items()) / float(best[capacity]))
 
 
-def rounded(histogram: dict[int, int], capacity: int) -> tuple[list[Pattern], float]:
+def rounded(histogram: dict[int, int], capacity: int, groups: int = GROUPS[0]) -> tuple[list[Pattern], float]:
     """The program's solution in whole sequences, with all pieces placed, and the lower bound."""
-    sizes, n, of = grouped(histogram, capacity)
+    sizes, n, of = grouped(histogram, capacity, groups)
     left = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
         left[length] = count
     if not len(sizes):
         return best_fit(*in_whole_numbers(left, Counter(), capacity), capacity), lower_bound(histogram, of, np.zeros(0), capacity)
     fractions, prices, _ = program(sizes, n, capacity)
-    lists = [[int(x) for x in np.flatnonzero(of == g)[::-1]] for g in range(len(sizes))]
+    bound = lower_bound(histogram, of, prices, capacity)
+    used = in_sequences(fractions, left, of, len(sizes), capacity)
+    return repaired(best_fit(left, used, capacity), capacity, math.ceil(bound - 1e-6)), bound
+
+
+def in_sequences(fractions: dict[tuple[tuple[int, int], ...], float], left: np.ndarray, of: np.ndarray, groups: int, capacity: int) -> Counter:
+    """Whole sequences of the program's configurations; the pieces that they take leave left.
+
+    A slot takes the longest piece left of its group, so a sequence has more room than its
+    configuration says; its last slot takes the longest piece of any length that fits.
+    """
+    lists = [[int(x) for x in np.flatnonzero((of == g) & (left > 0))[::-1]] for g in range(groups)]
+    there = np.flatnonzero(left).tolist()
     used: Counter = Counter()
+
+    def drop(length: int) -> None:
+        if not left[length]:
+            there.pop(bisect_left(there, length))
+            if of[length] >= 0:
+                own = lists[of[length]]
+                own.remove(length)
+
     for pattern, k in sorted(fractions.items(), key=lambda x: (-x[1], x[0])):
         whole = int(k + 1e-9)
-        # A slot takes any piece of its group: the longest left first, as many sequences alike as there are.
-        while whole > 0 and all(lists[g] for g, _ in pattern):
-            slots = [(lists[g][0], a) for g, a in pattern]
-            alike = min(whole, *(int(left[length]) // a for length, a in slots))
-            if not alike:
-                # Too few of one length: these go one by one, with the next lengths of the group.
-                slots = []
-                for g, a in pattern:
-                    for _ in range(a):
-                        while lists[g] and not left[lists[g][0]]:
-                            lists[g].pop(0)
-                        if lists[g]:
-                            slots.append((lists[g][0], 1))
-                            left[lists[g][0]] -= 1
-                for length, _ in slots:
-                    left[length] += 1
-                slots, alike = sorted(Counter(length for length, _ in slots).items(), reverse=True), 1
-            used[tuple(sorted(slots, reverse=True))] += alike
+        while whole > 0:
+            slots: Counter = Counter()
+            for g, a in sorted(pattern, key=lambda x: x[0], reverse=True):
+                for length in lists[g]:
+                    take = min(a, int(left[length]) - slots[length])
+                    slots[length] += take
+                    a -= take
+                    if not a:
+                        break
+            slots = +slots
+            if not slots:
+                break
+            last = min(slots)
+            slots[last] -= 1
+            slots = +slots
+            room = capacity - sum(length * a for length, a in slots.items())
+            at = bisect_right(there, room) - 1
+            while left[there[at]] <= slots[there[at]]:
+                at -= 1
+            slots[there[at]] += 1
+            alike = min(whole, *(int(left[length]) // a for length, a in slots.items()))
+            used[tuple(sorted(slots.items(), reverse=True))] += alike
             whole -= alike
-            for length, a in slots:
+            for length, a in slots.items():
                 left[length] -= alike * a
-            for g, _ in pattern:
-                while lists[g] and not left[lists[g][0]]:
-                    lists[g].pop(0)
-    return best_fit(left, used, capacity), lower_bound(histogram, of, prices, capacity)
-
+                drop(length)
+    return used
 
-def solve(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns ((length, count), ...) and how many sequences have each; all pieces are placed.
 
-    The program's solution rounded; short pieces alone, and whatever it leaves a better way for,
-    by whole numbers or plain best fit, if that needs fewer sequences.
-    """
-    if not histogram:
-        return []
-    left = np.zeros(capacity + 1, np.int64)
-    for length, count in histogram.items():
-        left[length] = count
-    made, bound = rounded(histogram, capacity)
-    for way in (lambda: best_fit(left.copy(), Counter(), capacity), lambda: best_fit(*in_whole_numbers(left.copy(), Counter(), capacity), capacity)):
-        if sum(k for _, k in made) > math.ceil(bound - 1e-6):
+def repaired(patterns: list[Pattern], capacity: int, enough: int) -> list[Pattern]:
+    """The plan with its emptier sequences dissolved and their pieces fitted anew, for the bound on emptiness that needs fewest sequences; the full ones stay. With enough sequences or fewer there is nothing to mend."""
+    made = patterns
+    room = lambda pattern: capacity - sum(length * a for length, a in pattern)
+    for most in (0, *(1 << i for i in range(0, capacity.bit_length(), 2))):
+        if sum(k for _, k in made) <= enough:
+            break
+        left, kept = np.zeros(capacity + 1, np.int64), Counter()
+        for pattern, k in patterns:
+            if room(pattern) <= most:
+                kept[pattern] += k
+                continue
+            for length, a in pattern:
+                left[length] += a * k
+        for way in (lambda: best_fit(left.copy(), kept.copy(), capacity), lambda: best_fit(*in_whole_numbers(left.copy(), kept.copy(), capacity), capacity)):  # noqa: B023
             made = min(made, way(), key=lambda patterns: sum(k for _, k in patterns))
     return made
 
 
+def solve(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns ((length, count), ...) and how many sequences have each; all pieces are placed: the program's solution, rounded and mended, with finer sizes if that is not near the bound."""
+    made, bound = [], 0.0
+    for groups in GROUPS if histogram else ():
+        found, least = rounded(histogram, capacity, groups)
+        bound = max(bound, least)
+        made = min(made, found, key=lambda patterns: sum(k for _, k in patterns)) if made else found
+        if sum(k for _, k in made) <= math.ceil(bound * (1 + NEAR)):
+            break
+    return made
+
+
 def in_whole_numbers(left: np.ndarray, used: Counter, capacity: int, rounds: int = 40, share: float = 0.5, rate: float = 0.02) -> tuple[np.ndarray, Counter]:
     """left and used after (nearly) full configurations of the pieces left are taken in whole numbers, a share of what they could take at once, by prices that rise for lengths that lag behind."""
     total = left.astype(float)

@@ -86,8 +86,11 @@ def test_token_files_are_laid_out_for_selective_reads(spark, tmp_path):
 
 
 def test_packing_is_near_the_program_s_bound():
+    """What the program gives, rounded and mended, needs no more sequences than best fit alone, which solve() doesn't fall back to."""
     rng = random.Random(9)
     cases = {
+        "even": [rng.randrange(1000, 3000) for _ in range(6000)],
+        "long texts": [min(4096, int(rng.lognormvariate(6.3, 1.0)) + 1) for _ in range(3000)],
         "thirds": [rng.choice([1366, 1365, 1200, 2049, 1000, 700]) for _ in range(20000)],
         "pairs": [rng.randrange(1400, 2100) for _ in range(5000)],
         "halves": [2049] * 1000 + [1500] * 700 + [547] * 100,
