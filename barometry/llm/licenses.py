@@ -13,6 +13,7 @@ own inherits from its nearest ancestor directory that has one.
 """
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,10 +32,10 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -56,10 +57,20 @@ TEMPLATES = (
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, see <https://www.gnu.org/licenses/>."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED 'AS IS' AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
 )
-#: Licences that a line of the SPDX form may name; fixed values.
-SPDX = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")
-ALL_TEMPLATES = TEMPLATES + tuple((name, f"SPDX-License-Identifier: {name}") for name in SPDX)
+#: A line that names its licence by an SPDX expression, which is taken as it stands.
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9()][A-Za-z0-9.+() \t-]*[A-Za-z0-9.+)]|[A-Za-z0-9])"
+#: Where templates of about one length are in reach, the nearest decides; shorter ones, which longer texts share, don't. About: this share of the greatest likeness, which grows with the template's length.
+ABOUT = 0.75
 #: Lines of a block.
 LINES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 #: A term is common from this share of the files on: one in COMMON.
@@ -114,7 +125,15 @@ class Templates:
         for k, c in enumerate(each):
             at = np.searchsorted(vocabulary, np.array(list(c), _U))
             self.weights[at, k] = np.array(list(c.values())) * self.idf[at]
-            self.weights[:, k] /= np.sqrt((self.weights[:, k] ** 2).sum()) or 1.0
+        #: Each template's length before it is made a unit.
+        self.norms = np.sqrt((self.weights**2).sum(0))
+        self.weights /= np.where(self.norms > 0, self.norms, 1.0)
+        # A unit that says not is none of a template that doesn't.
+        self.no = int(self.places(terms("not"))[0])
+        self.says_no = self.weights[self.no] > 0 if self.no >= 0 else np.ones(len(texts), bool)
+        # Nor is one without the version that a licence's name ends with, where its template states that.
+        numbers = [set(re.findall(r"[1-9]\d*", m[0])) & set(re.findall(r"\d+", t)) if (m := re.search(r"[0-9.]+$", name)) else set() for name, t in texts]
+        self.versions = [(k, self.places(terms(" ".join(sorted(x))))) for k, x in enumerate(numbers) if x]
         common = np.array(sorted(h for h, n in held.items() if n * COMMON >= files), _U)
         self.common, self.common_idf = common, idf(np.array([held[int(h)] for h in common], float), files)
         # Others are in fewer files than one in COMMON, or in one.
@@ -154,6 +173,10 @@ class Templates:
             length = (own**2).sum(1)
             dots = own @ self.weights
             hit = dots >= (self.least - 1e-9) * np.sqrt(length + other[end] - other[begin])[:, None]
+            if self.no >= 0:
+                hit &= self.says_no | (tf[:, self.no] == 0)[:, None]
+            for k, place in self.versions:
+                hit[:, k] &= (tf[:, place] > 0).all(1)
             for k in np.flatnonzero(hit.any(1)):
                 yield int(begin[k]), int(end[k]), float(length[k]), [(int(t), float(dots[k, t])) for t in np.flatnonzero(hit[k])]
 
@@ -206,11 +229,14 @@ def candidates(rows: DataFrame, known: Templates) -> DataFrame:
     return rows.select("id", "version", "text").mapInArrow(run, _UNIT.format(rows.schema["id"].dataType.simpleString()))
 
 
-def scan(files: DataFrame, path: Column | str = "path", id_col: str = "doc_id", text_col: str = "text", least: float = 0.7, templates: tuple[tuple[str, str], ...] = ALL_TEMPLATES, licence_file: str = LICENCE_FILE) -> DataFrame:
+def scan(files: DataFrame, path: Column | str = "path", id_col: str = "doc_id", text_col: str = "text", least: float = 0.7, templates: tuple[tuple[str, str], ...] = TEMPLATES, licence_file: str = LICENCE_FILE) -> DataFrame:
     """Per file: id, path, license (null: none known), score (cosine to the nearest template, if own), origin (header, inherited or null) and inherited_from (a directory).
 
-    Every term weighs by the number of files that hold it. Ties go to the template listed
-    first. Null texts are empty, a null path has no ancestors, an empty table gives an empty
+    Every term weighs by the number of files that hold it. An SPDX line decides, and gives its
+    expression as it stands (score 1); else, of the templates in reach, those about as long as the
+    longest, and of these the nearest. Ties go to the template listed first; GPL and BSD
+    are sentences that several versions share. A unit that says "not" is none of a template that doesn't,
+    and one that lacks the version number in a licence's name is none of that licence's templates that state it. Null texts are empty, a null path has no ancestors, an empty table gives an empty
     one. Rows of equal id (null or not) and text count as one file; other columns are not read.
     """
     spark = files.sparkSession
@@ -224,7 +250,8 @@ def scan(files: DataFrame, path: Column | str = "path", id_col: str = "doc_id",
     # The templates' terms, and those that one file in COMMON holds: lists of bounded length.
     some = counts.join(F.broadcast(wanted), "term", "left_semi").union(counts.filter((F.col("n") * COMMON >= total) & F.col("term").isNotNull()))
     held = {r.term % 2**64: r.n for r in some.collect()}
-    found = scratch.cut(candidates(rows, Templates(templates, total, held, least)), "licence-units")
+    known = Templates(templates, total, held, least)
+    found = scratch.cut(candidates(rows, known), "licence-units")
 
     apart = found.select("id", "version", "unit", F.explode("terms").alias("t")).distinct().select("id", "version", "unit", "t.*")
     weight = F.log(F.lit(1.0 + total) / (1 + F.coalesce("n", F.lit(1)))) + 1
@@ -232,10 +259,15 @@ def scan(files: DataFrame, path: Column | str = "path", id_col: str = "doc_id",
     units, lengths = found.alias("f"), lengths.alias("l")
     same = F.col("f.id").eqNullSafe(F.col("l.id")) & (F.col("f.version") == F.col("l.version")) & (F.col("f.unit") == F.col("l.unit"))
     scored = units.join(lengths, same, "left").select("f.id", "f.version", "template", (F.col("dot") / F.sqrt(F.col("own") + F.coalesce("rest", F.lit(0.0)))).alias("score"))
-    best = scored.filter(F.col("score") >= least - 1e-9).groupBy("id", "version").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("template")).alias("k"))).alias("b"))
+    norms = F.array(*(F.lit(float(x)) for x in known.norms))
+    near = scored.filter(F.col("score") >= least - 1e-9).groupBy("id", "version", "template").agg(F.max(F.round("score", 9)).alias("score"))
+    each = near.groupBy("id", "version").agg(F.collect_list(F.struct("score", (-F.col("template")).alias("k"), (F.col("score") * F.get(norms, F.col("template"))).alias("like"))).alias("all"))
+    about = F.filter("all", lambda x: x["like"] >= ABOUT * F.array_max(F.transform("all", lambda y: y["like"])))
     names = F.array(*(F.lit(name) for name, _ in templates))
-    best = best.select("id", "version", F.get(names, -F.col("b.k")).alias("license"), "b.score").alias("b")
-    own = rows.select("id", "path", "version").alias("r").join(best, F.col("r.id").eqNullSafe(F.col("b.id")) & (F.col("r.version") == F.col("b.version")), "left").select("r.id", "path", "license", "score")
+    best = each.withColumn("b", F.array_max(F.transform(about, lambda x: F.struct(x["score"].alias("score"), x["k"].alias("k"))))).select("id", "version", F.get(names, -F.col("b.k")).alias("near"), "b.score").alias("b")
+    said = F.when(F.contains("text", F.lit("SPDX-License-Identifier:")), F.regexp_extract("text", SPDX, 1))
+    stated = rows.withColumn("stated", F.when(said != "", F.regexp_replace(said, r"[ \t]+", " "))).select("id", "path", "version", "stated")
+    own = stated.alias("r").join(best, F.col("r.id").eqNullSafe(F.col("b.id")) & (F.col("r.version") == F.col("b.version")), "left").select("r.id", "path", F.coalesce("stated", "near").alias("license"), F.when(F.col("stated").isNotNull(), F.lit(1.0)).otherwise(F.col("score")).alias("score"))
 
     at = scratch.cut(own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")), "licences")
     given = at.filter(F.col("license").isNotNull() & F.col("path").rlike(licence_file)).groupBy("dir").agg(F.max_by("license", F.struct("score", "path")).alias("given"))
