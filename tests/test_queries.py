@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from barometry import queries
 
-CHECKED = ["resample_bars", "epoch_normalise", "dedupe_clamp", "incremental_append", "half_day_windows", "assign_bars_overnight", "features_wide", "features_wide_ny", "cond_and_or_not", "event_before", "env_stability", "env_recency", "env_distribution", "env_groups", "env_full", "matched_sessions", "context_bars", "session_levels", "outcome_marker", "preset_sweep", "coverage", "freshness", "fingerprint", "trades_dating", "trades_fifo_pnl", "trades_conditioned", "stream_sessions", "exchange_windows_fx", "symbol_windows", "preset_parameters", "preset_sweep_groups", "context_labels", "trades_skips", "provenance", "read_kline_json", "read_calendar_half_days", "read_bars_resynced", "replace_features", "stream_unseen", "stream_developing", "stream_phases"]
+CHECKED = ["resample_bars", "epoch_normalise", "dedupe_clamp", "incremental_append", "half_day_windows", "assign_bars_overnight", "features_wide", "features_wide_ny", "cond_and_or_not", "event_before", "env_stability", "env_recency", "env_distribution", "env_groups", "env_full", "matched_sessions", "context_bars", "session_levels", "outcome_marker", "preset_sweep", "coverage", "freshness", "fingerprint", "trades_dating", "trades_fifo_pnl", "trades_conditioned", "stream_sessions", "exchange_windows_fx", "symbol_windows", "preset_parameters", "preset_sweep_groups", "context_labels", "trades_skips", "provenance", "read_kline_json", "read_calendar_half_days", "read_bars_resynced", "replace_features", "stream_unseen", "stream_developing", "stream_phases", "stream_alerts", "sweep_stored", "features_together", "session_level_facts", "trades_tags"]
 
 
 @pytest.fixture(scope="module")
