@@ -277,8 +277,12 @@ def test_calendar_hash_ignores_order_and_files_must_agree(spark, tmp_path):
 def test_impossible_counts_are_errors(spark):
     with pytest.raises(Exception, match="from 0 to the number of trials"):
         spark.createDataFrame([(3, 4)], "n long, k long").select(*stats.wilson(F.col("n"), F.col("k"))).collect()
-    with pytest.raises(ValueError):
-        envelope.latest(None, 501)
+
+
+def test_listed_matches_are_bounded(spark):
+    days = [(i, "q", "A", "s", f"A|s|{i}", 600) for i in range(1, 601)]
+    hits = spark.createDataFrame(days, "rn long, qid string, symbol string, session_key string, session_id string, total long").withColumns({"trade_date": F.current_date(), "success": F.lit(True), "value": F.lit(1.0)})
+    assert [envelope.latest(hits, n).count() for n in (0, -3, 2, 500, 501)] == [0, 0, 2, 500, 500]
 
 
 def test_windows_of_many_definitions(spark):
