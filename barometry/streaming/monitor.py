@@ -62,7 +62,9 @@ def append_unseen(batch: DataFrame, n: int, path: str, keys: Sequence[str] = ("s
 def replayed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' ticks written as files, streamed to bars until used up, then read back: all bars, as a batch would give."""
     place = shared_folder(spark, "stream")
-    ticks = bridge.ticks(spark, sf_dir).select("symbol", F.timestamp_millis("ts").alias("at"), "px", F.lit(1.0).alias("qty"))
+    # Microseconds: of two ticks in one millisecond the earlier opens and the later closes.
+    moment = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', at)"))
+    ticks = bridge.ticks(spark, sf_dir).select("symbol", moment.alias("at"), "px", F.lit(1.0).alias("qty"))
     ticks.write.parquet(f"{place}/ticks/part=1")
     # A closing tick of no symbol, some hours on, lets the watermark pass the last bars.
     closing = spark.read.parquet(f"{place}/ticks/part=1").agg(F.max("at").alias("at")).select(F.lit(None).cast("string").alias("symbol"), (F.col("at") + F.expr("interval 3 hours")).alias("at"), F.lit(0.0).alias("px"), F.lit(0.0).alias("qty"))

@@ -4,7 +4,9 @@ import json
 import random
 from types import SimpleNamespace
 
+import duckdb
 import pytest
+from barometry import queries
 from barometry.operators import calendars, derive, partials
 from barometry.plans import catalog, envelope, tallies
 from barometry.plans.catalog import Preset
@@ -244,3 +246,17 @@ def test_sketches_are_near_the_quantiles(spark):
         for name, rank in (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9)):
             assert abs(sum(v <= q[name] for v in own) / len(own) - rank) < 0.02
         assert got["none", s, k]["count"] == 0 and got["none", s, k].median is None
+
+
+def test_streamed_bars_order_ticks_within_a_millisecond(spark, tmp_path):
+    """The earlier of two ticks in one millisecond opens, the later closes, as in the SQL, whichever is higher."""
+    at = "timestamp_ntz '2024-01-02 10:00:00.000"
+    # Each event of even id moves the price up, each of odd id down.
+    rows = [(2, "100", "click"), (1, "900", "click"), (3, "050", "view"), (4, "950", "view")]
+    events = " union all ".join(f"select {i}L as event_id, {at}{us}' as ts, '{kind}' as event_type, 10.0D as value" for i, us, kind in rows)
+    spark.sql(events).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = {(r.symbol, r.ts, r.open, r.high, r.low, r.close, r.volume) for r in queries.QUERIES["stream_bars"](spark, str(tmp_path)).collect()}
+    assert got == set(con.sql(queries.SQL["stream_bars"]).fetchall())
+    assert {(x[0], x[2] > x[5]) for x in got} == {("click", True), ("view", False)}
