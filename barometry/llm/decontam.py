@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textblocks import ALNUM, Block, Words, blocks, take_ranges, word_hashes, words
+from .textblocks import ALNUM, Block, Words, blocks, in_batches, take_ranges, word_hashes, words
 
 #: Bytes of benchmark text that driver and tasks hold at once; a larger benchmark is taken in passes, one after another.
 BENCHMARK_BYTES = 16 << 20
+#: Bytes of a shard's text, at least and at most; in between, those per test suffix, so that searching a shard costs less than making it.
+SHARD_BYTES, SUFFIX_BYTES = (1 << 20, 4 << 20), 64
 #: Bits of a coded word, and words in one 64-bit key.
 _BITS, _PER_KEY = 21, 3
 _U = np.uint64
@@ -54,6 +56,10 @@ class Suffixes:
             self.low[:, j // _PER_KEY] |= value << shift
             self.high[:, j // _PER_KEY] |= np.where(inside, value, _U((1 << _BITS) - 1)) << shift
 
+    def shard_bytes(self) -> int:
+        least, most = SHARD_BYTES
+        return min(most, max(least, SUFFIX_BYTES * len(self.low)))
+
     def code(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks from 1 of the words in the vocabulary, 0 for all others."""
         if not len(self.vocabulary):
@@ -117,7 +123,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
     for k, part in enumerate(_parts(benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")))):
         # Each pass is over before the next part is read, so that no task holds two.
         out = scratch.cut(out, "matches") if k else out
-        out = out.mapInArrow(_searcher(Suffixes(part, window)), out.schema)
+        out = in_batches(out).mapInArrow(_searcher(Suffixes(part, window)), out.schema)
     return out.drop("_text")
 
 
@@ -146,12 +152,11 @@ def _cleaner(s: Suffixes, text: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            clean = np.ones(len(batch), bool)
-            for block in blocks(batch.column(text), 4 << 20):
+            for block in blocks(batch.column(text), s.shard_bytes()):
                 w, at, begin, end = searched(block, s)
-                hit = at[take_ranges(begin, end - begin)]
-                clean[block.start + np.searchsorted(w.first, hit, "right") - 1] = False
-            yield batch.filter(pa.array(clean))
+                clean = np.ones(block.stop - block.start, bool)
+                clean[np.searchsorted(w.first, at[take_ranges(begin, end - begin)], "right") - 1] = False
+                yield batch.slice(block.start, len(clean)).filter(pa.array(clean))
 
     return run
 
@@ -180,7 +185,7 @@ def _searcher(s: Suffixes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), 4 << 20):
+            for block in blocks(batch.column(1), s.shard_bytes()):
                 old = batch.slice(block.start, block.stop - block.start)
                 n_words, hits, items, matched = one(block, *(old.column(k).to_pylist() for k in (3, 4, 5)))
                 schema = batch.schema
@@ -204,5 +209,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     out = docs
     for k, part in enumerate(_parts(benchmark.select(F.col(item_col).alias("k"), F.col(item_text_col).alias("t")))):
         out = scratch.cut(out, "clean") if k else out
-        out = out.mapInArrow(_cleaner(Suffixes(part, window), docs.columns.index(text_col)), docs.schema)
+        out = in_batches(out).mapInArrow(_cleaner(Suffixes(part, window), docs.columns.index(text_col)), docs.schema)
     return out

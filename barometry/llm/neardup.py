@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
-from .textblocks import SPACED, blocks, mix, word_hashes, words
+from .textblocks import SPACED, blocks, in_batches, mix, word_hashes, words
 
 REGISTERS, BAND = 192, 6
 #: 64-bit words of the odd sketch.
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: s
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(list(odd_sketch(sets)), pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "registers", "odd"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, registers binary, odd array<long>")
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, registers binary, odd array<long>")
 
 
 def _estimated(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .textblocks import in_batches
 from .tokens import END_ID, Encoder, crc32_of
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -366,7 +367,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(row), part, np.int64)), pa.array(rank)], names=[id_col, "piece", "start", "length", "ids_crc32", "part", "local_rank"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(pieces, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part long, local_rank long")
+    return in_batches(docs).select(id_col, text_col).mapInArrow(pieces, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, part long, local_rank long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,8 +5,9 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
-from barometry.llm import components, decontam, neardup, packing, tokens
+from barometry.llm import components, decontam, neardup, packing, textblocks, tokens
 
 HARD = [None, "", " \n\t", "one", "two words", "x" * 5000, "\x00 a\x00b", "Ünïcödé Σίσυφος ΑΣ ς  é é <|endoftext|> don't", "a b c d e f g h i j k", "A B C D E F G H I J K", "a b c d e f g h i j k", "é " * 40, "word word x\x0by", "it's 12 ’tis 3.5"]
 
@@ -201,3 +202,21 @@ def test_empty_and_repeated(spark):
     twice = make(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, None)])
     assert sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(twice).collect()) == [(1, 1), (1, 1), (2, 2)]
     assert tokens.token_table(spark, twice, path).count() == packing.pack(twice, path).count() == 3
+
+
+def test_tasks_hold_little_text_at_once(spark):
+    """Long texts come to a task in batches of a few MB, not thousands of rows, and leave it shard by shard."""
+    text = "lorem ipsum dolor sit amet " * 800
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", f"concat(id, '{text}', id) as text").repartition(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    leak = spark.createDataFrame([("a", "seven nine"), ("b", "amet 1999")], "item_id string, text string")
+    assert {r.doc_id for r in decontam.decontaminate(docs, leak, 2).select("doc_id").collect()} == set(range(1999))
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * textblocks.BATCH_BYTES
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{k} {text}" for k in range(300)])], names=["text"])
+    found = decontam.Suffixes([("a", "299 lorem")], 2)
+    out = list(decontam._cleaner(found, 0)([batch]))
+    assert sum(map(len, out)) == 299 and len(out) > 3 and found.shard_bytes() == 1 << 20
