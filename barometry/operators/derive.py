@@ -121,6 +121,10 @@ def touches(rows: DataFrame) -> DataFrame:
 _ZONES, _SEEN = "array<struct<lo:double,hi:double,bull:boolean>>", "array<struct<fvg_above:boolean,fvg_below:boolean>>"
 
 
+#: Sessions that the zones' fold takes at a time.
+FOLDED = 128
+
+
 def gap_zones(rows: DataFrame, cap: int = MAX_ZONES) -> DataFrame:
     """rows with fvg_above and fvg_below: whether an unfilled zone between sessions i-2 and i stands above or below the open.
 
@@ -135,7 +139,12 @@ def gap_zones(rows: DataFrame, cap: int = MAX_ZONES) -> DataFrame:
     newest = f"transform(array(concat({alive}, {born})), c -> if(size(c) > {cap}, slice(c, size(c) - {cap - 1}, {cap}), c))[0]"
     none = "cast(null as double)"
     start = f"named_struct('z', cast(array() as {_ZONES}), 'seen', cast(array() as {_SEEN}), 'h2', {none}, 'l2', {none}, 'h1', {none}, 'l1', {none})"
-    fold = f"aggregate(s, {start}, (a, x) -> named_struct('z', {newest}, 'seen', concat(a.seen, array({opened})), 'h2', a.h1, 'l2', a.l1, 'h1', x.r.high, 'l1', x.r.low), a -> a.seen)"
+    step = f"named_struct('z', {newest}, 'seen', concat(a.seen, array({opened})), 'h2', a.h1, 'l2', a.l1, 'h1', x.r.high, 'l1', x.r.low)"
+    # What is seen grows by blocks: appending to all of it at each session would copy a series as often as it has sessions.
+    blocks = f"transform(sequence(0, size(s) - 1, {FOLDED}), k -> slice(s, k + 1, {FOLDED}))"
+    within = f"aggregate(b, named_struct('z', o.z, 'seen', cast(array() as {_SEEN}), 'h2', o.h2, 'l2', o.l2, 'h1', o.h1, 'l1', o.l1), (a, x) -> {step})"
+    joined = f"transform(array({within}), i -> named_struct('z', i.z, 'seen', concat(o.seen, i.seen), 'h2', i.h2, 'l2', i.l2, 'h1', i.h1, 'l1', i.l1))[0]"
+    fold = f"aggregate({blocks}, {start}, (o, b) -> {joined}, o -> o.seen)"
     return each.select(F.explode(F.arrays_zip("s", F.expr(fold).alias("seen"))).alias("e")).select("e.s.r.*", "e.seen.*")
 
 

@@ -260,3 +260,25 @@ def test_streamed_bars_order_ticks_within_a_millisecond(spark, tmp_path):
     got = {(r.symbol, r.ts, r.open, r.high, r.low, r.close, r.volume) for r in queries.QUERIES["stream_bars"](spark, str(tmp_path)).collect()}
     assert got == set(con.sql(queries.SQL["stream_bars"]).fetchall())
     assert {(x[0], x[2] > x[5]) for x in got} == {("click", True), ("view", False)}
+
+
+def test_zones_do_not_depend_on_the_blocks_they_are_folded_by(spark, monkeypatch):
+    """A zone lives on from one block of sessions to the next, and of too many the oldest goes."""
+    pick, rows, price = random.Random(4), [], 100.0
+    for k in range(60):
+        price += pick.choice([-3.0, -1.0, 1.0, 3.0])
+        rows.append(("A", "x", k, price, price + 1.0, price - 1.0))
+    frame = spark.createDataFrame(rows, "symbol string, session_key string, k int, open double, high double, low double").withColumn("trade_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("k"))).drop("k")
+    zones, want = [], []
+    for k, (*_, opened, high, low) in enumerate(rows):
+        want.append((any(not bull and lo > opened for lo, hi, bull in zones), any(bull and hi < opened for lo, hi, bull in zones)))
+        zones = [z for z in zones if not (low <= z[0] if z[2] else high >= z[1])]
+        if k > 1 and low > rows[k - 2][4]:
+            zones.append((rows[k - 2][4], low, True))
+        elif k > 1 and high < rows[k - 2][5]:
+            zones.append((high, rows[k - 2][5], False))
+        zones = zones[-3:]
+    for size in (1, 7, 60, 128):
+        monkeypatch.setattr(derive, "FOLDED", size)
+        assert [tuple(r) for r in derive.gap_zones(frame, 3).orderBy("trade_date").select("fvg_above", "fvg_below").collect()] == want
+    assert len(set(want)) > 2
