@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textblocks import blocks, class_table, mix, word_hashes, words
+from .textblocks import blocks, class_table, in_batches, mix, take_ranges, word_hashes, words
 
 #: Words of a phrase at most; bits of the bitmaps; rows that a task adds up before they are shuffled; how much wider each band is than the last.
 LONGEST, FILTER_BITS, TALLIED, WIDER = 5, 27, 1 << 20, 16
 #: Of a block's text, so many bytes.
 BLOCK = 2 << 20
+#: Words of a stored row, of which Spark's reader decodes 4096 at a time; bytes of a row group; words that are scanned at once; rows of a batch that a task gives back.
+PIECE, ROW_GROUP, SCANNED, SENT = 1 << 9, 4 << 20, 1 << 18, 1 << 16
 _U = np.uint64
 _STEP = _U(0xD1342543DE82EF95)
 _ENDS = np.frombuffer(b".,;:!?\n\v\f\r", np.uint8)
@@ -89,6 +91,12 @@ def _tallied(rows: Iterator[list[np.ndarray]], keys: int) -> Iterator[list[np.nd
         yield _summed([np.concatenate(c) for c in zip(*held, strict=True)], keys)
 
 
+def _sent(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """columns as batches of SENT rows: Spark holds each whole."""
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    yield from (batch.slice(i, SENT) for i in range(0, batch.num_rows, SENT))
+
+
 def _word_counts(docs: DataFrame, least: int, seed: int) -> DataFrame:
     """lang, h, n, and the second hash's extremes of each word of least occurrences; rows without h have the language's words in all."""
 
@@ -109,7 +117,7 @@ def _word_counts(docs: DataFrame, least: int, seed: int) -> DataFrame:
                     yield [h.view(np.int64), second, np.ones(len(h), np.int64), np.array(place)[lang]]
 
         for h, second, n, lang in _tallied(rows(), 2):
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(h), pa.array(second), pa.array(n)], names=["lang", "h", "second", "n"])
+            yield from _sent([pa.array(names, pa.string()).take(pa.array(lang)), pa.array(h), pa.array(second), pa.array(n)], ["lang", "h", "second", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], names=["lang", "h", "second", "n"])
 
     each = docs.mapInArrow(count, "lang string, h long, second long, n long")
@@ -142,8 +150,11 @@ def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _runs(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
-    """Rows of v: the hashes of frequent words in order, 0 between those that don't follow each other."""
-    shared = Shared(docs, bits)
+    """Rows of v: the hashes of frequent words in order, 0 between those that don't follow each other.
+
+    A row has PIECE of them of its own, the one before these (or 0) and the LONGEST behind (or 0), so a phrase at a row's end is whole.
+    """
+    shared, piece = Shared(docs, bits), PIECE
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.bits()
@@ -158,9 +169,13 @@ def _runs(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
                 at = np.flatnonzero(kept)
                 last = ~near[at]
                 place = np.arange(len(at)) + np.cumsum(last) - last
-                v = np.zeros(len(at) + int(last.sum()), np.int64)
-                v[place] = h[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))], names=["v"])
+                size = len(at) + int(last.sum())
+                v = np.zeros(1 + size + LONGEST, np.int64)
+                v[1 + place] = h[at].view(np.int64)
+                start = np.arange(0, size, piece)
+                length = np.minimum(piece, size - start) + 1 + LONGEST
+                offsets = np.append(0, np.cumsum(length)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[take_ranges(start, length)]))], names=["v"])
 
     return docs.mapInArrow(make, "v array<long>")
 
@@ -196,15 +211,30 @@ def _keys(v: np.ndarray, longest: int) -> list[np.ndarray]:
     return keys
 
 
-def _scan(runs: DataFrame, bits: np.ndarray, make: Callable[[np.ndarray, np.ndarray], Iterator[list[np.ndarray]]], names: list[str], keys: int) -> DataFrame:
-    """make's rows of each run and the bitmap, added up."""
-    shared = Shared(runs, bits)
+def _pieces(column: pa.ListArray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of about limit words of the rows of _runs() at a time: their hashes, and which of them are a row's own."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy().view(_U)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
+        edges = offsets[start : stop + 1] - offsets[start]
+        own = np.ones(edges[-1], bool)
+        own[edges[:-1]] = False
+        for i in range(1, LONGEST + 1):
+            own[edges[1:] - i] = False
+        yield values[offsets[start] : offsets[stop]], own
+        start = stop
+
+
+def _scan(runs: DataFrame, bits: np.ndarray, make: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[list[np.ndarray]]], names: list[str], keys: int) -> DataFrame:
+    """make's rows of the runs, what is a row's own and the bitmap, added up."""
+    shared, limit = Shared(runs, bits), SCANNED
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.bits()
-        rows = (found for batch in batches for v in batch.column(0) for found in make(v.values.to_numpy().view(_U), known))
+        rows = (found for batch in batches for v, own in _pieces(batch.column(0), limit) for found in make(v, own, known))
         for some in _tallied(rows, keys):
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c) for c in some], names=names)
+            yield from _sent([pa.array(c.view(np.int64) if c.dtype == _U else c) for c in some], names)
 
     return runs.select("v").mapInArrow(scan, ", ".join(f"{x} long" for x in names))
 
@@ -212,9 +242,9 @@ def _scan(runs: DataFrame, bits: np.ndarray, make: Callable[[np.ndarray, np.ndar
 def _grown(runs: DataFrame, bits: np.ndarray, size: int, upto: int, least: int) -> DataFrame:
     """h and n of the phrases of more than size words, upto at most, that occur least times and whose first size words are in the bitmap."""
 
-    def make(v: np.ndarray, known: np.ndarray) -> Iterator[list[np.ndarray]]:
+    def make(v: np.ndarray, own: np.ndarray, known: np.ndarray) -> Iterator[list[np.ndarray]]:
         keys = _keys(v, upto)
-        start = np.flatnonzero(keys[size] != 0)
+        start = np.flatnonzero((keys[size] != 0) & own)
         start = start[_has(known, keys[size - 1][start])]
         for m in range(size, upto):
             found = keys[m][start]
@@ -228,14 +258,13 @@ def _told(runs: DataFrame, bits: np.ndarray, upto: int, around: bool) -> DataFra
     """Each phrase of two words to upto that is in the bitmap, by its words (w1, ...; 0: none): n, and with around whether all its occurrences have one and the same word before (behind) them."""
     names = [*_WORDS, "before", "behind", "n"] if around else [*_WORDS, "n"]
 
-    def make(v: np.ndarray, known: np.ndarray) -> Iterator[list[np.ndarray]]:
+    def make(v: np.ndarray, own: np.ndarray, known: np.ndarray) -> Iterator[list[np.ndarray]]:
         keys = _keys(v, upto)
-        before, after = np.append(_U(0), v), np.append(v, np.zeros(LONGEST, _U))
         for m in range(2, upto + 1):
-            at = np.flatnonzero(keys[m - 1] != 0)
+            at = np.flatnonzero((keys[m - 1] != 0) & own)
             at = at[_has(known, keys[m - 1][at])]
-            own = [v[at + i] if i < m else np.zeros(len(at), _U) for i in range(LONGEST)]
-            yield [*own, *([before[at], after[at + m]] if around else []), np.ones(len(at), np.int64)]
+            spelt = [v[at + i] if i < m else np.zeros(len(at), _U) for i in range(LONGEST)]
+            yield [*spelt, *([v[at - 1], v[at + m]] if around else []), np.ones(len(at), np.int64)]
 
     rows = _scan(runs, bits, make, names, len(names) - 1)
     if not around:
@@ -304,7 +333,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     phrase's UTF-8 bytes. A null language is und, a null text empty; repeated rows count each;
     languages without such phrases, and empty tables, give no rows.
     """
-    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = in_batches(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     for seed in itertools.count():
         counted = scratch.cut(_word_counts(rows, least, seed), "words")
         # Two frequent words of one hash, or one whose count another's occurrences have raised: hash anew.
@@ -312,7 +341,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         if known.filter("low <> high").isEmpty() and known.groupBy("h").count().filter("count > 1").isEmpty():
             break
     vocabulary, totals = known.select("h", "lang", "n"), counted.filter("h is null").select("lang", "n")
-    runs = scratch.cut(_runs(rows, _bitmap(vocabulary), seed), "runs")
+    runs = scratch.cut(_runs(rows, _bitmap(vocabulary), seed), "runs", **{"parquet.block.size": str(ROW_GROUP)})
     low, high, left, survivors = 0, least * WIDER, totals, None
     while True:
         band = vocabulary.join(left.select("lang"), "lang", "left_semi").filter((F.col("n") > low) & (F.col("n") <= high))

@@ -3,9 +3,12 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from barometry.llm import phrases
 
@@ -77,6 +80,29 @@ def test_small_tables_and_tiny_bitmaps(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, SCHEMA), least=3, most=20).collect())) == plain(rows, 3, 20)
 
 
+def test_stored_rows_are_small(spark):
+    """Spark's reader decodes 4096 rows at a time, each as Parquet has it: with a row for each block of text a task held its whole file."""
+    docs = spark.range(300).select(F.lit("en").alias("lang"), F.expr("repeat('a b c d e ', 1000)").alias("text")).coalesce(1)
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = {*root.glob("**/runs-*")}
+    found = phrases.collocations(docs, least=100, most=3).collect()
+    stored = [p for p in root.glob("**/runs-*") if p not in before]
+    assert len(stored) == 1 and len(found) == 3
+    sizes = [len(v) for v in ds.dataset(stored[0]).to_table().column("v")]
+    assert sum(sizes) > 300 * 5000
+    assert 4096 * 8 * max(sizes) < 20 << 20
+    assert [(r.a, r.n) for r in found] == [(300 * 1000, 300 * 5000)] + [(300 * 999, 300 * 5000)] * 2
+
+
+@pytest.mark.parametrize("piece", [1, 3])
+def test_phrases_at_the_ends_of_stored_rows(spark, monkeypatch, piece):
+    monkeypatch.setattr(phrases, "PIECE", piece)
+    monkeypatch.setattr(phrases, "SCANNED", 40)
+    rows = some_rows(120, 8)
+    found = phrases.collocations(spark.createDataFrame(rows, SCHEMA).repartition(3), least=3, most=50)
+    assert sorted(map(tuple, found.collect())) == plain(rows, 3, 50)
+
+
 def test_scores_pass_64_bits(spark):
     frame = spark.createDataFrame([(10**13, 10**12, 10**12, 10**12)], "n long, a long, l long, r long")
     assert 1000 * 10**12 * 10**13 > 2**64
